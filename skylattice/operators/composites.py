@@ -116,7 +116,7 @@ def display_range(pixels: DataFrame, product: Product, keys: tuple[str, ...] = (
     span = F.col("p_hi") - F.col("p_lo")
     lo = F.greatest(F.col("p_lo") - span * headroom, F.lit(product.valid_min))
     hi = F.least(F.col("p_hi") + span * headroom, F.lit(product.valid_max))
-    ok = F.coalesce(lo < hi, F.lit(False))
+    ok = F.col("p_lo").isNotNull() & F.coalesce(lo < hi, F.lit(False))
     return p.select(
         *keys, F.when(ok, lo).otherwise(product.vis_min).alias("vis_min"), F.when(ok, hi).otherwise(product.vis_max).alias("vis_max")
     )

@@ -14,8 +14,8 @@ from skylattice.plans import views as v
 from skylattice.plans.registry import query
 from skylattice.sources import scans
 
-ROI = Box(-167.5, 49.88, -165.5, 49.97)
-ROI_SQL = "lon >= -167.5 AND lon <= -165.5 AND lat >= 49.88 AND lat <= 49.97"
+ROI = Box(-167.505, 49.8755, -165.505, 49.9755)
+ROI_SQL = "lon >= -167.505 AND lon <= -165.505 AND lat >= 49.8755 AND lat <= 49.9755"
 START, END = "1997-01-01", "1999-01-01"
 DATES_SQL = "ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01'"
 CLEAR_SQL = "(NOT prob_present OR coalesce(prob < 50, false))"
