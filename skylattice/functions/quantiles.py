@@ -19,53 +19,40 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: d
                       accuracy: int = ACCURACY) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability) and ``n``.
 
-    Without keys the result is one row, NULLs when there is no value. Keys must not be NULL.
+    Two passes over ``df``. Groups without a value are absent. Keys must not be NULL.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / accuracy
+    group = list(keys)
+    if not keys:
+        rows, group = rows.withColumn("_all", F.lit(0)), ["_all"]
+    # The sketch errs by n/accuracy ranks; four times that leaves room for the neighbour rank.
+    slack = 4.0 / accuracy
     cuts = [c for p in probs.values() for c in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut")
-    )
-    tag = [F.col(k) for k in keys]
-    if keys:
-        joined = rows.join(sketch.select(*keys, "_cut"), list(keys))
-    else:
-        joined = rows.withColumn("_cut", sketch.select("_cut").scalar())
+    everything = F.array(*[F.lit(float(e)) for _ in probs for e in ("-inf", "inf")])
+    sketch = rows.groupBy(*group).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"))
+    sketch = sketch.withColumn("_cut", F.when(F.col("n") > accuracy, F.col("_cut")).otherwise(everything))
+    joined = rows.join(sketch if keys else F.broadcast(sketch), group)
     # Per probability: below the bracket (counted only), inside it (kept by value), above (dropped).
-    lows = F.array(*[F.col("_cut")[2 * i] for i in range(len(probs))])
-    highs = F.array(*[F.col("_cut")[2 * i + 1] for i in range(len(probs))])
-    which = F.transform(
-        F.sequence(F.lit(0), F.lit(len(probs) - 1)),
-        lambda i: F.struct(
-            i.alias("i"),
-            F.when(F.col("_v") < lows[i], F.lit(None).cast("double")).otherwise(F.col("_v")).alias("v"),
-            (F.col("_v") <= highs[i]).alias("use"),
-        ),
-    )
-    spots = joined.select(*tag, F.explode(F.filter(which, lambda s: s["use"])).alias("s"))
-    counted = spots.groupBy(*keys, F.col("s.i").alias("_i"), F.col("s.v").alias("_v")).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_n").over(run))
-    want = F.array(*[F.lit(p) for p in probs.values()])
-    if keys:
-        sized = ranked.join(sketch.select(*keys, "n"), list(keys))
-    else:
-        sized = ranked.withColumn("n", sketch.select("n").scalar())
-    pos = want[F.col("_i")] * (F.col("n") - 1)
-    sized = sized.withColumn("_pos", pos)
-    found = sized.groupBy(*keys, "_i").agg(
+    which = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(F.col("_v") >= F.col("_cut")[2 * i], F.col("_v")).alias("v"),
+            (F.col("_v") <= F.col("_cut")[2 * i + 1]).alias("use"),
+        )
+        for i in range(len(probs))
+    ])
+    spots = joined.select(*group, "n", F.explode(F.filter(which, lambda s: s["use"])).alias("s"))
+    counted = spots.groupBy(*group, "n", F.col("s.i").alias("_i"), F.col("s.v").alias("_v")).agg(F.count("*").alias("_n"))
+    run = Window.partitionBy(*group, "n", "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    pos = F.array(*[F.lit(p) for p in probs.values()])[F.col("_i")] * (F.col("n") - 1)
+    ranked = counted.withColumns({"_upto": F.sum("_n").over(run), "_pos": pos})
+    found = ranked.groupBy(*group, "n", "_i", "_pos").agg(
         F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col("_v"))).alias("_lo"),
         F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col("_v"))).alias("_hi"),
-        F.first(F.col("_pos") - F.floor("_pos")).alias("_frac"),
-        F.first("n").alias("n"),
-    )
-    value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
-    out = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)],
-        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
     )
-    return out
+    value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
+    out = found.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)])
+    return out.select(*keys, *probs, "n")
 
 
 def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "median") -> DataFrame:
@@ -73,23 +60,13 @@ def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "
 
 
 def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
-    """Per group ``n``, ``median`` and ``sigma`` = 1.4826 times the median absolute deviation."""
-    med = exact_median(df, keys, value)
-    if keys:
-        dev = df.join(med, list(keys)).select(*keys, F.abs(F.col(value) - F.col("median")).alias("_d"))
-    else:
-        dev = df.select(F.abs(F.col(value) - med.select("median").scalar()).alias("_d"))
-    mad = exact_median(dev, keys, "_d", "mad")
-    if keys:
-        both = med.join(mad.drop("n"), list(keys))
-    else:
-        both = med.withColumn("mad", mad.select("mad").scalar())
-    return both.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))
-
-
-def bounded_sigma(value: Column, deviation_median: Column) -> Column:
-    """Robust sigma from a median absolute deviation already at hand."""
-    return F.when(value.isNotNull(), deviation_median * SIGMA_PER_MAD)
+    """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
+    med = exact_median(df, keys, value).drop("n")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    joined = rows.join(med, list(keys)) if keys else rows.crossJoin(F.broadcast(med))
+    dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
+    mad = exact_median(dev, (*keys, "median"), "_d", "mad")
+    return mad.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))
 
 
 def chip_spread(df: DataFrame, keys: tuple[str, ...], value: str, keep: Column | None = None) -> DataFrame:
