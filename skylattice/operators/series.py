@@ -57,9 +57,15 @@ def rolling_trailing(series: DataFrame, keys: tuple[str, ...], *, value: str = "
     if value not in series.columns or "date" not in series.columns:
         raise ValueError(f"a series needs 'date' and {value!r}")
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-(rows - 1), 0)
-    agg = F.avg if method == "mean" else F.median
+    if method == "mean":
+        smooth = F.avg(value).over(w)
+    else:
+        # A frame holds at most ``rows`` values.
+        held = F.array_sort(F.collect_list(value).over(w))
+        n = F.size(held)
+        smooth = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
     name = output or f"{value}_{method}_{rows}d"
-    return series.withColumn(name, F.when(F.count(value).over(w) >= min_periods, agg(value).over(w)))
+    return series.withColumn(name, F.when(F.count(value).over(w) >= min_periods, smooth))
 
 
 def rolling_centred(series: DataFrame, keys: tuple[str, ...], *, value: str = "value", window_days: int = 7,
