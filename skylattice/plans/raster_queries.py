@@ -97,10 +97,10 @@ def flare_mask(spark, sf):
 
 @query(
     "nb07_focal_median", "chips",
-    oracle="""SELECT a.chip_id, a.y, a.x, round(median(b.b11), 6) AS value FROM chips a JOIN chips b ON a.chip_id = b.chip_id AND b.pass = 0 AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 6.25 WHERE a.pass = 0 GROUP BY ALL""",
+    oracle="""SELECT a.chip_id, a.y, a.x, round(median(b.b11 / 0.9973), 6) AS value FROM chips a JOIN chips b ON a.chip_id = b.chip_id AND b.pass = 0 AND pow(a.y - b.y, 2) + pow(a.x - b.x, 2) <= 6.25 WHERE a.pass = 0 GROUP BY ALL""",
 )
 def focal_median(spark, sf):
-    c = v.chips(spark, sf).where("pass = 0").select("chip_id", "y", "x", F.col("b11").alias("value"))
+    c = v.chips(spark, sf).where("pass = 0").select("chip_id", "y", "x", (F.col("b11") / 0.9973).alias("value"))
     return mo.focal_median(c, CHIP, 2.5).select("chip_id", "y", "x", r6("value").alias("value"))
 
 
