@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import salted_join
+
 SIGMA_PER_MAD = 1.4826
 ACCURACY = 20_000
 
@@ -31,7 +33,7 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: d
     everything = F.array(*[F.lit(float(e)) for _ in probs for e in ("-inf", "inf")])
     sketch = rows.groupBy(*group).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"))
     sketch = sketch.withColumn("_cut", F.when(F.col("n") > accuracy, F.col("_cut")).otherwise(everything))
-    joined = rows.join(sketch if keys else F.broadcast(sketch), group)
+    joined = salted_join(rows, sketch, group, ["_v"]) if keys else rows.join(F.broadcast(sketch), group)
     # Per probability: below the bracket (counted only), inside it (kept by value), above (dropped).
     which = F.array(*[
         F.struct(
@@ -63,7 +65,7 @@ def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame
     """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
     med = exact_median(df, keys, value).drop("n")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    joined = rows.join(med, list(keys)) if keys else rows.crossJoin(F.broadcast(med))
+    joined = salted_join(rows, med, keys, ["_x"]) if keys else rows.crossJoin(F.broadcast(med))
     dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, (*keys, "median"), "_d", "mad")
     return mad.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import salted_join
+
 BUCKETS = 200
 
 
@@ -20,7 +22,7 @@ def bucketed(df: DataFrame, keys: tuple[str, ...], value: str, buckets: int = BU
     if not keys:
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
     cuts = df.groupBy(*group).agg(F.percentile_approx(F.col(value), [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
-    joined = df.join(cuts if keys else F.broadcast(cuts), group)
+    joined = salted_join(df, cuts, group, [value]) if keys else df.join(F.broadcast(cuts), group)
     return joined.withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
 
 

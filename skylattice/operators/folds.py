@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import salted_join
 from skylattice.functions.quantiles import exact_median
 from skylattice.functions.randoms import order_key
 from skylattice.functions.ranks import numbered, value_ranks
@@ -41,13 +42,14 @@ def sample_negatives(tiles: DataFrame, per_pos: float = NEG_PER_POS, minimum: in
         F.greatest(F.bround(F.count_if("positive") * F.lit(per_pos)), F.lit(minimum)).alias("quota"), F.count_if(~F.col("positive")).alias("n_neg")
     )
     order = F.conv(F.substring(order_key(seed, F.col("key")), 1, 13), 16, 10).cast("double")
-    neg = usable.where(~F.col("positive")).withColumn("_o", order).join(quota, "site_id")
+    neg = usable.where(~F.col("positive")).withColumn("_o", order)
+    neg = salted_join(neg, quota, ["site_id"], ["key"])
     # Hashed orders are uniform; eight deviations above the quota the bracket misses nothing in practice,
     # and a site whose bracket falls short keeps all its rows.
     share = (F.col("quota") + 8 * F.sqrt("quota") + 20) / F.greatest(F.col("n_neg"), F.lit(1))
     near = F.col("_o") <= share * F.lit(float(16**13))
     short = neg.groupBy("site_id").agg((F.count_if(near) < F.least(F.first("quota"), F.first("n_neg"))).alias("_short"))
-    kept = neg.join(short, "site_id").where(near | F.col("_short"))
+    kept = salted_join(neg, short, ["site_id"], ["key"]).where(near | F.col("_short"))
     in_order = Window.partitionBy("site_id").orderBy("_o", "key")
     chosen = kept.withColumn("_i", F.row_number().over(in_order)).where(F.col("_i") <= F.col("quota"))
     return usable.where("positive").select("key", "site_id", "positive").unionByName(chosen.select("key", "site_id", "positive"))
@@ -60,7 +62,7 @@ def representative_rows(rows: DataFrame, per_source: int, sources_per_region: in
     use = rows.join(big, ["region", "id_source"])
     med = exact_median(use, ("id_source",), "t_h", "source_median").drop("n")
     gap = F.abs(F.col("t_h") - F.col("source_median"))
-    return top_by_group(use.join(med, "id_source"), ("region", "id_source"), [gap, F.col("id_plume")], per_source, "row_rank")
+    return top_by_group(salted_join(use, med, ["id_source"], ["id_plume"]), ("region", "id_source"), [gap, F.col("id_plume")], per_source, "row_rank")
 
 
 def channel_statistics(pixels: DataFrame, channels: list[str], per_chip: int = PER_CHIP, seed: int = 0) -> DataFrame:

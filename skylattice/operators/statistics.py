@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from skylattice.functions.joins import salted_join
 from skylattice.functions.quantiles import exact_median, exact_percentiles, robust_spread
 from skylattice.functions.ranks import average_rank
 
@@ -222,7 +223,7 @@ def best_param(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def bias_rms(pixels: DataFrame, keys: Sequence[str], ours: str, truth: str) -> DataFrame:
     """Mean and root-mean-square difference where the truth reaches a share of its own peak."""
     peak = pixels.groupBy(*keys).agg(F.max(truth).alias("_peak"))
-    sel = pixels.join(peak, list(keys)).where((F.col("_peak") > 0) & (F.col(truth) >= TRUTH_SHARE * F.col("_peak")) & F.col(ours).isNotNull())
+    sel = salted_join(pixels, peak, keys, [truth]).where((F.col("_peak") > 0) & (F.col(truth) >= TRUTH_SHARE * F.col("_peak")) & F.col(ours).isNotNull())
     d = F.col(ours) - F.col(truth)
     return sel.groupBy(*keys).agg(F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rms"), F.count("*").alias("n"))
 
@@ -250,7 +251,7 @@ def histogram(rows: DataFrame, keys: tuple[str, ...], value: str, bins: int = 24
     span = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(0)
-    counted = rows.join(span, list(keys)).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counted = salted_join(rows, span, keys, [value]).groupBy(*keys, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
     every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     edge = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / F.lit(float(bins))
     return every.join(counted, [*keys, "bin"], "left").select(*keys, "bin", edge.alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -1,0 +1,43 @@
+"""A one-layer ONNX model written out by hand, for scoring where no trained weights exist."""
+
+from __future__ import annotations
+
+import struct
+
+
+def _varint(n: int) -> bytes:
+    out = b""
+    while True:
+        n, low = n >> 7, n & 0x7F
+        if not n:
+            return out + bytes([low])
+        out += bytes([low | 0x80])
+
+
+def _int(field: int, value: int) -> bytes:
+    return _varint(field << 3) + _varint(value)
+
+
+def _bytes(field: int, value: bytes | str) -> bytes:
+    raw = value.encode() if isinstance(value, str) else value
+    return _varint(field << 3 | 2) + _varint(len(raw)) + raw
+
+
+def _tensor(name: str, dims: list[int], values: list[float]) -> bytes:
+    body = b"".join(_int(1, d) for d in dims) + _int(2, 1) + _bytes(8, name)
+    return body + _bytes(9, struct.pack(f"<{len(values)}f", *values))
+
+
+def _value(name: str, channels: int) -> bytes:
+    dims = [_bytes(2, "n"), _int(1, channels), _bytes(2, "h"), _bytes(2, "w")]
+    shape = b"".join(_bytes(1, d) for d in dims)
+    return _bytes(1, name) + _bytes(2, _bytes(1, _int(1, 1) + _bytes(2, shape)))
+
+
+def pointwise_model(weights: list[float], bias: float) -> bytes:
+    """Serialized model: a 1 x 1 convolution from ``len(weights)`` channels to one logit."""
+    node = _bytes(1, "x") + _bytes(1, "w") + _bytes(1, "b") + _bytes(2, "logit") + _bytes(4, "Conv")
+    graph = _bytes(1, node) + _bytes(2, "pointwise")
+    graph += _bytes(5, _tensor("w", [1, len(weights), 1, 1], weights)) + _bytes(5, _tensor("b", [1], [bias]))
+    graph += _bytes(11, _value("x", len(weights))) + _bytes(12, _value("logit", 1))
+    return _int(1, 8) + _bytes(7, graph) + _bytes(8, _bytes(1, "") + _int(2, 13))
