@@ -125,7 +125,7 @@ def fine_replaces_coarse(spark, sf):
 @query(
     "st08_overpass_sessions", "scenes",
     oracle="""
-    WITH g AS (SELECT relative_orbit, spacecraft, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM scenes WINDOW w AS (PARTITION BY relative_orbit, spacecraft ORDER BY ts)),
+    WITH g AS (SELECT relative_orbit, spacecraft, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM scenes WINDOW w AS (PARTITION BY relative_orbit, spacecraft ORDER BY ts)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY relative_orbit, spacecraft ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
     SELECT relative_orbit, spacecraft, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY relative_orbit, spacecraft, sid
     HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM scenes) - INTERVAL 2 DAY""",
