@@ -1,9 +1,10 @@
 """Exact percentiles of groups of any size, and the robust statistics built on them.
 
-``F.percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
-mergeable sketch first brackets each wanted rank; only rows inside the narrow brackets are
-then counted by value, so a group holding a third of the data is never gathered in one
-buffer. The answer is the exact linearly interpolated percentile.
+``F.percentile`` keeps every distinct value of a group in one aggregation buffer, which is
+right for bounded groups only. For larger ones a mergeable sketch first brackets each wanted
+rank; only rows inside the narrow brackets are then counted by value, so a group holding a
+third of the data is never gathered in one buffer. Both ways give the exact linearly
+interpolated percentile.
 """
 
 from __future__ import annotations
@@ -12,28 +13,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.joins import salted_join
+from skylattice.session import materialize
 
 SIGMA_PER_MAD = 1.4826
 ACCURACY = 20_000
+# Values one aggregation buffer may hold.
+BUFFER_BOUND = 200_000
 
 
 def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: dict[str, float],
-                      accuracy: int = ACCURACY) -> DataFrame:
+                      accuracy: int = ACCURACY, bound: int = BUFFER_BOUND) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability) and ``n``.
 
-    Two passes over ``df``. Groups without a value are absent. Keys must not be NULL.
+    Groups of at most ``bound`` values use the built-in exact percentile, whose buffer they
+    bound; larger ones go through brackets. The list of larger groups has at most
+    rows / ``bound`` entries, so it is safe to broadcast. Groups without a value are absent;
+    keys must not be NULL.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     group = list(keys)
     if not keys:
         rows, group = rows.withColumn("_all", F.lit(0)), ["_all"]
+    # Read several times below: the two or three columns are written once instead of
+    # repeating whatever produced them.
+    rows = materialize(rows, "values")
+    sizes = rows.groupBy(*group).agg(F.count("_v").alias("n"))
+    large = F.broadcast(sizes.where(F.col("n") > bound).select(*group))
+    direct = rows.join(large, group, "left_anti").groupBy(*group).agg(
+        F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_p"), F.count("_v").alias("n")
+    )
+    direct = direct.select(*group, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)], "n")
+    bracketed = _bracketed(rows.join(large, group, "left_semi"), group, probs, accuracy)
+    return direct.unionByName(bracketed).select(*keys, *probs, "n")
+
+
+def _bracketed(rows: DataFrame, group: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
+    """Percentiles of groups with more than ``accuracy`` values: sketch, narrow brackets, exact count inside."""
     # The sketch errs by n/accuracy ranks; four times that leaves room for the neighbour rank.
     slack = 4.0 / accuracy
     cuts = [c for p in probs.values() for c in (max(0.0, p - slack), min(1.0, p + slack))]
-    everything = F.array(*[F.lit(float(e)) for _ in probs for e in ("-inf", "inf")])
     sketch = rows.groupBy(*group).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"))
-    sketch = sketch.withColumn("_cut", F.when(F.col("n") > accuracy, F.col("_cut")).otherwise(everything))
-    joined = salted_join(rows, sketch, group, ["_v"]) if keys else rows.join(F.broadcast(sketch), group)
+    joined = salted_join(rows, sketch, group, ["_v"])
     # Per probability: below the bracket (counted only), inside it (kept by value), above (dropped).
     which = F.array(*[
         F.struct(
@@ -54,7 +74,7 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: d
     )
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
     out = found.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)])
-    return out.select(*keys, *probs, "n")
+    return out.select(*group, *probs, "n")
 
 
 def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "median") -> DataFrame:
@@ -63,8 +83,8 @@ def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "
 
 def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
-    med = exact_median(df, keys, value).drop("n")
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), "values")
+    med = materialize(exact_median(rows, keys, "_x").drop("n"), "medians")
     joined = salted_join(rows, med, keys, ["_x"]) if keys else rows.crossJoin(F.broadcast(med))
     dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, (*keys, "median"), "_d", "mad")

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_PRIME = 2147483647
+_WORD = 4294967296.0
+
 
-def _digest(seed: int, name: Column, draw: Column, stream: str, start: int) -> Column:
-    text = F.md5(F.concat_ws("|", F.lit(str(seed)), name.cast("string"), draw.cast("string"), F.lit(stream)))
-    return F.conv(F.substring(text, start, 8), 16, 10).cast("bigint")
+def _words(seed: int, name: str, draws: int, stream: str) -> np.ndarray:
+    """Two 32-bit words per draw."""
+    hexes = [hashlib.md5(f"{seed}|{name}|{d}|{stream}".encode()).hexdigest() for d in range(draws)]
+    return np.array([(int(h[:8], 16), int(h[8:16], 16)) for h in hexes], dtype=np.int64)
 
 
-def uniform(seed: int, name: Column, draw: Column, stream: str) -> Column:
+def uniforms(seed: int, name: str, draws: int, stream: str) -> np.ndarray:
     """In [0, 1) with 32 bits."""
-    return _digest(seed, name, draw, stream, 1) / F.lit(4294967296.0)
+    return _words(seed, name, draws, stream)[:, 0] / _WORD
 
 
-def normal(seed: int, name: Column, draw: Column, stream: str) -> Column:
+def normals(seed: int, name: str, draws: int, stream: str) -> np.ndarray:
     """Standard normal by the Box-Muller transform of two digest words."""
-    u = (_digest(seed, name, draw, stream, 1) + 0.5) / F.lit(4294967296.0)
-    v = _digest(seed, name, draw, stream, 9) / F.lit(4294967296.0)
-    return F.sqrt(F.log(u) * -2.0) * F.cos(v * (2 * 3.141592653589793))
+    w = _words(seed, name, draws, stream)
+    return np.sqrt(-2.0 * np.log((w[:, 0] + 0.5) / _WORD)) * np.cos(2 * np.pi * (w[:, 1] / _WORD))
+
+
+def pool_starts(seed: int, name: str, draws: int) -> np.ndarray:
+    """A 31-bit starting number per draw for its index sequence."""
+    return _words(seed, name, draws, "pool")[:, 0] % _PRIME
 
 
-def index_draw(seed: int, name: Column, draw: Column) -> Column:
-    """A 31-bit starting number for the index sequence of one draw."""
-    return _digest(seed, name, draw, "pool", 1) % 2147483647
+def pool_indices(start: int, n: int, size: int) -> np.ndarray:
+    """``n`` indices below ``size`` by multiplicative scrambling in 31-bit arithmetic."""
+    a = (start + np.arange(1, n + 1, dtype=np.int64) * 7919) % _PRIME * 48271 % _PRIME
+    return (a + a // 65536) * 69621 % _PRIME % size
 
 
 def order_key(seed: int, key: Column) -> Column:

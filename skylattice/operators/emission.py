@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.quantiles import chip_spread
-from skylattice.functions.randoms import index_draw, normal, uniform
+from skylattice.functions.randoms import normals, pool_indices, pool_starts, uniforms
 from skylattice.operators.plume import K_SWEEP
-from skylattice.operators.winds import effective_wind
+from skylattice.operators.winds import UEFF_OFFSET, UEFF_SLOPE, effective_wind
 
 # Fixed values.
 KG_PER_MOL = 0.01604
@@ -70,6 +72,33 @@ def sweep_masses(pixels: DataFrame, keys: Sequence[str], masks: DataFrame, chips
     return per.withColumn("len_k", F.transform("n_k", lambda c: F.sqrt(c * F.col("area_m2"))))
 
 
+def _draw_rates(keys: list[str], draws: int, seed: int):
+    """Arrow-batched draws: one chip per row, all its draws as vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            qs = [_rates(row, draws, seed) for row in pdf.itertuples(index=False)]
+            yield pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "q": qs})
+
+    def _rates(row, draws: int, seed: int) -> np.ndarray:
+        name = row[len(keys)]
+        n_k, ime_k, len_k = (np.asarray(a) for a in (row.n_k, row.ime_k, row.len_k))
+        pool = np.asarray(row.pool if row.pool is not None else [], dtype=float)
+        k = (uniforms(seed, name, draws, "k") * len(n_k)).astype(int)
+        u10 = np.maximum(WIND_FLOOR, row.u10 + row.sigma_u10 * normals(seed, name, draws, "wind"))
+        model = 1.0 + MODEL_SIGMA * normals(seed, name, draws, "model")
+        noise = np.zeros(draws)
+        if len(pool):
+            for j, start in enumerate(pool_starts(seed, name, draws)):
+                if n_k[k[j]] > 0:
+                    noise[j] = pool[pool_indices(start, int(n_k[k[j]]), len(pool))].sum()
+        mass = ime_k[k] + noise * row.area_m2 * KG_PER_MOL
+        ok = len_k[k] > 0
+        return (UEFF_SLOPE * u10[ok] + UEFF_OFFSET) / len_k[k][ok] * mass[ok] * 3600.0 * model[ok]
+
+    return run
+
+
 def _percentile(sorted_values: Column, n: Column, p: float) -> Column:
     pos = (n - 1) * F.lit(p)
     lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
@@ -82,32 +111,21 @@ def monte_carlo(sweep: DataFrame, off_plume: DataFrame, keys: Sequence[str], nam
 
     Each draw picks a k, a wind, a model factor and a bootstrap of off-plume noise over as many
     pixels as that mask has. One row per chip holds its draws as arrays, so nothing is
-    multiplied out or shuffled. ``sweep`` carries ``n_k, ime_k, len_k, area_m2, u10, sigma_u10``;
+    multiplied out. ``sweep`` carries ``n_k, ime_k, len_k, area_m2, u10, sigma_u10``;
     ``off_plume`` is ``keys, y, x, delta_omega`` outside the display mask; a chip bounds both.
     """
     keys = list(keys)
     pool = off_plume.where(F.col("delta_omega").isNotNull()).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("y", "x", F.col("delta_omega").alias("v")))).alias("p")
     ).select(*keys, F.transform("p", lambda s: s["v"]).alias("pool"))
-    df = sweep.join(pool, keys, "left").withColumn("_name", name).withColumn("n_pool", F.coalesce(F.size("pool"), F.lit(0)))
-    nk = F.size("n_k")
-
-    def one(d: Column) -> Column:
-        k = F.floor(uniform(seed, F.col("_name"), d, "k") * nk).cast("int")
-        u10 = F.greatest(F.lit(WIND_FLOOR), F.col("u10") + F.col("sigma_u10") * normal(seed, F.col("_name"), d, "wind"))
-        model = 1.0 + MODEL_SIGMA * normal(seed, F.col("_name"), d, "model")
-        n = F.get("n_k", k)
-        start = index_draw(seed, F.col("_name"), d)
-        noise = F.when(
-            (n > 0) & (F.col("n_pool") > 0),
-            F.aggregate(
-                F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1)).cast("bigint")), F.lit(0.0),
-                lambda acc, i: acc + F.get("pool", F.pmod(_mix(start + i * 7919), F.greatest(F.col("n_pool"), F.lit(1))).cast("int")),
-            ),
-        ).otherwise(0.0) * F.col("area_m2") * KG_PER_MOL
-        return F.try_divide(effective_wind(u10), F.get("len_k", k)) * (F.get("ime_k", k) + noise) * 3600.0 * model
-
-    qs = df.withColumn("q", F.array_sort(F.filter(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), one), lambda q: q.isNotNull())))
+    df = sweep.join(pool, keys, "left").withColumn("_name", name.cast("string"))
+    kept = [*keys, "_name", "n_k", "ime_k", "len_k", "area_m2", "u10", "sigma_u10", "pool"]
+    types = dict(df.dtypes)
+    # Few bytes but much work per row: an explicit partition number keeps it spread out.
+    spread = df.select(*kept).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    drawn = spread.mapInPandas(_draw_rates(keys, draws, seed), f"{ddl}, q array<double>")
+    qs = drawn.withColumn("q", F.array_sort("q"))
     n = F.size("q")
     mean = F.aggregate("q", F.lit(0.0), lambda a, b: a + b) / n
     stats = qs.withColumns({"n_draws": n, "_mean": mean})
@@ -131,12 +149,6 @@ def monte_carlo(sweep: DataFrame, off_plume: DataFrame, keys: Sequence[str], nam
     )
 
 
-def _mix(i: Column) -> Column:
-    """Multiplicative scrambling in 31-bit arithmetic, repeatable in any SQL engine."""
-    a = F.pmod(i, F.lit(2147483647)) * 48271 % 2147483647
-    return (a + F.floor(a / 65536)) * 69621 % 2147483647
-
-
 def unstable(n_k: Column) -> Column:
     """The mask swings fourfold over the sweep, or some k empties it."""
     lo, hi = F.array_min(n_k), F.array_max(n_k)

@@ -157,7 +157,8 @@ def plume_outlines(spark, sf):
 def regions_and_sites(spark, sf):
     k = F.col("det_id")
     pts = v.dets(spark, sf).select("det_id", (k * 37 % 160 - 79.75).alias("lat"), (k * 53 % 350 - 174.75).alias("lon"))
-    return presets.containing_region(pts, presets.regions(spark)).groupBy("region").agg(F.count("*").alias("n"))
+    region = presets.containing_region(F.col("lat"), F.col("lon"))
+    return pts.groupBy(region.alias("region")).agg(F.count("*").alias("n"))
 
 
 @query(

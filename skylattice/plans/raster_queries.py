@@ -44,7 +44,7 @@ def binary_opening(spark, sf):
     oracle=f"WITH RECURSIVE {labels_sql('blob', 'lb')} SELECT chip_id, label, count(*) AS size FROM lb GROUP BY ALL HAVING count(*) >= 3",
 )
 def components(spark, sf):
-    lab = mo.label_components(blob(spark, sf), CHIP, block=5)
+    lab = mo.label_components(blob(spark, sf), CHIP, block=8)
     return lab.groupBy("chip_id", "label").agg(F.count("*").alias("size")).where("size >= 3")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Name, west, south, east, north, category, first and last day of the date hint.
@@ -43,10 +43,10 @@ def seed_sites(existing: DataFrame) -> DataFrame:
     return sites.join(existing.select("name"), "name", "left_anti")
 
 
-def containing_region(points: DataFrame, table: DataFrame) -> DataFrame:
-    """Smallest built-in region round each point (broadcast of the fixed dimension)."""
-    box = F.broadcast(table.select(*[F.col(c).alias(f"_{c}") for c in ("name", "west", "south", "east", "north")]))
-    inside = F.col("lon").between(F.col("_west"), F.col("_east")) & F.col("lat").between(F.col("_south"), F.col("_north"))
-    size = (F.col("_east") - F.col("_west")) * (F.col("_north") - F.col("_south"))
-    hit = points.join(box, inside, "left")
-    return hit.groupBy(*points.columns).agg(F.min_by("_name", F.struct(size.alias("s"), F.col("_name"))).alias("region"))
+def containing_region(lat: Column, lon: Column) -> Column:
+    """Smallest built-in region round a point, as one expression over the fixed list."""
+    chain = None
+    for name, west, south, east, north, *_ in sorted(REGIONS, key=lambda r: ((r[3] - r[1]) * (r[4] - r[2]), r[0])):
+        hit = lon.between(west, east) & lat.between(south, north)
+        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+    return chain
