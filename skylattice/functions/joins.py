@@ -22,3 +22,12 @@ def salted_join(rows: DataFrame, per_group: DataFrame, keys: Sequence[str], salt
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     right = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_single_row(rows: DataFrame, single: DataFrame) -> DataFrame:
+    """Rows with the columns of a one-row frame beside them.
+
+    ``single`` must be an ungrouped aggregate, which bounds what is broadcast to one row.
+    """
+    one = single.withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")

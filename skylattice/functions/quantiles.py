@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.joins import salted_join
+from skylattice.functions.joins import salted_join, with_single_row
 from skylattice.session import materialize
 
 SIGMA_PER_MAD = 1.4826
@@ -85,7 +85,7 @@ def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame
     """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
     rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), "values")
     med = materialize(exact_median(rows, keys, "_x").drop("n"), "medians")
-    joined = salted_join(rows, med, keys, ["_x"]) if keys else rows.crossJoin(F.broadcast(med))
+    joined = salted_join(rows, med, keys, ["_x"]) if keys else with_single_row(rows, med)
     dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, (*keys, "median"), "_d", "mad")
     return mad.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))
@@ -103,3 +103,14 @@ def chip_spread(df: DataFrame, keys: tuple[str, ...], value: str, keep: Column |
         F.first("median").alias("median"), F.median(F.abs(F.col("_v") - F.col("median"))).alias("mad")
     )
     return dev.select(*keys, "median", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))
+
+
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: correlation over the rows that have both; NULL where a side does not vary.
+
+    The built-in ``corr`` divides by zero there, which fails in ANSI mode.
+    """
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)

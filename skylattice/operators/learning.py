@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import with_single_row
 from skylattice.functions.ranks import numbered
 from skylattice.operators import morphology as mo
 from skylattice.operators import retrieval, statistics
@@ -44,7 +45,7 @@ def normalise(pixels: DataFrame, stats: DataFrame) -> DataFrame:
     ``stats`` has one row per channel, so its pivot is a single broadcast row.
     """
     wide = stats.agg(*[F.max(F.when(F.col("channel") == c, F.col(s))).alias(f"_{c}_{s}") for c in CHANNELS for s in ("median", "mad")])
-    joined = pixels.crossJoin(F.broadcast(wide))
+    joined = with_single_row(pixels, wide)
 
     def z(c: str) -> Column:
         scale = F.col(f"_{c}_mad") * SIGMA_PER_MAD

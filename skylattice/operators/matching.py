@@ -33,10 +33,14 @@ def _band(lat: Column, step: float) -> Column:
 
 
 def _lon_bins(band: Column, step: float) -> Column:
-    """Longitude bins of a band, counted so that one bin spans the radius anywhere near it."""
+    """Longitude bins of a band, counted so that one bin spans the radius anywhere near it.
+
+    The longitude difference grows like an arcsine towards the poles, at most pi/2 times its
+    linear estimate; a band that reaches a pole has a single bin.
+    """
     south = band * step - 90.0
-    reach = F.least(F.lit(89.9), F.greatest(F.abs(south), F.abs(south + step)) + step)
-    return F.greatest(F.lit(1), F.floor(F.lit(360.0 / step) * F.cos(F.radians(reach))))
+    reach = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(south + step)) + step)
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0 / (1.6 * step)) * F.cos(F.radians(reach))))
 
 
 def _lon_bin(lon: Column, n: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.quantiles import SIGMA_PER_MAD
+from skylattice.functions.quantiles import SIGMA_PER_MAD, pearson
 from skylattice.operators import morphology as mo
 
 # Fixed values.
@@ -85,9 +85,7 @@ def surface_correlation(mask: DataFrame, bands: DataFrame, keys: Sequence[str],
     domain = inside.unionByName(around).join(bands.select(*where, *names), where)
 
     def r(b: str):
-        n = F.count(b)
-        spread = (F.stddev_pop(F.when(F.col(b).isNotNull(), F.col("m"))) > 0) & (F.stddev_pop(b) > 0)
-        return F.when((n >= 3) & spread, F.abs(F.corr("m", b))).otherwise(0.0)
+        return F.when(F.count(b) >= 3, F.coalesce(F.abs(pearson("m", b)), F.lit(0.0))).otherwise(0.0)
 
     return domain.groupBy(*keys).agg(F.coalesce(F.greatest(*[r(b) for b in names]), F.lit(0.0)).alias("surface_r"))
 

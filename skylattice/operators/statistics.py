@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from skylattice.functions.joins import salted_join
-from skylattice.functions.quantiles import exact_median, exact_percentiles, robust_spread
+from skylattice.functions.joins import salted_join, with_single_row
+from skylattice.functions.quantiles import exact_median, exact_percentiles, pearson, robust_spread
 from skylattice.functions.ranks import average_rank
 
 # Fixed values.
@@ -65,7 +65,7 @@ def spearman(pairs: DataFrame, keys: tuple[str, ...], a: str = "q_ours", b: str
     """Rank correlation with average ranks and its two-sided p; NULL below three pairs."""
     both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     r = average_rank(average_rank(both, keys, a, "_ra"), keys, b, "_rb")
-    per = r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_rho"))
+    per = r.groupBy(*keys).agg(F.count("*").alias("n"), pearson("_ra", "_rb").alias("_rho"))
     per = per.withColumn("rho", F.when(F.col("n") >= 3, F.col("_rho"))).drop("_rho")
     t2 = F.col("rho") * F.col("rho")
     return per.withColumn("p", rank_p(F.col("rho"), F.col("n"), t2))
@@ -235,7 +235,7 @@ def noise_floors(rows: DataFrame, site: str = "site", q: str = "q_ours") -> Data
         exact_median(rows.where("detected"), (site,), q, "floor").drop("n"), site, "left"
     )
     pooled_floor = exact_median(rows.where("detected"), (), q, "floor").drop("n")
-    pooled = rows.agg(F.count("*").alias("n_pairs"), rate).crossJoin(F.broadcast(pooled_floor))
+    pooled = with_single_row(rows.agg(F.count("*").alias("n_pairs"), rate), pooled_floor)
     return per.unionByName(pooled.withColumn(site, F.lit(None).cast("string")))
 
 

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import with_single_row
 from skylattice.functions.randoms import order_key
 from skylattice.operators.learning import dot
 
@@ -33,7 +34,7 @@ def similarity(mosaic: DataFrame, seed: DataFrame) -> DataFrame:
     ``seed`` is a single row with the vector in ``seed``; that row is all that is broadcast.
     """
     one = seed.agg(checked(F.first("seed")).alias("seed"))
-    return mosaic.crossJoin(F.broadcast(one)).withColumn("similarity", dot("embedding", "seed")).drop("seed")
+    return with_single_row(mosaic, one).withColumn("similarity", dot("embedding", "seed")).drop("seed")
 
 
 def most_similar(mosaic: DataFrame, seed: DataFrame, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skylattice.catalog.products import BUILTIN
 from skylattice.catalog.registry import catalog_table, merge_catalogs
+from skylattice.functions.joins import with_single_row
 from skylattice.functions.ranks import numbered
 from skylattice.operators import composites, frames, screening, series
 from skylattice.plans import views as v
@@ -215,7 +216,7 @@ def frame_composites(spark, sf):
     comp = frames.frame_composites(ndvi(spark, sf).where(F.month("ts") != 3), f, ids, ("tile_id", "y", "x"))
     rng = composites.display_range(comp.where("idx = 9"), BUILTIN["s2"].get("NDVI"))
     mean = comp.groupBy("idx").agg(F.avg("value").alias("mean"))
-    out = frames.frame_status(f, comp).join(mean, "idx", "left").crossJoin(F.broadcast(rng))
+    out = with_single_row(frames.frame_status(f, comp).join(mean, "idx", "left"), rng)
     return out.select("idx", "n_pixels", "status", *[r6(c).alias(c) for c in ("mean", "vis_min", "vis_max")])
 
 

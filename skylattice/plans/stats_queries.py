@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skylattice.functions.joins import with_single_row
 from skylattice.operators import folds, plume, statistics
 from skylattice.plans import views as v
 from skylattice.plans.registry import query
@@ -95,7 +96,7 @@ def benchmark_report(spark, sf):
 @query(
     "ag24_wind_fit", "truth",
     oracle="""
-    WITH p AS (SELECT site, u10, u10 * 0.36 + 0.4 + q_ours / 20000.0 AS y FROM truth WHERE detected),
+    WITH p AS (SELECT site, u10, u10 * 0.36 + 0.4 + q_ours / 19997.0 AS y FROM truth WHERE detected),
     a AS (SELECT site, count(*) AS n, max(round(u10, 3)) - min(round(u10, 3)) AS span, regr_slope(y, u10) AS alpha, regr_intercept(y, u10) AS beta, regr_sxx(y, u10) AS sxx, regr_syy(y, u10) AS syy, regr_sxy(y, u10) AS sxy, avg(u10) AS mx FROM p GROUP BY site),
     s AS (SELECT *, greatest(0, syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM a WHERE n >= 3 AND span > 1e-6),
     e AS (SELECT *, sqrt(s2 / sxx) AS sa, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS sb FROM s)
@@ -103,7 +104,7 @@ def benchmark_report(spark, sf):
       CASE WHEN span >= 3 AND (abs(alpha - 0.33) > 1.96 * sa OR abs(beta - 0.45) > 1.96 * sb) THEN 'adopt_refit' WHEN span < 3 THEN 'insufficient_wind_diversity' ELSE 'interval_includes_published' END AS decision FROM e""",
 )
 def wind_fit(spark, sf):
-    pts = v.truth(spark, sf).where("detected").withColumn("u_eff", F.col("u10") * 0.36 + 0.4 + F.col("q_ours") / 20000.0)
+    pts = v.truth(spark, sf).where("detected").withColumn("u_eff", F.col("u10") * 0.36 + 0.4 + F.col("q_ours") / 19997.0)
     df = statistics.wind_fit(pts, ("site",))
     return df.select("site", "n", "span", *[r6(c).alias(c) for c in ("alpha", "beta", "se_alpha", "se_beta")], "decision")
 
@@ -250,7 +251,7 @@ def hot_summary(spark, sf):
 def fold_summaries(spark, sf):
     f = tiles(spark, sf).select((F.col("k") % 5).alias("fold"), F.concat(F.lit("S"), (F.col("ln") * 1000 + F.col("k") % 777).cast("string")).alias("scene_id"), "size")
     mean = f.groupBy("fold").agg(F.avg("size").alias("metric")).agg(r6(F.avg("metric")).alias("mean_metric"))
-    return mean.crossJoin(F.broadcast(folds.fold_sharing(f)))
+    return with_single_row(mean, folds.fold_sharing(f))
 
 
 @query(
