@@ -5,7 +5,7 @@ A record is an ordered array of (key, value) text pairs with lower-case keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Column names and suffixes that declare a unit, and the sanity limit.
@@ -42,12 +42,19 @@ def declared_unit(key: Column) -> Column:
 
 
 def filled(record: Column) -> Column:
+    """The pairs of a record that carry a value."""
     return F.filter(record, lambda e: e["value"].isNotNull() & (e["value"] != ""))
 
 
-def lookup(record: Column, keys: tuple[str, ...]) -> Column:
-    """Value of the first alias that is filled, in the order of the aliases."""
-    rows = filled(record)
+def last_per_key(rows: Column) -> Column:
+    """One pair per key, the last one given (two headers may differ in case only)."""
+    back = F.reverse(rows)
+    keys = F.transform(back, lambda e: e["key"])
+    return F.filter(back, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+
+
+def lookup(rows: Column, keys: tuple[str, ...]) -> Column:
+    """Value of the first alias among filled pairs, in the order of the aliases."""
 
     def first(key: str) -> Column:
         return F.get(F.filter(rows, lambda e: e["key"] == key), F.lit(0))["value"]
@@ -55,12 +62,34 @@ def lookup(record: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[first(k) for k in keys])
 
 
-def resolve_rate(record: Column, unit: str = "auto") -> Column:
-    """Struct (q_kg_h, rate_unit, dropped): a unit in the column name wins, an unnamed unit is dropped under ``auto``."""
+def named_rate(rows: Column) -> Column:
+    """First filled pair whose name declares a rate unit."""
+    return F.get(F.filter(rows, lambda e: ~looks_like_sigma(e["key"]) & declared_unit(e["key"]).isNotNull()), F.lit(0))
+
+
+def named_sigma(rows: Column) -> Column:
+    """First filled pair that names an uncertainty with a unit."""
+    return F.get(F.filter(rows, lambda e: looks_like_sigma(e["key"]) & _ends(e["key"], (*KG_SUFFIXES, *T_SUFFIXES))), F.lit(0))
+
+
+def with_candidates(df: DataFrame, record: str = "record") -> DataFrame:
+    """Adds the pairs the rate rules read, each found once per row, as ``_rate_...`` columns."""
+    rows = df.withColumn("_rate_rows", filled(F.col(record)))
+    r = F.col("_rate_rows")
+    return rows.withColumns({
+        "_rate_named": named_rate(r), "_rate_loose": lookup(r, AGNOSTIC), "_rate_sigma": named_sigma(r),
+        "_rate_sigma_kg": lookup(r, SIGMA_KG_NAMED), "_rate_sigma_loose": lookup(r, SIGMA_AGNOSTIC),
+    })
+
+
+def resolve_rate(unit: str = "auto") -> Column:
+    """Struct (q_kg_h, rate_unit, dropped) from the candidate columns.
+
+    A unit in the column name wins; an unnamed unit is dropped under ``auto``.
+    """
     if unit not in ("auto", "t_h", "kg_h"):
         raise ValueError("unit must be auto, t_h or kg_h")
-    named = F.get(F.filter(filled(record), lambda e: ~looks_like_sigma(e["key"]) & declared_unit(e["key"]).isNotNull()), F.lit(0))
-    loose = lookup(record, AGNOSTIC)
+    named, loose = F.col("_rate_named"), F.col("_rate_loose")
     named_unit = declared_unit(named["key"])
     use_unit = F.coalesce(named_unit, F.lit(None if unit == "auto" else unit).cast("string"))
     text = F.when(named_unit.isNotNull(), named["value"]).otherwise(loose)
@@ -75,12 +104,9 @@ def resolve_rate(record: Column, unit: str = "auto") -> Column:
     )
 
 
-def resolve_sigma(record: Column, rate_unit: Column) -> Column:
+def resolve_sigma(rate_unit: Column) -> Column:
     """Sigma in kg/h: its own declared unit, else the unit the rate was read in, else NULL."""
-    rows = filled(record)
-    own = F.get(F.filter(rows, lambda e: looks_like_sigma(e["key"]) & _ends(e["key"], (*KG_SUFFIXES, *T_SUFFIXES))), F.lit(0))
-    named = lookup(record, SIGMA_KG_NAMED)
-    loose = lookup(record, SIGMA_AGNOSTIC)
+    named, own, loose = F.col("_rate_sigma_kg"), F.col("_rate_sigma"), F.col("_rate_sigma_loose")
     own_value = own["value"].try_cast("double") * F.when(_ends(own["key"], T_SUFFIXES), 1000.0).otherwise(1.0)
     loose_value = loose.try_cast("double") * F.when(rate_unit == "t_h", 1000.0).when(rate_unit == "kg_h", 1.0)
     return F.when(named.isNotNull(), named.try_cast("double")).when(own["key"].isNotNull(), own_value).otherwise(loose_value)

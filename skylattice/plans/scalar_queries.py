@@ -176,11 +176,12 @@ def rate_units(spark, sf):
         .when(k == 4, rec(("rate_th", F.lit("999")), ("sigma", s)))
         .otherwise(rec(("note", F.lit("x")), ("rate", none), ("error", none)))
     )
-    df = o.select(F.col("o_orderkey").alias("id"), record.alias("record")).withColumn("r", rates.resolve_rate(F.col("record")))
-    told = rates.resolve_rate(F.col("record"), "t_h")["q_kg_h"]
+    found = rates.with_candidates(o.select(F.col("o_orderkey").alias("id"), record.alias("record")))
+    df = found.withColumn("r", rates.resolve_rate())
+    told = rates.resolve_rate("t_h")["q_kg_h"]
     return df.select(
         "id", r6("r.q_kg_h").alias("q_kg_h"), F.col("r.rate_unit").alias("rate_unit"), F.col("r.dropped").alias("dropped"),
-        r6(rates.resolve_sigma(F.col("record"), F.col("r.rate_unit")), 4).alias("sigma"), F.when(F.col("r.dropped") == "ambiguous_unit", r6(told)).alias("q_told"),
+        r6(rates.resolve_sigma(F.col("r.rate_unit")), 4).alias("sigma"), F.when(F.col("r.dropped") == "ambiguous_unit", r6(told)).alias("q_told"),
     )
 
 

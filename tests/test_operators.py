@@ -235,7 +235,7 @@ def test_frames(spark):
 
 def record(spark, pairs):
     items = [F.struct(F.lit(k).alias("key"), F.lit(v).cast("string").alias("value")) for k, v in pairs]
-    return spark.range(1).select(F.array(*items).alias("r"))
+    return rates.with_candidates(spark.range(1).select(F.array(*items).alias("record")))
 
 
 @pytest.mark.parametrize(
@@ -249,8 +249,8 @@ def record(spark, pairs):
     ],
 )
 def test_rate_units(spark, pairs, expected):
-    df = record(spark, pairs).withColumn("q", rates.resolve_rate(F.col("r")))
-    row = df.select("q.*", rates.resolve_sigma(F.col("r"), F.col("q.rate_unit")).alias("s")).first()
+    df = record(spark, pairs).withColumn("q", rates.resolve_rate())
+    row = df.select("q.*", rates.resolve_sigma(F.col("q.rate_unit")).alias("s")).first()
     assert (row.q_kg_h, row.rate_unit, row.dropped, row.s) == expected
 
 
@@ -338,3 +338,21 @@ def test_degenerate_statistics(spark):
     assert plume.surface_correlation(flat.where("y = 4 AND x = 4"), flat, ("chip_id",)).first().surface_r == 0.0
     flat_chip = spark.createDataFrame([(0, y, 0, 0.0, 0.0) for y in range(5)], "chip_id int, y bigint, x bigint, b11 double, b12 double")
     assert retrieval.single_pass(flat_chip, ("chip_id",), robust=True).where("delta_r IS NOT NULL").count() == 0
+
+
+def test_event_csv_tolerates_odd_files(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("Lat,LON , date,flux_kg_h,Note,NOTE\n38.5,53.9,2018-06-19,12,a,b\nx,53.9,2018-06-19,12,a,b\n38.5,53.9,never,1,,\n")
+    good, bad = imports.read_events_csv(spark, str(tmp_path / "e.csv"), "s")
+    row = good.first()
+    assert good.count() == 1 and row.q_kg_h == 12.0
+    assert sorted(r.reason for r in bad.collect()) == ["no latitude", "no time"]
+
+
+def test_event_geojson(spark, tmp_path):
+    point = '{"type":"Feature","geometry":{"type":"Point","coordinates":[53.9,38.5]},"properties":{"Date":"2018-06-19","source_rate_t_h":11.2,"Note":"a","NOTE":"b"}}'
+    line = '{"type":"Feature","geometry":{"type":"LineString","coordinates":[]}}'
+    (tmp_path / "e.geojson").write_text('{"type":"FeatureCollection","features":[' + point + "," + line + "]}")
+    good, bad = imports.read_events_geojson(spark, str(tmp_path / "e.geojson"), "s")
+    row = good.first()
+    assert good.count() == 1 and bad.count() == 0
+    assert (row.lat, row.lon, row.q_kg_h, row.rate_unit, row.raw["note"]) == (38.5, 53.9, 11200.0, "t_h", "b")
