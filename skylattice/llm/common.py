@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from skylattice.session import materialize
 
@@ -20,16 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class BoundedCache(dict):
-    """Remembers ``compute(key)``; starts anew beyond ``limit`` entries, so memory stays bounded."""
+    """Remembers ``compute(key)`` for up to twice ``limit`` keys: beyond ``limit`` the entries become the
+    older half, from which a key that is asked for again comes back."""
 
     def __init__(self, compute: Callable, limit: int) -> None:
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.older = compute, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -38,7 +44,7 @@ def to_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``work`` on every Arrow batch. Batches are cut by rows, so ``work`` must only need its own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
