@@ -246,7 +246,7 @@ def confirmed_links(docs: DataFrame, edges: DataFrame, k: int, percent: int) ->
         packed = [shingles(t, k).tobytes() for t in to_bytes(batch.column(0))]
         return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], [*batch.schema.names[1:], "elements"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed, "node").select("text", "node", "family", "chunks", "hub_step", "chunk")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.hint("merge"), "node").select("text", "node", "family", "chunks", "hub_step", "chunk")
     sets = materialize(per_batch(texts, work, "node long, family long, chunks int, hub_step int, chunk int, elements binary").where("length(elements) > 0"), "family_sets")
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("hub_step")) == 0)
     seats = F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
