@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -83,7 +84,7 @@ class Vocabulary:
                 usable[i] = len(raw[i]) == 1
             if usable[i]:
                 self.of_bytes[raw[i]] = i
-                self.automaton.add_word(raw[i].decode("latin-1"), i)
+                self.automaton.add_word(raw[i].decode("latin-1"), (i, len(raw[i])))
         self.automaton.make_automaton()
         self.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=True)
         self.alphabet = alphabet
@@ -115,30 +116,30 @@ class Vocabulary:
         if word in self.of_bytes:
             return [self.of_bytes[word]]
         n = len(word)
-        begins: list[list[int]] = [[] for _ in range(n)]
-        length = self.length
-        for end, token in self.automaton.iter(word.decode("latin-1")):
-            begins[end - length[token] + 1].append(token)
+        begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         # matches come by their ends, so the longest of a place is its last
+        for end, match in self.automaton.iter(word.decode("latin-1")):
+            begins[end - match[1] + 1].append(match)
         dead = bytearray(n + 1)
+        compatible = self.compatible
         out: list[int] = []
-        tried: list[int] = []
+        taken: list[tuple[int, int]] = []  # per id: its place and how many shorter options are left there
         at, left = 0, len(begins[0])
         while at < n:
             options = begins[at]
             while left:
                 left -= 1
-                token = options[left]
-                if not dead[at + length[token]] and (not out or self.compatible[out[-1], token]):
+                token, length = options[left]
+                if not dead[at + length] and (not out or compatible[out[-1], token]):
                     out.append(token)
-                    tried.append(left)
-                    at += int(length[token])
+                    taken.append((at, left))
+                    at += length
                     left = len(begins[at]) if at < n else 0
                     break
             else:
                 dead[at] = 1
-                at -= int(length[out.pop()])
-                left = tried.pop()
+                out.pop()
+                at, left = taken.pop()
         return out
 
     def piece_ids(self, text: str) -> list[int]:
@@ -193,7 +194,7 @@ class Vocabulary:
 
 
 def _packed(ids: list[int]) -> tuple[int, str, bytes]:
-    return len(ids), ",".join(map(str, ids)), np.array(ids, np.uint32).tobytes()
+    return len(ids), ",".join(map(str, ids)), array("I", ids).tobytes()
 
 
 def _joined(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
