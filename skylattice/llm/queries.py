@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skylattice.llm.byte_pairs import round_trips
-from skylattice.llm.common import table
+from skylattice.llm.common import materialize, table
+from skylattice.llm.kd_shards import kd_shards
+from skylattice.llm.mixing import SEED, leaf_budgets, leaf_cuts, measured, taken
 from skylattice.llm.near_duplicates import near_duplicates
 from skylattice.llm.personal_data import personal_data
 from skylattice.llm.quality_rules import quality_verdicts
@@ -24,6 +27,64 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+#: Production weights of the mixture; names that are not listed weigh 1.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 2}}
+MIX_PERCENT, MIX_EPOCHS = 75, 2
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = materialize(measured(table(spark, sf_dir, "documents")), "sizes")
+    cuts = materialize(leaf_cuts(sizes, leaf_budgets(sizes, WEIGHTS, MIX_PERCENT, MIX_EPOCHS), MIX_EPOCHS, SEED), "cuts")
+    return taken(sizes, cuts, SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def _case(level: str) -> str:
+    rules = " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in WEIGHTS.get(level, {}).items())
+    return f"CASE {level} {rules} ELSE 1 END" if rules else "1"
+
+
+def _level_sql(name: str, level: str, parent: list[str], above: str) -> str:
+    """Budgets of one level, stated again: children exhausted in the order of capacity per weight, the rest by weight."""
+    own = ", ".join([*parent, level])
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    order = f"{by} ORDER BY capacity / w, {level} NULLS FIRST"
+    join = " AND ".join(f"c.{p} IS NOT DISTINCT FROM u.{p}" for p in parent) or "TRUE"
+    return f"""
+{name}_c AS (SELECT {own}, sum(tokens)::HUGEINT * {MIX_EPOCHS} AS capacity, {_case(level)} AS w FROM leaves GROUP BY {own}),
+{name}_g AS (SELECT c.*, u.budget AS given FROM {name}_c c JOIN {above} u ON {join}),
+{name}_f AS (SELECT *, capacity * sum(w) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    <= w * (given - coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS done FROM {name}_g),
+{name}_r AS (SELECT *, given - coalesce(sum(capacity) FILTER (done) OVER ({by}), 0) AS rest, coalesce(sum(w) FILTER (NOT done) OVER ({by}), 0) AS whole,
+    coalesce(sum(CASE WHEN done THEN 0 ELSE w END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS upto FROM {name}_f),
+{name} AS (SELECT {own}, CASE WHEN done THEN capacity ELSE (rest * upto)::HUGEINT // whole::HUGEINT - (rest * (upto - w))::HUGEINT // whole::HUGEINT END AS budget FROM {name}_r)"""
+
+
+ORACLES["op1_mixing"] = f"""
+WITH sizes AS (SELECT doc_id, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN 'other'
+        ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::INTEGER % 4) END AS domain, lang, source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM sizes GROUP BY ALL),
+top AS (SELECT least(sum(tokens)::HUGEINT * {MIX_PERCENT} // 100, sum(tokens)::HUGEINT * {MIX_EPOCHS}) AS budget FROM leaves),
+{_level_sql("b1", "domain", [], "top")},
+{_level_sql("b2", "lang", ["domain"], "b1")},
+{_level_sql("b3", "source", ["domain", "lang"], "b2")},
+wants AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full_epochs, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS wanted
+    FROM leaves l JOIN b3 b ON l.domain = b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
+keyed AS (SELECT s.*, full_epochs, wanted, sum(n_tokens) OVER (PARTITION BY s.domain, s.lang, s.source
+        ORDER BY md5(concat_ws('|', '{SEED}', (full_epochs + 1)::BIGINT::VARCHAR, s.doc_id::VARCHAR))) AS upto
+    FROM sizes s JOIN wants w ON s.domain = w.domain AND s.lang IS NOT DISTINCT FROM w.lang AND s.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, domain, lang, source, n_tokens, e::INTEGER AS epoch FROM keyed, range(1, {MIX_EPOCHS} + 1) r(e)
+WHERE e <= full_epochs OR (e = full_epochs + 1 AND upto <= wanted)
+"""
+
+
+@query
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
