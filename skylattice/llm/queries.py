@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.llm.ball_tree import top_inner_products, whole_numbers
 from skylattice.llm.byte_pairs import round_trips
 from skylattice.llm.common import materialize, table
 from skylattice.llm.kd_shards import kd_shards
@@ -15,6 +16,7 @@ from skylattice.llm.mixing import SEED, leaf_budgets, leaf_cuts, measured, taken
 from skylattice.llm.near_duplicates import near_duplicates
 from skylattice.llm.personal_data import personal_data
 from skylattice.llm.quality_rules import quality_verdicts
+from skylattice.llm.revisits import resolved
 from skylattice.llm.token_counts import token_counts
 from skylattice.llm.token_files import token_files
 
@@ -85,6 +87,22 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op3_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_inner_products(whole_numbers(table(spark, sf_dir, "embeddings"), 64), every=20, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op3_ball_tree"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.w) = len(c.w) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 @query
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -100,6 +118,64 @@ def op6_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """A crawl of ``pages``: each page once in full, and two revisits: one a day later under another form of its
+    URL, for every fifth page with other validators, and one half a minute before the full response."""
+    at = F.lit(1_700_000_000) + F.col("page_id") * 60
+    digest, kind = F.md5("html"), F.pmod("page_id", F.lit(4))
+    quoted = F.concat(F.lit('"'), digest, F.lit('"'))
+    tag = F.when(kind.isin(0, 3), quoted).when(kind == 1, F.concat(F.lit("W/"), quoted))
+    date = F.when(kind.isin(2, 3), at - 3_600).cast("string")
+    moved = F.pmod("page_id", F.lit(5)) == 0
+    new_tag = F.when(tag.isNotNull(), F.when(moved, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), quoted)))
+    new_date = F.when(date.isNotNull(), F.when(moved, F.lit("0")).otherwise(date))
+    text = lambda c: c.cast("string")
+    stored = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), text(F.octet_length("html")), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), text(at))
+    fresh = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=600"), F.lit("date"), text(at + 86_400), F.lit("age"), F.lit("1"))
+    record = lambda n, url, kind, time, etag, modified, headers, size: F.struct(
+        (F.col("page_id") * 4 + n).alias("record_id"), url.alias("url"), time.cast("long").alias("time"), F.lit(kind).alias("kind"), etag.alias("etag"), modified.alias("last_modified"),
+        headers.alias("headers"), size.cast("long").alias("payload_bytes"),
+    )
+    none = F.lit(None).cast("string")
+    again = F.concat(F.regexp_replace("url", r"^https?://(www\.)?", "HTTP://WWW."), F.lit("#again"))
+    records = F.array(
+        record(0, F.col("url"), "response", at, tag, date, stored, F.octet_length("html")),
+        record(1, again, "revisit", at + 86_400, new_tag, new_date, fresh, F.lit(None)),
+        record(2, F.col("url"), "revisit", at - 30, none, none, fresh, F.lit(None)),
+    )
+    return pages.select(F.explode(records).alias("r")).select("r.*")
+
+
+@query
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolved(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
+ORACLES["op7_revisits"] = r"""
+WITH base AS (SELECT page_id, url, 1700000000 + page_id * 60 AS seen, page_id % 4 AS kind, '"' || md5(html) || '"' AS tag, page_id % 5 = 0 AS moved, strlen(html) AS bytes FROM pages),
+bare AS (SELECT *, regexp_replace(url, '(?s)#.*$', '') AS u FROM base),
+cut AS (SELECT *, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1) AS host, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(u, '(?s)\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS params FROM bare),
+keyed AS (SELECT *, regexp_replace(regexp_replace(lower(host), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key FROM cut),
+responses AS (SELECT page_id * 4 AS id, url_key, seen AS t, CASE WHEN kind IN (0, 3) THEN tag WHEN kind = 1 THEN 'W/' || tag END AS etag,
+    CASE WHEN kind IN (2, 3) THEN (seen - 3600)::VARCHAR END AS modified, seen, bytes FROM keyed),
+revisits AS (SELECT page_id * 4 + 1 AS id, url_key, seen + 86400 AS t, CASE WHEN kind <> 2 THEN CASE WHEN moved THEN '"other"' ELSE 'W/' || tag END END AS etag,
+    CASE WHEN kind IN (2, 3) THEN CASE WHEN moved THEN '0' ELSE (seen - 3600)::VARCHAR END END AS modified, seen FROM keyed
+    UNION ALL SELECT page_id * 4 + 2, url_key, seen - 30, NULL, NULL, seen FROM keyed),
+ranked AS (SELECT v.id, v.url_key, v.t, v.seen, v.etag AS e1, v.modified AS m1, r.id AS rid, r.etag AS e2, r.modified AS m2, r.seen AS rat, r.bytes,
+    row_number() OVER (PARTITION BY v.id ORDER BY r.t DESC NULLS LAST, r.id DESC) AS n FROM revisits v LEFT JOIN responses r ON v.url_key = r.url_key AND r.t < v.t),
+judged AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response'
+    WHEN e1 IS NOT NULL AND e2 IS NOT NULL THEN CASE WHEN regexp_replace(e1, '^W/', '') = regexp_replace(e2, '^W/', '') THEN 'resolved' ELSE 'changed' END
+    WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN CASE WHEN m1 = m2 THEN 'resolved' ELSE 'changed' END ELSE 'no_validator' END AS outcome FROM ranked WHERE n = 1)
+SELECT id AS record_id, url_key, t AS time, rid AS response_id, outcome,
+    CASE WHEN outcome = 'resolved' THEN 'age: 1' || chr(10) || 'cache-control: max-age=600' || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || (seen + 86400) END AS headers,
+    CASE WHEN outcome = 'resolved' THEN bytes END AS payload_bytes FROM judged
+"""
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
