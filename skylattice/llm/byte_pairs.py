@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 from tokenizers.pre_tokenizers import ByteLevel
 
 from skylattice.llm.common import BoundedCache, per_batch
@@ -225,16 +225,22 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` without ``text`` but with ``token_ids`` (array<int>) and ``n_tokens``."""
+    """``docs`` with ``token_ids`` (array<int>), ``n_tokens`` and ``exact`` in place of ``text``.
+
+    ``exact``: decoding the ids gives the text again."""
     place = docs.columns.index("text")
-    kept = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens")]
+    kept = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "exact")]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocabulary = load(path)
-        ids = [vocabulary.encode(t or "")[2].astype(np.int32) for t in batch.column(place).to_pylist()]
-        ends = pa.array(np.concatenate(([0], np.cumsum([len(i) for i in ids]))), pa.int32())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array([len(i) for i in ids], pa.int64())], [*kept, "token_ids", "n_tokens"])
-
-    schema = StructType([docs.schema[c] for c in kept] + [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
-    return per_batch(docs, work, schema)
+        ids, exact = [], []
+        for text in batch.column(place).to_pylist():
+            ids.append(vocabulary.encode(text or "")[2])
+            exact.append(vocabulary.decode(ids[-1]) == (text or ""))
+        lengths = [len(i) for i in ids]
+        ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(lengths, pa.int64()), pa.array(exact)], [*kept, "token_ids", "n_tokens", "exact"])
+
+    new = [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("exact", BooleanType())]
+    return per_batch(docs, work, StructType([docs.schema[c] for c in kept] + new))

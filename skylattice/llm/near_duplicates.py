@@ -285,3 +285,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = sketched.drop("regs").join(of_key, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of every component the document with the smallest id stays.
+
+    Rows that repeat an id and a text become one; rows without an id cannot stand for a group and stay."""
+    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+    single = known.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return single.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
