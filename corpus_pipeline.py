@@ -44,7 +44,7 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their target weights."""
-    return mixed(docs, WEIGHTS, PERCENT, epochs=1).select(*docs.columns)
+    return mixed(docs, WEIGHTS, PERCENT, epochs=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

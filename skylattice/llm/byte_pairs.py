@@ -32,7 +32,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from skylattice.llm.common import BoundedCache, per_batch
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
+CACHE_PAIRS = 200_000
 CACHED_CHARS = 48
 _NEVER = 1 << 60
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
@@ -63,6 +64,7 @@ class Vocabulary:
         self.length = np.array([len(raw.get(i, b"")) for i in range(size)], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         self.blob = np.frombuffer(b"".join(raw.get(i, b"") for i in range(size)), np.uint8)
+        self.shown = [str(i) for i in range(size)]
         self.made: dict[int, int] = {i: -1 for i in raw}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[tuple[int, int], int] = {}
@@ -72,7 +74,7 @@ class Vocabulary:
             if whole in self.parts:
                 raise ValueError("a token is made by two merges")
             self.rank[pair], self.made[whole], self.parts[whole] = rank, rank, pair
-        self.compatible = BoundedCache(lambda pair: self.keeps_apart(*pair), 2_000_000)
+        self.compatible = BoundedCache(lambda pair: self.keeps_apart(pair >> 24, pair & 0xFFFFFF), CACHE_PAIRS)
         self.automaton = ahocorasick.Automaton()
         usable: dict[int, bool] = {}
         self.of_bytes: dict[bytes, int] = {}
@@ -130,7 +132,7 @@ class Vocabulary:
             while left:
                 left -= 1
                 token, length = options[left]
-                if not dead[at + length] and (not out or compatible[out[-1], token]):
+                if not dead[at + length] and (not out or compatible[out[-1] << 24 | token]):
                     out.append(token)
                     taken.append((at, left))
                     at += length
@@ -149,12 +151,12 @@ class Vocabulary:
             out += self.word_ids(bytes(self.alphabet[c] for c in piece))
         return out
 
-    def chunk_ids(self, chunk: str, lead: str) -> tuple[int, str, bytes]:
-        """Number of ids, ids as text and ids as bytes of a stretch between spaces."""
+    def chunk_ids(self, chunk: str, lead: str) -> bytes:
+        """Ids of a stretch between spaces, as bytes."""
         m = _PLAIN.fullmatch(chunk)
         if m and m[2]:
             known = (self.spaced if lead else self.plain)[m[1]]
-            return _joined([known, self.plain[m[2]]])
+            return known + self.plain[m[2]]
         if m:
             return _packed(self.word_ids((lead + chunk).encode()))
         lines = chunk.split("\n")
@@ -164,25 +166,30 @@ class Vocabulary:
             found = [(self.spaced if lead else self.plain)[lines[0]]]
             for line in lines[1:]:
                 found += [end, self.plain[line]]
-            return _joined(found)
+            return b"".join(found)
         return _packed(self.piece_ids(lead + chunk))
 
-    def encode(self, text: str) -> tuple[int, str, np.ndarray]:
-        """Number of ids, ids as text and ids of a whole text."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text."""
         if self.splitter and self.splitter.search(text):
             ids: list[int] = []
             for i, part in enumerate(self.splitter.split(text)):
                 ids += [self.special[part]] if i % 2 else self.piece_ids(part)
-            found = [_packed(ids)]
+            packed = _packed(ids)
         elif _INNER_SPACE.search(text):
-            found = [_packed(self.piece_ids(text))]
+            packed = _packed(self.piece_ids(text))
         else:
             first, *rest = text.split(" ")
             spaced = self.spaced
-            found = [self.plain[first] if first else _packed([])]
+            found = [self.plain[first]] if first else []
             found += [spaced[c] if len(c) < CACHED_CHARS else self.chunk_ids(c, " ") for c in rest]
-        n, listed, packed = _joined([f for f in found if f[0]])
-        return n, listed, np.frombuffer(packed, np.uint32)
+            packed = b"".join(found)
+        return np.frombuffer(packed, np.uint32)
+
+    def listed(self, ids: np.ndarray) -> str:
+        """The ids in decimal, joined by commas."""
+        shown = self.shown
+        return ",".join([shown[i] for i in ids.tolist()])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; broken UTF-8 becomes replacement characters."""
@@ -193,12 +200,8 @@ class Vocabulary:
         return self.blob[places].tobytes().decode("utf-8", "replace")
 
 
-def _packed(ids: list[int]) -> tuple[int, str, bytes]:
-    return len(ids), ",".join(map(str, ids)), array("I", ids).tobytes()
-
-
-def _joined(found: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
-    return sum(f[0] for f in found), ",".join([f[1] for f in found]), b"".join([f[2] for f in found])
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -214,9 +217,9 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
         vocabulary = load(path)
         n, coded, decoded = [], [], []
         for text in batch.column(1).to_pylist():
-            count, listed, ids = vocabulary.encode(text or "")
-            n.append(count)
-            coded.append(hashlib.sha256(listed.encode()).hexdigest())
+            ids = vocabulary.encode(text or "")
+            n.append(len(ids))
+            coded.append(hashlib.sha256(vocabulary.listed(ids).encode()).hexdigest())
             decoded.append(hashlib.sha256(vocabulary.decode(ids).encode()).hexdigest())
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -235,7 +238,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         vocabulary = load(path)
         ids, exact = [], []
         for text in batch.column(place).to_pylist():
-            ids.append(vocabulary.encode(text or "")[2])
+            ids.append(vocabulary.encode(text or ""))
             exact.append(vocabulary.decode(ids[-1]) == (text or ""))
         lengths = [len(i) for i in ids]
         ends = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())

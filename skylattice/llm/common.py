@@ -15,6 +15,9 @@ from skylattice.session import materialize
 __all__ = ["BoundedCache", "materialize", "per_batch", "table", "to_bytes"]
 
 
+PIECE_ROWS = 1_024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,12 +48,12 @@ def to_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``work`` on every Arrow batch. Batches are cut by rows, so ``work`` must only need its own rows."""
+    """``work`` on every Arrow batch, in pieces of ``PIECE_ROWS``: it must only need its own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for start in range(0, batch.num_rows, PIECE_ROWS):
+                yield work(batch.slice(start, PIECE_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -130,10 +130,12 @@ def leaf_cuts(rows: DataFrame, budgets: DataFrame, epochs: int, seed: int) -> Da
 
 
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, epochs: int, seed: int = SEED) -> DataFrame:
-    """``docs`` as often as the mixture takes them, with columns ``domain`` and ``epoch``."""
+    """Rows of ``docs`` as often as the mixture takes them."""
     sizes = materialize(measured(docs), "sizes")
     cuts = materialize(leaf_cuts(sizes, leaf_budgets(sizes, weights, percent, epochs), epochs, seed), "cuts")
-    return taken(docs.withColumn("domain", domain_of()), cuts, seed)
+    # whole rows travel as one column, so no name of theirs can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain"), "lang", "source", F.struct("*").alias("row"))
+    return taken(rows, cuts, seed).select("row.*")
 
 
 def taken(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:

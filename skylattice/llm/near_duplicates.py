@@ -50,7 +50,7 @@ _SEEDS = np.random.default_rng(20_480)
 MULTIPLIERS = _SEEDS.integers(1, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 OFFSETS = _SEEDS.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
-_words = BoundedCache(word_hash, 400_000)
+_words = BoundedCache(word_hash, 200_000)
 
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
@@ -292,6 +292,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat an id and a text become one; rows without an id cannot stand for a group and stay."""
     kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
-    single = known.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return single.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    # whole rows travel as one column, so no name of theirs can clash
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
+    single = known.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"])
+    return single.select("row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import per_batch
+from skylattice.llm.common import materialize, per_batch
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WORDS = 8
@@ -359,11 +359,14 @@ def sample_windows(docs: DataFrame) -> list[str]:
             if heap:
                 yield pa.RecordBatch.from_arrays([pa.array([positive] * len(heap)), pa.array([w for _, w in heap])], ["positive", "phrase"])
 
-    found = docs.select("text").mapInArrow(run, "positive boolean, phrase string").distinct()
+    found = materialize(docs.select("text").mapInArrow(run, "positive boolean, phrase string").distinct(), "windows")
+    counts = {r["positive"]: r["count"] for r in found.groupBy("positive").count().collect()}
     out: list[str] = []
-    for positive in (True, False):
-        own = found.where(F.col("positive") == positive).orderBy(F.xxhash64("phrase"), "phrase").limit(half)
-        out += [r["phrase"] for r in own.collect()]
+    for positive, n in sorted(counts.items(), reverse=True):
+        # a threshold on the hash first, so that what the tasks send for the limit is about twice the sample in all
+        place = F.pmod(F.xxhash64("phrase"), F.lit(1 << 30))
+        own = found.where((F.col("positive") == positive) & (place < int(min(1.0, 2 * half / n) * (1 << 30))))
+        out += [r["phrase"] for r in own.orderBy(place, "phrase").limit(half).collect()]
     return out
 
 
