@@ -12,10 +12,10 @@ from pyspark.sql.types import StructType
 
 from skylattice.session import materialize
 
-__all__ = ["BoundedCache", "materialize", "per_batch", "table", "to_bytes"]
+__all__ = ["BoundedCache", "materialize", "per_batch", "small_batches", "table", "to_bytes"]
 
 
-PIECE_ROWS = 1_024
+PIECE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,15 +47,23 @@ def to_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session passes at most ``PIECE_ROWS`` rows at a time to Python, which bounds the buffers on both sides."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= PIECE_ROWS:
+        conf.set(name, str(PIECE_ROWS))
+    return df
+
+
 def per_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """``work`` on every Arrow batch, in pieces of ``PIECE_ROWS``: it must only need its own rows."""
+    """``work`` on every Arrow batch of at most ``PIECE_ROWS`` rows: it must only need its own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, PIECE_ROWS):
-                yield work(batch.slice(start, PIECE_ROWS))
+            if batch.num_rows:
+                yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def word_hash(word: bytes) -> int:

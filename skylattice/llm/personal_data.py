@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import materialize, per_batch
+from skylattice.llm.common import materialize, per_batch, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WORDS = 8
@@ -359,7 +359,7 @@ def sample_windows(docs: DataFrame) -> list[str]:
             if heap:
                 yield pa.RecordBatch.from_arrays([pa.array([positive] * len(heap)), pa.array([w for _, w in heap])], ["positive", "phrase"])
 
-    found = materialize(docs.select("text").mapInArrow(run, "positive boolean, phrase string").distinct(), "windows")
+    found = materialize(small_batches(docs.select("text")).mapInArrow(run, "positive boolean, phrase string").distinct(), "windows")
     counts = {r["positive"]: r["count"] for r in found.groupBy("positive").count().collect()}
     out: list[str] = []
     for positive, n in sorted(counts.items(), reverse=True):

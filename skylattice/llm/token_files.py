@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BoundedCache, materialize, to_bytes
+from skylattice.llm.common import BoundedCache, materialize, small_batches, to_bytes
 from skylattice.session import scratch_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,7 +39,7 @@ from tokenizers import Tokenizer  # noqa: E402
 BLOCK = 1_024
 FILE_IDS = 4_000_000
 END_ID = 1
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 ROUND_BYTES = 1 << 20
 MAGIC = b"SLS8B\x00\x00\x01"
 # ids per word and bits per id, by selector; selector 0 is the escape
@@ -225,7 +225,7 @@ def write_files(docs: DataFrame, path: str, folder: str) -> DataFrame:
     jvm = docs.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(target)
-    return materialize(ordered.mapInArrow(run, "part long, place long, file string, n_docs long, n_ids long"), "manifest")
+    return materialize(small_batches(ordered).mapInArrow(run, "part long, place long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
