@@ -33,23 +33,21 @@ def curve_table(lut: DataFrame) -> DataFrame:
     return seg.where(F.col("hi").isNotNull()).withColumnRenamed("amf", "amf_lo")
 
 
-def _step_of(amf: Column, first: float, width: float, steps: int) -> Column:
-    return F.least(F.lit(steps), F.greatest(F.lit(1), F.floor((amf - first) / F.lit(width)) + 1)).cast("int")
-
-
 def invert_signal(pixels: DataFrame, lut: DataFrame, version: str, signal: str, output: str, *, spacecraft: str = "spacecraft",
-                  amf: str = "amf", amf_first: float = 2.0, amf_width: float = 0.25, amf_steps: int = 8) -> DataFrame:
+                  amf: str = "amf") -> DataFrame:
     """Add ``output`` = column enhancement of ``signal`` by linear interpolation.
 
-    The air mass is held inside the table, signals beyond the tabulated ones take the end
-    columns and a NULL signal stays NULL. ``m`` falls with the column, so the bisection looks
-    for the last grid point whose ``m`` is still at least the signal.
+    The segment of a scene's air mass is found among the air masses that the table itself has for
+    the spacecraft, evenly spaced or not. The air mass is held inside the table, signals beyond
+    the tabulated ones take the end columns and a NULL signal stays NULL. ``m`` falls with the
+    column, so the bisection looks for the last grid point whose ``m`` is still at least the signal.
     """
-    curves = curve_table(lut.where(F.col("lut_version") == version)).select(
-        F.col("spacecraft").alias("_sc"), F.col("step").alias("_step"), "amf_lo", "amf_hi", "grid", "lo", "hi", "n_steps"
-    )
-    keyed = pixels.withColumn("_step", _step_of(F.col(amf), amf_first, amf_width, amf_steps))
-    j = keyed.join(F.broadcast(curves), (F.col(spacecraft) == F.col("_sc")) & (keyed["_step"] == curves["_step"]), "left")
+    table = curve_table(lut.where(F.col("lut_version") == version))
+    starts = table.groupBy(F.col("spacecraft").alias("_sc")).agg(F.sort_array(F.collect_set("amf_lo")).alias("_starts"))
+    curves = table.select(F.col("spacecraft").alias("_of_sc"), F.col("step").alias("_of_step"), "amf_lo", "amf_hi", "grid", "lo", "hi", "n_steps")
+    keyed = pixels.join(F.broadcast(starts), F.col(spacecraft) == F.col("_sc"), "left")
+    keyed = keyed.withColumn("_step", F.greatest(F.size(F.filter("_starts", lambda a: a <= F.col(amf))), F.lit(1)))
+    j = keyed.join(F.broadcast(curves), (F.col("_sc") == F.col("_of_sc")) & (F.col("_step") == F.col("_of_step")), "left")
     held = F.greatest(F.col("amf_lo"), F.least(F.col("amf_hi"), F.col(amf)))
     t = (held - F.col("amf_lo")) / (F.col("amf_hi") - F.col("amf_lo"))
 

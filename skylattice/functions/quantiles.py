@@ -9,10 +9,12 @@ interpolated percentile.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.joins import salted_join, with_single_row
+from skylattice.functions.joins import SALTS, with_single_row
 from skylattice.session import materialize
 
 SIGMA_PER_MAD = 1.4826
@@ -21,14 +23,18 @@ ACCURACY = 20_000
 BUFFER_BOUND = 200_000
 
 
+def _same(keys: list[str]) -> Column:
+    """Keys equal to those named ``_of_…``, NULL to NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+
+
 def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: dict[str, float],
                       accuracy: int = ACCURACY, bound: int = BUFFER_BOUND) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability) and ``n``.
 
     Groups of at most ``bound`` values use the built-in exact percentile, whose buffer they
-    bound; larger ones go through brackets. The list of larger groups has at most
-    rows / ``bound`` entries, so it is safe to broadcast. Groups without a value are absent;
-    keys must not be NULL.
+    bound; larger ones go through brackets. Groups without a value are absent; a NULL key is a
+    group of its own.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     group = list(keys)
@@ -38,12 +44,13 @@ def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: d
     # repeating whatever produced them.
     rows = materialize(rows, "values")
     sizes = rows.groupBy(*group).agg(F.count("_v").alias("n"))
-    large = F.broadcast(sizes.where(F.col("n") > bound).select(*group))
-    direct = rows.join(large, group, "left_anti").groupBy(*group).agg(
+    large = sizes.where(F.col("n") > bound).select(*[F.col(k).alias(f"_of_{k}") for k in group])
+    same = _same(group)
+    direct = rows.join(large, same, "left_anti").groupBy(*group).agg(
         F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_p"), F.count("_v").alias("n")
     )
     direct = direct.select(*group, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)], "n")
-    bracketed = _bracketed(rows.join(large, group, "left_semi"), group, probs, accuracy)
+    bracketed = _bracketed(rows.join(large, same, "left_semi"), group, probs, accuracy)
     return direct.unionByName(bracketed).select(*keys, *probs, "n")
 
 
@@ -53,7 +60,10 @@ def _bracketed(rows: DataFrame, group: list[str], probs: dict[str, float], accur
     slack = 4.0 / accuracy
     cuts = [c for p in probs.values() for c in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = rows.groupBy(*group).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"))
-    joined = salted_join(rows, sketch, group, ["_v"])
+    # every row is dealt to one of many copies of its group's brackets
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    held = sketch.select(*[F.col(k).alias(f"_of_{k}") for k in group], "n", "_cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of__salt"))
+    joined = salted.join(held, _same([*group, "_salt"]))
     # Per probability: below the bracket (counted only), inside it (kept by value), above (dropped).
     which = F.array(*[
         F.struct(
@@ -85,7 +95,12 @@ def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame
     """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
     rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), "values")
     med = materialize(exact_median(rows, keys, "_x").drop("n"), "medians")
-    joined = salted_join(rows, med, keys, ["_x"]) if keys else with_single_row(rows, med)
+    if keys:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
+        held = med.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "median", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of__salt"))
+        joined = salted.join(held, _same([*keys, "_salt"]))
+    else:
+        joined = with_single_row(rows, med)
     dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, (*keys, "median"), "_d", "mad")
     return mad.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))

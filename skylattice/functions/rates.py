@@ -8,37 +8,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Column names and suffixes that declare a unit, and the sanity limit.
-KG_NAMED = ("ch4_fluxrate",)
-AGNOSTIC = ("rate", "q", "emission_rate")
-SIGMA_KG_NAMED = ("ch4_fluxrate_std",)
-SIGMA_AGNOSTIC = ("sigma", "uncertainty", "q_sigma", "error")
+# Column names that mean a rate or its uncertainty (name, kind, unit), the order in
+# which names without a unit count, endings that declare a unit, parts that mark an uncertainty,
+# names of places and times, and the sanity limit.
+NAMES = (
+    ("ch4_fluxrate", "rate", "kg_h"), ("rate", "rate", None), ("q", "rate", None), ("emission_rate", "rate", None),
+    ("ch4_fluxrate_std", "sigma", "kg_h"), ("sigma", "sigma", None), ("uncertainty", "sigma", None), ("q_sigma", "sigma", None), ("error", "sigma", None),
+)
+ENDINGS = (("_t_h", "t_h"), ("_th", "t_h"), ("_kg_h", "kg_h"), ("_kgh", "kg_h"))
 SIGMA_TOKENS = ("sigma", "uncertainty", "error", "_std")
-T_SUFFIXES = ("_t_h", "_th")
-KG_SUFFIXES = ("_kg_h", "_kgh")
 MAX_KG_H = 500_000.0
 LAT_KEYS = ("lat", "latitude")
 LON_KEYS = ("lon", "lng", "longitude")
 DATE_KEYS = ("date", "datetime", "detection_date", "time", "event_time_utc", "tile_date")
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+def reading(key: Column, value: Column, place: Column) -> Column:
+    """What one pair of a record says: (kind, no unit, order, unit, value); a kind of NULL says nothing.
 
-
-def _ends(key: Column, suffixes: tuple[str, ...]) -> Column:
-    return _any([F.endswith(key, F.lit(s)) for s in suffixes])
-
-
-def looks_like_sigma(key: Column) -> Column:
-    return key.isin(*SIGMA_KG_NAMED, *SIGMA_AGNOSTIC) | _any([F.contains(key, F.lit(t)) for t in SIGMA_TOKENS])
-
-
-def declared_unit(key: Column) -> Column:
-    return F.when(key.isin(*KG_NAMED) | _ends(key, KG_SUFFIXES), "kg_h").when(_ends(key, T_SUFFIXES), "t_h")
+    Readings sort by preference: with a unit in the order of the record, then without one in the
+    order of the names. The column that is made for an uncertainty in kg/h comes before others.
+    """
+    unit, kind, order = F.lit(None).cast("string"), F.lit(None).cast("string"), place
+    for ending, declared in ENDINGS:
+        unit = F.when(F.endswith(key, F.lit(ending)), declared).otherwise(unit)
+    marked = F.exists(F.array(*[F.lit(t) for t in SIGMA_TOKENS]), lambda t: F.contains(key, t))
+    kind = F.when(unit.isNotNull(), F.when(marked, "sigma").otherwise("rate"))
+    for i, (name, of, declared) in enumerate(NAMES):
+        exact = key == name
+        kind, unit = F.when(exact, of).otherwise(kind), F.when(exact, F.lit(declared).cast("string")).otherwise(unit)
+        if declared is None:
+            order = F.when(exact, F.lit(i)).otherwise(order)
+        elif of == "sigma":
+            order = F.when(exact, F.lit(-1)).otherwise(order)
+    return F.struct(kind.alias("kind"), unit.isNull().alias("no_unit"), order.cast("int").alias("order"), unit.alias("unit"), value.alias("value"))
 
 
 def filled(record: Column) -> Column:
@@ -62,24 +65,12 @@ def lookup(rows: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(*[first(k) for k in keys])
 
 
-def named_rate(rows: Column) -> Column:
-    """First filled pair whose name declares a rate unit."""
-    return F.get(F.filter(rows, lambda e: ~looks_like_sigma(e["key"]) & declared_unit(e["key"]).isNotNull()), F.lit(0))
-
-
-def named_sigma(rows: Column) -> Column:
-    """First filled pair that names an uncertainty with a unit."""
-    return F.get(F.filter(rows, lambda e: looks_like_sigma(e["key"]) & _ends(e["key"], (*KG_SUFFIXES, *T_SUFFIXES))), F.lit(0))
-
-
 def with_candidates(df: DataFrame, record: str = "record") -> DataFrame:
-    """Adds the pairs the rate rules read, each found once per row, as ``_rate_...`` columns."""
+    """Adds the filled pairs of a record and its preferred reading of a rate and of an uncertainty, as ``_rate_...`` columns."""
     rows = df.withColumn("_rate_rows", filled(F.col(record)))
-    r = F.col("_rate_rows")
-    return rows.withColumns({
-        "_rate_named": named_rate(r), "_rate_loose": lookup(r, AGNOSTIC), "_rate_sigma": named_sigma(r),
-        "_rate_sigma_kg": lookup(r, SIGMA_KG_NAMED), "_rate_sigma_loose": lookup(r, SIGMA_AGNOSTIC),
-    })
+    rows = rows.withColumn("_rate_read", F.transform("_rate_rows", lambda e, i: reading(e["key"], e["value"], i)))
+    best = lambda kind: F.array_min(F.filter("_rate_read", lambda r: r["kind"] == kind))
+    return rows.withColumns({"_rate_best": best("rate"), "_rate_sigma": best("sigma")}).drop("_rate_read")
 
 
 def resolve_rate(unit: str = "auto") -> Column:
@@ -89,24 +80,20 @@ def resolve_rate(unit: str = "auto") -> Column:
     """
     if unit not in ("auto", "t_h", "kg_h"):
         raise ValueError("unit must be auto, t_h or kg_h")
-    named, loose = F.col("_rate_named"), F.col("_rate_loose")
-    named_unit = declared_unit(named["key"])
-    use_unit = F.coalesce(named_unit, F.lit(None if unit == "auto" else unit).cast("string"))
-    text = F.when(named_unit.isNotNull(), named["value"]).otherwise(loose)
-    raw = text.try_cast("double") * F.when(use_unit == "t_h", 1000.0).otherwise(1.0)
-    absent = named_unit.isNull() & loose.isNull()
-    ambiguous = named_unit.isNull() & loose.isNotNull() & F.lit(unit == "auto")
-    over = ~absent & ~ambiguous & (F.abs(raw) > MAX_KG_H)
+    best = F.col("_rate_best")
+    use_unit = F.coalesce(best["unit"], F.lit(None if unit == "auto" else unit).cast("string"))
+    raw = best["value"].try_cast("double") * F.when(use_unit == "t_h", 1000.0).otherwise(1.0)
+    ambiguous = best.isNotNull() & use_unit.isNull()
+    known = best.isNotNull() & use_unit.isNotNull()
+    over = known & F.coalesce(F.abs(raw) > MAX_KG_H, F.lit(False))
     return F.struct(
-        F.when(~absent & ~ambiguous & ~F.coalesce(over, F.lit(False)), raw).alias("q_kg_h"),
-        F.when(~absent & ~ambiguous, use_unit).alias("rate_unit"),
+        F.when(known & ~over, raw).alias("q_kg_h"), F.when(known, use_unit).alias("rate_unit"),
         F.when(ambiguous, "ambiguous_unit").when(over, "over_500_th_guard").alias("dropped"),
     )
 
 
 def resolve_sigma(rate_unit: Column) -> Column:
     """Sigma in kg/h: its own declared unit, else the unit the rate was read in, else NULL."""
-    named, own, loose = F.col("_rate_sigma_kg"), F.col("_rate_sigma"), F.col("_rate_sigma_loose")
-    own_value = own["value"].try_cast("double") * F.when(_ends(own["key"], T_SUFFIXES), 1000.0).otherwise(1.0)
-    loose_value = loose.try_cast("double") * F.when(rate_unit == "t_h", 1000.0).when(rate_unit == "kg_h", 1.0)
-    return F.when(named.isNotNull(), named.try_cast("double")).when(own["key"].isNotNull(), own_value).otherwise(loose_value)
+    best = F.col("_rate_sigma")
+    unit = F.coalesce(best["unit"], rate_unit)
+    return best["value"].try_cast("double") * F.when(unit == "t_h", 1000.0).when(unit == "kg_h", 1.0)

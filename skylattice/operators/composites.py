@@ -88,9 +88,13 @@ def single_scene_anomaly(pixels: DataFrame, scene_id: str, ref: tuple[When, When
     ratio = F.try_divide(F.col("B12"), F.col("B11"))
     scene = pixels.where(F.col("scene_id") == scene_id).groupBy(*PIXEL).agg(F.avg(ratio).alias("t"))
     reference = pixels.where(date_range(F.col("ts"), *ref)).groupBy(*PIXEL).agg(F.avg(ratio).alias("r"))
-    found = pixels.where(F.col("scene_id") == scene_id).agg(F.count("*").alias("n"))
-    guard = F.when(found.scalar() == 0, F.raise_error(F.lit(f"no scene {scene_id}")).cast("double")).otherwise(0.0)
-    return scene.join(reference, list(PIXEL)).select(*PIXEL, (F.col("t") - F.col("r") + guard).alias("value"))
+    # an ungrouped count always has its one row
+    found = pixels.where(F.col("scene_id") == scene_id).agg(F.count("*").alias("_found"))
+    checked = found.select(F.when(F.col("_found") > 0, F.lit(1)).otherwise(F.raise_error(F.lit(f"no scene {scene_id}")).cast("int")).alias("_ok"))
+    both = scene.join(reference, list(PIXEL)).select(*PIXEL, (F.col("t") - F.col("r")).alias("value"))
+    # a branch of its own without rows: no plan of the join can leave the check out
+    none = checked.where("_ok <> 1").select(*[F.lit(None).cast(t).alias(c) for c, t in both.dtypes])
+    return both.unionByName(none)
 
 
 def vegetation_water_mask(pixels: DataFrame, reflectance: DataFrame, value: str = "value", *, ndvi_max: float = 0.3,

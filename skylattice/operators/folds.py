@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.joins import salted_join
-from skylattice.functions.quantiles import exact_median
+from skylattice.functions.quantiles import exact_median, robust_spread
 from skylattice.functions.randoms import order_key
 from skylattice.functions.ranks import numbered, value_ranks
 from skylattice.operators.lookups import top_by_group
@@ -15,7 +15,6 @@ from skylattice.operators.lookups import top_by_group
 N_FOLDS = 5
 NEG_PER_POS = 2.0
 MIN_NEG = 25
-PER_CHIP = 512
 NOMINAL_AMF = 2.3
 NOMINAL_U10 = 3.98
 NOMINAL_AREA_M2 = 400.0
@@ -65,17 +64,17 @@ def representative_rows(rows: DataFrame, per_source: int, sources_per_region: in
     return top_by_group(salted_join(use, med, ["id_source"], ["id_plume"]), ("region", "id_source"), [gap, F.col("id_plume")], per_source, "row_rank")
 
 
-def channel_statistics(pixels: DataFrame, channels: list[str], per_chip: int = PER_CHIP, seed: int = 0) -> DataFrame:
-    """Median and MAD per channel over at most ``per_chip`` finite pixels of each chip.
+def channel_statistics(pixels: DataFrame, channels: list[str], per_chip: int | None = None, seed: int = 0) -> DataFrame:
+    """Median and MAD per channel over all finite pixels, or over at most ``per_chip`` of each chip.
 
     The sample is the first pixels in hashed order; the per-chip limit is applied before the shuffle.
     """
-    long = pixels.unpivot(["chip_id", "y", "x"], channels, "channel", "v").where("v IS NOT NULL")
-    key = F.concat_ws("|", "chip_id", "channel", "y", "x")
-    picked = top_by_group(long.withColumn("_h", order_key(seed, key)), ("chip_id", "channel"), [F.col("_h")], per_chip, "_i")
-    med = exact_median(picked, ("channel",), "v").drop("n")
-    dev = picked.join(F.broadcast(med), "channel").select("channel", "median", F.abs(F.col("v") - F.col("median")).alias("_d"))
-    return exact_median(dev, ("channel", "median"), "_d", "mad").select("channel", "median", "mad", "n")
+    picked = pixels.unpivot(["chip_id", "y", "x"], channels, "channel", "v").where("v IS NOT NULL")
+    if per_chip is not None:
+        key = F.concat_ws("|", "chip_id", "channel", "y", "x")
+        picked = top_by_group(picked.withColumn("_h", order_key(seed, key)), ("chip_id", "channel"), [F.col("_h")], per_chip, "_i")
+    spread = robust_spread(picked, ("channel",), "v")
+    return spread.select("channel", "median", "mad", "n")
 
 
 def fold_sharing(rows: DataFrame) -> DataFrame:

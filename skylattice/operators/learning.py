@@ -1,4 +1,4 @@
-"""Model inputs, batch scoring, candidates, content clusters and fold evaluation."""
+"""Model inputs, candidates from a probability table, content clusters and fold evaluation."""
 
 from __future__ import annotations
 
@@ -15,17 +15,13 @@ from skylattice.operators import morphology as mo
 from skylattice.operators import retrieval, statistics
 from skylattice.operators.components import connected_components
 from skylattice.operators.lookups import resolve_scene
-from skylattice.operators.scene_choice import pick_reference
 from skylattice.session import materialize
 
 # Fixed values.
 CHANNELS = ("mbmp_delta_r", "mbsp_delta_r", "ratio_b12_b11", "b12", "b11")
 SIGMA_PER_MAD = 1.4826
-PAD = 32
 MIN_PX = 5
 BASELINE_K = 2.0
-SCAN_DAYS = 150
-SCAN_CLOUD = 60.0
 LINK_DISTANCE = 0.4
 
 
@@ -55,50 +51,6 @@ def normalise(pixels: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select(*[c for c in pixels.columns if c not in CHANNELS], *[z(c).alias(c) for c in CHANNELS])
 
 
-_SESSIONS: dict[int, object] = {}
-
-
-def _session(model: bytes):
-    """One inference session per worker process and model."""
-    key = hash(model)
-    if key not in _SESSIONS:
-        import onnxruntime as ort
-
-        options = ort.SessionOptions()
-        options.intra_op_num_threads = 1
-        _SESSIONS[key] = ort.InferenceSession(model, options, providers=["CPUExecutionProvider"])
-    return _SESSIONS[key]
-
-
-def _score(model: bytes, keys: list[str], height: int, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session = _session(model)
-        name = session.get_inputs()[0].name
-        pad_h, pad_w = -height % PAD, -width % PAD
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.stack([np.asarray(v, dtype=np.float32).reshape(height, width) for v in pdf[c]]) for c in CHANNELS], axis=1)
-            x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
-            x = np.pad(x, ((0, 0), (0, 0), (0, pad_h), (0, pad_w)), mode="reflect")
-            logits = session.run(None, {name: x})[0][:, 0, :height, :width]
-            prob = 1.0 / (1.0 + np.exp(-logits.astype(np.float64)))
-            yield pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "prob": [p.ravel() for p in prob]})
-
-    return run
-
-
-def score_chips(normalised: DataFrame, keys: Sequence[str], model: bytes, height: int, width: int) -> DataFrame:
-    """Probability per pixel from any ONNX model with a five-channel input, chips packed into Arrow batches."""
-    keys = list(keys)
-    types = dict(normalised.dtypes)
-    packed = mo.pack(normalised, keys, CHANNELS, height, width)
-    ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    out = packed.mapInPandas(_score(model, keys, height, width), f"{ddl}, prob array<double>")
-    spread = out.select(*keys, F.posexplode("prob").alias("i", "prob"))
-    return spread.select(*keys, F.floor(F.col("i") / width).alias("y"), (F.col("i") % width).cast("bigint").alias("x"), "prob")
-
-
 def candidates(prob: DataFrame, keys: Sequence[str], threshold: float = 0.5, min_px: int = MIN_PX) -> DataFrame:
     """Connected components at or above the threshold with size, mean and peak probability."""
     keys = list(keys)
@@ -107,20 +59,6 @@ def candidates(prob: DataFrame, keys: Sequence[str], threshold: float = 0.5, min
     return labels.groupBy(*keys, "label").agg(F.count("*").alias("n_px"), F.avg("prob").alias("mean_prob"), F.max("prob").alias("score")).where(F.col("n_px") >= min_px)
 
 
-def scan_site(scenes: DataFrame, pixels: DataFrame, stats: DataFrame, model: bytes, height: int, width: int, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(scored pixels, candidates) of every scene that has a reference within the scan window.
-
-    ``pixels``: scene_id, y, x, b11, b12.
-    """
-    pairs = pick_reference(scenes, scenes, max_cloud=SCAN_CLOUD, max_days=SCAN_DAYS).where(F.col("reference").isNotNull())
-    pairs = pairs.select("scene_id", F.col("reference.scene_id").alias("ref_id"))
-    target = pairs.select("scene_id").join(pixels, "scene_id")
-    reference = pairs.join(pixels.withColumnRenamed("scene_id", "ref_id"), "ref_id").drop("ref_id")
-    channels = build_channels(target, reference, ("scene_id",))
-    prob = materialize(score_chips(normalise(channels, stats), ("scene_id",), model, height, width), "scan")
-    return prob, candidates(prob, ("scene_id",), threshold)
-
-
 def _linked(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

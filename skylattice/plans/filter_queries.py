@@ -286,8 +286,8 @@ _value_query("prj07_polarisation_difference", "VV_VH_RATIO", "s1", "VV - VH")
 _value_query("prj08_radar_vegetation", "RVI", "s1", "4 * pow(10, VH / 10) / (pow(10, VV / 10) + pow(10, VH / 10))")
 
 
-def _channel_sql(at: int) -> str:
-    stops = "[" + ", ".join(str(int(c[at:at + 2], 16)) for c in DEFAULT_PALETTE) + "]"
+def _channel_sql(at: int, palette=DEFAULT_PALETTE) -> str:
+    stops = "[" + ", ".join(str(int(c[at:at + 2], 16)) for c in palette) + "]"
     return f"CAST(round_even({stops}[i + 1] + ({stops}[i + 2] - {stops}[i + 1]) * (t - i), 0) AS INTEGER)"
 
 
@@ -304,6 +304,22 @@ def palette_colour(spark, sf):
     return df.groupBy(F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
 
 
+# The vegetation palette.
+_GREENS = ("#d73027", "#f46d43", "#fdae61", "#fee08b", "#ffffbf", "#d9ef8b", "#a6d96a", "#66bd63", "#1a9850", "#006837")
+
+
+@query(
+    "prj10_vegetation_colour", "px",
+    oracle=f"""SELECT r, g, b, count(*) AS n FROM (SELECT {_channel_sql(1, _GREENS)} AS r, {_channel_sql(3, _GREENS)} AS g, {_channel_sql(5, _GREENS)} AS b
+      FROM (SELECT t, least(CAST(floor(t) AS BIGINT), 8) AS i FROM (
+        SELECT greatest(0.0, least(1.0, (v - -0.2) / (0.9 - -0.2))) * 9 AS t FROM (SELECT (B8 - B4) / (B8 + B4) AS v FROM px)))) GROUP BY ALL""",
+)
+def vegetation_colour(spark, sf):
+    p = BUILTIN["s2"].get("NDVI")
+    df = v.px(spark, sf).select(display.sample_palette((F.col("B8") - F.col("B4")) / (F.col("B8") + F.col("B4")), p.vis_min, p.vis_max, p.palette).alias("c"))
+    return df.groupBy(F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
+
+
 @query(
     "prj11_source_class", "px",
     oracle=f"""

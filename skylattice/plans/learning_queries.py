@@ -13,7 +13,6 @@ from skylattice.plans.raster_sql import labels_sql, retrieval_sql
 from skylattice.plans.registry import query
 from skylattice.plans.scan_queries import r6
 from skylattice.plans.scene_queries import _PAIRS
-from skylattice.plans.tiny_model import pointwise_model
 
 CHIP = ("chip_id",)
 WEIGHTS, BIAS = [-0.5, -0.25, -0.125, 0.0625, 0.0], -1.5
@@ -24,14 +23,13 @@ _CH = f"""{retrieval_sql('rawpass', 'rt', 'chip_id, pass', False)},
    FROM (SELECT * FROM rt WHERE pass = 1) t LEFT JOIN (SELECT * FROM rt WHERE pass = 0) r USING (chip_id, y, x))"""
 _STATS = """
  lg AS (UNPIVOT ch ON mbmp_delta_r, mbsp_delta_r, ratio_b12_b11, b12, b11 INTO NAME channel VALUE v),
- pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chip_id, channel ORDER BY md5('0|' || chip_id || '|' || channel || '|' || y || '|' || x)) AS i FROM lg WHERE v IS NOT NULL) WHERE i <= 100),
+ pk AS (SELECT * FROM lg WHERE v IS NOT NULL),
  md AS (SELECT channel, median(v) AS med FROM pk GROUP BY channel), st AS (SELECT channel, any_value(med) AS med, median(abs(v - med)) AS mad, count(*) AS n FROM pk JOIN md USING (channel) GROUP BY channel)"""
 _Z = """
  w AS (SELECT """ + ", ".join(f"max(CASE WHEN channel = '{c}' THEN med END) AS m_{c}, max(CASE WHEN channel = '{c}' THEN mad END) AS s_{c}" for c in learning.CHANNELS) + """ FROM st),
  z AS (SELECT chip_id, y, x, """ + ", ".join(f"coalesce(({c} - m_{c}) / CASE WHEN s_{c} > 0 THEN 1.4826 * s_{c} ELSE 1 END, 0) AS {c}" for c in learning.CHANNELS) + """ FROM ch, w)"""
-_PROB = """
- grid AS (SELECT c.chip_id, y, x FROM (SELECT DISTINCT chip_id FROM chips) c, (SELECT unnest(range(16)) AS y), (SELECT unnest(range(16)) AS x)),
- pr AS (SELECT chip_id, y, x, 1.0 / (1.0 + exp(-(-1.5 + coalesce(-0.5 * CAST(mbmp_delta_r AS FLOAT)::DOUBLE - 0.25 * CAST(mbsp_delta_r AS FLOAT)::DOUBLE - 0.125 * CAST(ratio_b12_b11 AS FLOAT)::DOUBLE + 0.0625 * CAST(b12 AS FLOAT)::DOUBLE, 0)))) AS prob FROM grid LEFT JOIN z USING (chip_id, y, x))"""
+_PROB = f"""
+ pr AS (SELECT chip_id, y, x, 1.0 / (1.0 + exp(-({BIAS} {" ".join(f"{w:+} * {c}" for w, c in zip(WEIGHTS, learning.CHANNELS, strict=True))}))) AS prob FROM z)"""
 
 
 def channels(spark, sf):
@@ -40,12 +38,16 @@ def channels(spark, sf):
 
 
 def channel_stats(spark, sf):
-    return folds.channel_statistics(channels(spark, sf), list(learning.CHANNELS), per_chip=100)
+    return folds.channel_statistics(channels(spark, sf), list(learning.CHANNELS))
 
 
 def probabilities(spark, sf):
+    """A probability table: a logistic curve over the normalised channels."""
     z = learning.normalise(channels(spark, sf), channel_stats(spark, sf))
-    return learning.score_chips(z, CHIP, pointwise_model(WEIGHTS, BIAS), 16, 16)
+    logit = F.lit(BIAS)
+    for weight, c in zip(WEIGHTS, learning.CHANNELS, strict=True):
+        logit = logit + F.lit(weight) * F.col(c)
+    return z.select("chip_id", "y", "x", (1.0 / (1.0 + F.exp(-logit))).alias("prob"))
 
 
 @query("ag32_channel_statistics", "rawpass", oracle=f"WITH {_CH}, {_STATS} SELECT channel, round(med, 6) AS median, round(mad, 6) AS mad, n FROM st")
@@ -67,11 +69,6 @@ def normalised_channels(spark, sf):
     return z.select("chip_id", "y", "x", *[r6(c, 5).alias(c) for c in learning.CHANNELS])
 
 
-@query("ml03_model_scoring", "rawpass", oracle=f"WITH {_CH}, {_STATS}, {_Z}, {_PROB} SELECT chip_id, count(*) AS n, round(avg(prob), 4) AS mean_prob, round(max(prob), 4) AS max_prob FROM pr GROUP BY chip_id")
-def model_scoring(spark, sf):
-    return probabilities(spark, sf).groupBy("chip_id").agg(F.count("*").alias("n"), r6(F.avg("prob"), 4).alias("mean_prob"), r6(F.max("prob"), 4).alias("max_prob"))
-
-
 @query(
     "ml04_candidates", "rawpass",
     oracle=f"WITH RECURSIVE {_CH}, {_STATS}, {_Z}, {_PROB}, hp AS (SELECT * FROM pr WHERE prob >= 0.6), {labels_sql('hp', 'lb')} SELECT chip_id, label, count(*) AS n_px, round(avg(prob), 4) AS mean_prob, round(max(prob), 4) AS score FROM lb JOIN hp USING (chip_id, y, x) GROUP BY ALL HAVING count(*) >= 5",
@@ -81,22 +78,6 @@ def model_candidates(spark, sf):
     return c.select("chip_id", "label", "n_px", r6("mean_prob", 4).alias("mean_prob"), r6("score", 4).alias("score")).orderBy(F.desc("score"))
 
 
-@query("ml05_site_scan")
-def site_scan(spark, sf):
-    sc = chip_scenes(spark, sf)
-    px = v.chips(spark, sf).join(sc.select("chip_id", "pass", "scene_id"), ["chip_id", "pass"]).select("scene_id", "y", "x", "b11", "b12")
-    prob, cand = learning.scan_site(sc.drop("pass", "chip_id"), px, channel_stats(spark, sf), pointwise_model(WEIGHTS, BIAS), 16, 16, 0.6)
-    mask = prob.where("prob >= 0.6").select("scene_id", "y", "x")
-    column = px.select("scene_id", "y", "x", ((F.lit(0.8) - F.col("b12") / F.col("b11")) * 10).alias("delta_omega"))
-    site = sc.select("scene_id", "chip_id").join(chip_sites(spark, sf).select("chip_id", "area_m2", "u10"), "chip_id").drop("chip_id")
-    scanned = prob.select("scene_id").distinct()
-    rate = emission.emission_over_mask(column.join(scanned, "scene_id", "left_semi"), ("scene_id",), mask, site)
-    best = cand.groupBy("scene_id").agg(F.count("*").alias("n_candidates"), F.max("score").alias("score"))
-    rows = scanned.join(best, "scene_id", "left").join(rate.select("scene_id", "q_kg_h"), "scene_id", "left").join(sc.select("scene_id", "site_id"), "scene_id")
-    physics = sc.where("pass = 1 AND site_id % 4 <> 0").select("site_id", "scene_id", F.when(F.col("site_id") % 3 == 0, F.lit('{"flags":["no_plume"],"plume":{"n_pixels":0}}')).otherwise(F.lit('{"flags":[],"plume":{"n_pixels":9}}')).alias("result_json"))
-    return lookups.physics_agreement(rows, physics).select("scene_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), r6("score", 4).alias("score"), r6("q_kg_h", 3).alias("q_kg_h"), "agreement")
-
-
 def tiles(spark, sf):
     """Fingerprints of tiles: the label's direction stretched, so that tiles of one label correlate."""
     e = v.read(spark, sf, "embeddings")

@@ -246,16 +246,16 @@ def lut_bracket(spark, sf):
 @query(
     "jn17_coarse_fine_merge", "obs",
     oracle="""
-    WITH c AS (SELECT series_id, date, avg(value) AS value, count(*) AS count FROM obs WHERE event_id % 3 <> 0 GROUP BY ALL),
-    f AS (SELECT series_id, date, avg(value) AS value, count(*) AS count FROM obs WHERE weight > 2 AND day(date) % 2 = 0 GROUP BY ALL)
+    WITH c AS (SELECT series_id, date, avg(CASE WHEN event_id % 3 <> 0 THEN value END) AS value, count(*) AS count FROM obs GROUP BY ALL),
+    f AS (SELECT series_id, date, avg(value) AS value, count(*) AS count FROM obs WHERE weight > 2 GROUP BY ALL)
     SELECT series_id, CAST(date AS VARCHAR) AS date, round(coalesce(f.value, c.value), 6) AS value, coalesce(f.count, c.count) AS count, f.count IS NOT NULL AS is_fine
     FROM c FULL OUTER JOIN f USING (series_id, date)""",
 )
 def coarse_fine_merge(spark, sf):
     o = v.obs(spark, sf)
     keys = ("series_id", "date")
-    coarse = o.where("event_id % 3 <> 0").groupBy(*keys).agg(F.avg("value").alias("value"), F.count("*").alias("count"))
-    fine = o.where("weight > 2 and day(date) % 2 = 0").groupBy(*keys).agg(F.avg("value").alias("value"), F.count("*").alias("count"))
+    coarse = o.groupBy(*keys).agg(F.avg(F.when(F.col("event_id") % 3 != 0, F.col("value"))).alias("value"), F.count("*").alias("count"))
+    fine = o.where("weight > 2").groupBy(*keys).agg(F.avg("value").alias("value"), F.count("*").alias("count"))
     df = series.merge_coarse_fine(coarse, fine, keys)
     return df.select("series_id", F.col("date").cast("string").alias("date"), r6("value").alias("value"), "count", "is_fine")
 

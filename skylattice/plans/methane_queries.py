@@ -271,7 +271,7 @@ _DET_SQL = f"""WITH RECURSIVE {_DET_FIELDS}, {retrieval_sql('src', 'ret', 'chip_
 @query("me05_full_detection", "chips", "lut", "site", oracle=_DET_SQL)
 def full_detection(spark, sf):
     req, scenes, px, winds, sites = detection_inputs(spark, sf)
-    out, _ = detection.analyze(req, scenes, px, winds, sites, v.lut(spark), detection.Settings(draws=50))
+    out, _ = detection.analyze(req, scenes, px, winds, sites, v.lut(spark), detection.Settings())
     has = lambda name: F.array_contains("flags", name)
     return out.select(
         "det_id", "n_pixels", r6("ime_kg", 4).alias("ime_kg"), r6("q_single_kg_h", 3).alias("q_single_kg_h"), r6("c_target").alias("c_target"), r6("c_ref").alias("c_ref"),
@@ -282,7 +282,7 @@ def full_detection(spark, sf):
 @query("me05_detection_flags")
 def detection_flags(spark, sf):
     req, scenes, px, winds, sites = detection_inputs(spark, sf)
-    out, _ = detection.analyze(req, scenes, px, winds, sites, v.lut(spark), detection.Settings(reference_mode="composite", draws=100))
+    out, _ = detection.analyze(req, scenes, px, winds, sites, v.lut(spark), detection.Settings(reference_mode="composite"))
     return out.select("det_id", "reference_id", "reference_mode", "n_pixels", r6("q_kg_h", 3).alias("q_kg_h"), r6("q_sigma_kg_h", 3).alias("q_sigma_kg_h"), F.array_join("flags", ",").alias("flags"))
 
 

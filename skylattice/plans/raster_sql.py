@@ -23,8 +23,8 @@ def labels_sql(src: str, dst: str, keys: str = "chip_id") -> str:
     """CTEs that label ``src`` into ``dst`` (keys, y, x, label) with the smallest pixel id; needs WITH RECURSIVE."""
     cols = ", ".join(f"s.{k}" for k in keys.split(", "))
     return f"""
-    {dst}_w({keys}, y, x, id) AS (SELECT {cols}, s.y, s.x, s.y * 1024 + s.x FROM {src} s
-      UNION SELECT {cols}, s.y, s.x, w.id FROM {dst}_w w JOIN {src} s ON {_on(keys, 'w', 's')} AND abs(s.y - w.y) <= 1 AND abs(s.x - w.x) <= 1 AND w.id < s.y * 1024 + s.x),
+    {dst}_w({keys}, y, x, id) AS (SELECT {cols}, s.y, s.x, s.y::BIGINT * 4294967296 + s.x FROM {src} s
+      UNION SELECT {cols}, s.y, s.x, w.id FROM {dst}_w w JOIN {src} s ON {_on(keys, 'w', 's')} AND abs(s.y - w.y) <= 1 AND abs(s.x - w.x) <= 1 AND w.id < s.y::BIGINT * 4294967296 + s.x),
     {dst} AS (SELECT {keys}, y, x, min(id) AS label FROM {dst}_w GROUP BY ALL)"""
 
 

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from skylattice.catalog.products import BUILTIN
+from skylattice.catalog.products import BUILTIN, S2_SR, S2_TOA
 from skylattice.catalog.registry import catalog_table, resolve_source_column
 from skylattice.functions.geo import Box
 from skylattice.operators import series
@@ -101,6 +101,26 @@ def optical_product_scan(spark, sf):
     return df.select("scene_id", "tile_id", "y", "x", r6("value").alias("value"))
 
 
+@query(
+    "src03_collection_choice", "px",
+    oracle=f"""
+    WITH c AS (SELECT *, day(ts) % 2 = 0 AS toa FROM px WHERE cloud_pct <= 65 AND {DATES_SQL})
+    SELECT 'NDWI' AS product, scene_id, count(*) AS n, round(avg(CASE WHEN {CLEAR_SQL} THEN (B3 / 10000.0 - B8 / 10000.0) / nullif(B3 / 10000.0 + B8 / 10000.0, 0) END), 6) AS value FROM c WHERE NOT toa GROUP BY scene_id
+    UNION ALL SELECT 'MBSP', scene_id, count(*), round(avg(CASE WHEN {CLEAR_SQL} THEN (B12 / 10000.0 - B11 / 10000.0) / nullif(B11 / 10000.0, 0) END), 6) FROM c WHERE toa GROUP BY scene_id
+    """,
+)
+def collection_choice(spark, sf):
+    """A table with scenes of both collections: each product reads its own."""
+    name = F.when(F.dayofmonth("ts") % 2 == 0, S2_TOA).otherwise(S2_SR)
+    both = v.px(spark, sf).withColumn("collection", name)
+
+    def means(key):
+        df = scans.optical_product(both, BUILTIN["s2"].get(key), None, START, END)
+        return df.groupBy("scene_id").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("value")).select(F.lit(key).alias("product"), "scene_id", "n", "value")
+
+    return means("NDWI").unionByName(means("MBSP"))
+
+
 @query(
     "src04_radar_scan", "px",
     oracle=f"""

@@ -150,11 +150,11 @@ def trailing_smooth(spark, sf):
 
 @query(
     "wn02_centred_smooth", "daily",
-    oracle="""SELECT series_id, CAST(date AS VARCHAR) AS date, round(avg(value) OVER (PARTITION BY series_id ORDER BY date RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND INTERVAL 4 DAY FOLLOWING), 6) AS smooth
-      FROM daily WHERE day(date) % 3 <> 0""",
+    oracle="""SELECT series_id, CAST(date AS VARCHAR) AS date, round(avg(CASE WHEN day(date) % 3 <> 0 THEN value END) OVER (PARTITION BY series_id ORDER BY date RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND INTERVAL 4 DAY FOLLOWING), 6) AS smooth
+      FROM daily""",
 )
 def centred_smooth(spark, sf):
-    d = daily(spark, sf).where(F.dayofmonth("date") % 3 != 0)
+    d = daily(spark, sf).withColumn("value", F.when(F.dayofmonth("date") % 3 != 0, F.col("value")))
     return series.rolling_centred(d, ("series_id",), window_days=9).select("series_id", day_text(), r6("smooth").alias("smooth"))
 
 
@@ -204,7 +204,7 @@ def frame_table(spark, sf):
 @query(
     "wn10_frame_composites", "ndvi",
     oracle=f"""
-    WITH f AS ({_FRAME_SQL}), c AS (SELECT idx, tile_id, y, x, avg(value) AS value FROM f JOIN ndvi ON CAST(ts AS DATE) BETWEEN start AND "end" AND month(ts) <> 3 GROUP BY ALL),
+    WITH f AS ({_FRAME_SQL}), c AS (SELECT idx, tile_id, y, x, avg(CASE WHEN month(ts) <> 3 THEN value END) AS value FROM f JOIN ndvi ON CAST(ts AS DATE) BETWEEN start AND "end" GROUP BY ALL),
     r AS (SELECT quantile_cont(value, 0.005) AS p, quantile_cont(value, 0.995) AS q FROM c WHERE idx = 9)
     SELECT f.idx, count(value) AS n_pixels, CASE WHEN count(value) > 0 THEN 'rendered' ELSE 'empty' END AS status, round(avg(value), 6) AS mean,
       round(any_value(greatest(p - (q - p) * 0.15, -1)), 6) AS vis_min, round(any_value(least(q + (q - p) * 0.15, 1)), 6) AS vis_max FROM f LEFT JOIN c USING (idx) CROSS JOIN r GROUP BY f.idx""",
@@ -213,7 +213,7 @@ def frame_composites(spark, sf):
     start, end = date(1997, 1, 1), date(1998, 6, 30)
     f = frames.interval_frames(spark, start, end, 30, 45)
     ids = frames.interval_frame_ids(F.to_date("ts"), start, end, 30, 45)
-    comp = frames.frame_composites(ndvi(spark, sf).where(F.month("ts") != 3), f, ids, ("tile_id", "y", "x"))
+    comp = frames.frame_composites(ndvi(spark, sf).withColumn("value", F.when(F.month("ts") != 3, F.col("value"))), f, ids, ("tile_id", "y", "x"))
     rng = composites.display_range(comp.where("idx = 9"), BUILTIN["s2"].get("NDVI"))
     mean = comp.groupBy("idx").agg(F.avg("value").alias("mean"))
     out = with_single_row(frames.frame_status(f, comp).join(mean, "idx", "left"), rng)

@@ -101,12 +101,23 @@ def mask_bands(df: DataFrame, keep: Column, bands: tuple[str, ...]) -> DataFrame
     return df.withColumns({b: F.when(keep, F.col(b)) for b in bands})
 
 
+def of_collection(pixels: DataFrame, name: str | None) -> DataFrame:
+    """Pixels of one image collection, where the table says from which each comes."""
+    if name is None or "collection" not in pixels.columns:
+        return pixels
+    return pixels.where(F.col("collection") == name)
+
+
 def optical_base(pixels: DataFrame, roi: Roi | None, start: When, end: When, bands: tuple[str, ...], *,
                  cloud_max: float = BROWSE_CLOUD_MAX, threshold: int = CLOUD_PROB_MAX,
-                 clouds: DataFrame | None = None) -> DataFrame:
-    """Date, region and scene-cloud filters, then per-pixel cloud mask and reflectance."""
-    df = scan(pixels, roi, start, end).where(F.col("cloud_pct") <= cloud_max)
+                 clouds: DataFrame | None = None, collection: str | None = None) -> DataFrame:
+    """Collection, date, region and scene-cloud filters, then per-pixel cloud mask and reflectance.
+
+    Only the cloud images of the scenes that are left are read into the join.
+    """
+    df = scan(of_collection(pixels, collection), roi, start, end).where(F.col("cloud_pct") <= cloud_max)
     if clouds is not None:
+        clouds = clouds.join(df.select("scene_id").distinct(), "scene_id", "left_semi")
         df = join_cloud_probability(df.drop("prob", "prob_present"), clouds)
     df = mask_bands(df, cloud_free(threshold), bands)
     df = to_reflectance(df, bands)
@@ -114,7 +125,9 @@ def optical_base(pixels: DataFrame, roi: Roi | None, start: When, end: When, ban
 
 
 def optical_product(pixels: DataFrame, product: Product, roi: Roi | None, start: When, end: When, **kw) -> DataFrame:
+    """A product from surface reflectance, or from the collection that it names itself."""
     bands = product.bands or (product.band,)
+    kw.setdefault("collection", product.collection)
     base = optical_base(pixels, roi, start, end, tuple(bands), **kw)
     return base.select(*PIXEL_KEYS, product_column(product).alias("value"))
 

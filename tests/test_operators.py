@@ -64,6 +64,38 @@ def test_exact_percentiles(spark, bound):
         assert math.isclose(got[g]["p50"], np.percentile(v, 50)) and math.isclose(got[g]["p05"], np.percentile(v, 5))
     total = quantiles.exact_percentiles(df, (), "v", {"m": 0.5}, accuracy=40, bound=bound).first()
     assert math.isclose(total["m"], np.median([x for _, x in rows]))
+    null_key = quantiles.robust_spread(spark.createDataFrame([(None, 1.0), (None, 3.0), (None, None)], "g string, v double"), ("g",), "v").first()
+    assert (null_key["g"], null_key["n"], null_key["median"], null_key["mad"]) == (None, 2, 2.0, 1.0)
+
+
+def test_labels_of_wide_chips(spark):
+    rng = np.random.default_rng(4)
+    picked = {(int(y), int(x)) for y, x in zip(rng.integers(0, 40, 1500), rng.integers(1000, 1060, 1500), strict=True)} | {(0, 1024), (0, 1025), (5, 70_000)}
+    df = spark.createDataFrame([(1, y, x) for y, x in picked], "chip int, y bigint, x bigint")
+    got = {(r["y"], r["x"]): r["label"] for r in mo.label_components(df, ["chip"], block=16).collect()}
+    assert set(got) == picked
+    left = set(picked)
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            y, x = todo.pop()
+            seen.add((y, x))
+            near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        first = min(seen)
+        assert {got[p] for p in seen} == {first[0] * mo.LABEL_ROW + first[1]}
+
+
+def test_pack_and_pad_large(spark):
+    df = spark.range(1024 * 1024).select(F.lit(1).alias("chip"), F.expr("id div 1024").alias("y"), (F.col("id") % 1024).alias("x"), (F.col("id") % 97).cast("double").alias("v")).where("id % 5 <> 0")
+    row = mo.pack(df, ["chip"], ["v"], 1024, 1024).select(F.size("v").alias("n"), F.get("v", F.lit(7)).alias("a"), F.get("v", F.lit(10)).alias("b")).first()
+    assert (row["n"], row["a"], row["b"]) == (1024 * 1024, 7.0, None)
+    for n, multiple in ((1, 4), (2, 5), (5, 32), (7, 7)):
+        line = spark.range(n).select(F.lit(0).cast("bigint").alias("y"), F.col("id").alias("x"), F.col("id").alias("v"))
+        got = [r["v"] for r in mo.reflect_pad(line, [], 1, n, multiple).where("y = 0").orderBy("x").collect()]
+        full = -(-n // multiple) * multiple
+        assert got == np.pad(np.arange(n), (0, full - n), mode="reflect" if n > 1 else "edge").tolist()
 
 
 def test_ranks_and_numbers(spark):
@@ -356,3 +388,21 @@ def test_event_geojson(spark, tmp_path):
     row = good.first()
     assert good.count() == 1 and bad.count() == 0
     assert (row.lat, row.lon, row.q_kg_h, row.rate_unit, row.raw["note"]) == (38.5, 53.9, 11200.0, "t_h", "b")
+
+
+def test_inversion_follows_the_tables_own_steps(spark):
+    steps = (2.0, 2.5, 3.0, 4.5)
+    curve = lambda amf, w: -0.01 * amf * w
+    lut = spark.createDataFrame([("v", "S", a, float(w), curve(a, w)) for a in steps for w in range(6)], "lut_version string, spacecraft string, amf double, delta_omega double, m double")
+    cases = [(i, "S", amf, curve(amf, 1.7)) for i, amf in enumerate((2.0, 2.2, 2.7, 3.6, 4.5))] + [(9, "S", 2.2, None), (10, "S", 99.0, curve(4.5, 2.0))]
+    got = {r["id"]: r["w"] for r in invert_signal(spark.createDataFrame(cases, "id int, spacecraft string, amf double, s double"), lut, "v", "s", "w").collect()}
+    assert all(math.isclose(got[i], 1.7, rel_tol=1e-9) for i in range(5)) and got[9] is None and math.isclose(got[10], 2.0, rel_tol=1e-9)
+
+
+def test_missing_scene_is_an_error(spark):
+    from skylattice.operators.composites import single_scene_anomaly
+
+    px = spark.createDataFrame([("a", datetime(2020, 1, 1), 1, 0, 0, 1.0, 2.0)], "scene_id string, ts timestamp_ntz, tile_id int, y int, x int, B12 double, B11 double")
+    assert single_scene_anomaly(px, "a", (date(2020, 1, 1), date(2020, 2, 1))).count() == 1
+    with pytest.raises(Exception, match="no scene b"):
+        single_scene_anomaly(px, "b", (date(2020, 1, 1), date(2020, 2, 1))).collect()
