@@ -37,6 +37,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
 BLOCK = 1_024
+SEGMENT = 512 * BLOCK  # ids that one vector step packs
 FILE_IDS = 4_000_000
 END_ID = 1
 CACHE_WORDS = 200_000
@@ -57,6 +58,18 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, first word of every block (and the end), and the escape table of ``ids``."""
+    words, first, escapes = [], [np.zeros(1, np.int64)], []
+    for start in range(0, len(ids), SEGMENT):
+        w, f, e = _pack_segment(ids[start : start + SEGMENT].astype(np.uint64), sum(map(len, escapes)))
+        first.append(f[1:] + sum(map(len, words)))
+        words.append(w)
+        escapes.append(e)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *words]), np.concatenate(first), np.concatenate([none, *escapes])
+
+
+def _pack_segment(ids: np.ndarray, escaped_before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pack`` for whole blocks; escapes are numbered from ``escaped_before``."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     widest = int(COUNTS.max())
@@ -101,7 +114,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             step = np.arange(COUNTS[s])
             words[own] |= np.bitwise_or.reduce(values[place[own][:, None] + step] << (step * WIDTHS[s]).astype(np.uint64), axis=1)
     escaped = np.flatnonzero(selector == 0)
-    words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
+    words[escaped] |= np.arange(escaped_before, escaped_before + len(escaped), dtype=np.uint64)
     first = np.searchsorted(place, np.arange(blocks + 1) * BLOCK)
     return words, first.astype(np.int64), values[place[escaped]]
 
@@ -193,7 +206,7 @@ def write_files(docs: DataFrame, path: str, folder: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal place, total
             name = f"ids-{part:06d}-{place:05d}-{uuid.uuid4().hex}.bin"
-            content = file_bytes(doc_ids, [len(i) for i in ids], np.concatenate(ids).astype(np.uint64))
+            content = file_bytes(doc_ids, [len(i) for i in ids], np.concatenate(ids))
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(content)
             row = {"part": [part], "place": [place], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [total]}
