@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.joins import salted_join
 
-BUCKETS = 200
+BUCKET_ROWS = 20_000
+MOST_BUCKETS = 10_000
 
 
-def bucketed(df: DataFrame, keys: tuple[str, ...], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``_b``, an order-preserving bucket of ``value`` within the group."""
+def bucketed(df: DataFrame, keys: tuple[str, ...], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``_b``, an order-preserving bucket of ``value`` within the group.
+
+    The largest group's row count sets how many buckets there are, so a bucket stays about
+    ``bucket_rows`` however large the table is.
+    """
     group = list(keys)
     if not keys:
         df, group = df.withColumn("_all", F.lit(0)), ["_all"]
+    largest = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(2, min(MOST_BUCKETS, -(-largest // bucket_rows)))
     cuts = df.groupBy(*group).agg(F.percentile_approx(F.col(value), [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
     joined = salted_join(df, cuts, group, [value]) if keys else df.join(F.broadcast(cuts), group)
     return joined.withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
@@ -55,3 +62,21 @@ def numbered(df: DataFrame, keys: tuple[str, ...], order: str, output: str) -> D
     inside = Window.partitionBy(*group, "_b").orderBy(order)
     out = b.withColumn("_i", F.row_number().over(inside) - 1).join(starts, [*group, "_b"])
     return out.withColumn(output, F.col("_start") + F.col("_i")).select(*[c for c in df.columns], output)
+
+
+def weighted_median(df: DataFrame, keys: tuple[str, ...], value: str, weight: str, name: str = "median") -> DataFrame:
+    """The median of ``value`` where every row counts ``weight`` times; nothing is repeated."""
+    wide = F.sum(F.col(weight).cast("decimal(38,0)"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(wide.alias("_n"))
+    b = bucketed(counted, keys, "_x")
+    group = list(keys) or ["_all"]
+    totals = b.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))
+    run = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_b", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_start"), F.sum("_t").over(Window.partitionBy(*group)).alias("_all_n"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = b.withColumn("_upto", F.sum("_n").over(inside)).join(starts, [*group, "_b"]).withColumn("_upto", F.col("_upto") + F.col("_start"))
+    # the lower middle is the first value with half of the weight up to it, the upper one that with more than half
+    found = placed.groupBy(*group).agg(
+        F.min(F.when(F.col("_upto") * 2 >= F.col("_all_n"), F.col("_x"))).alias("_lo"), F.min(F.when(F.col("_upto") * 2 > F.col("_all_n"), F.col("_x"))).alias("_hi")
+    )
+    return found.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(name))

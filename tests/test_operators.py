@@ -406,3 +406,15 @@ def test_missing_scene_is_an_error(spark):
     assert single_scene_anomaly(px, "a", (date(2020, 1, 1), date(2020, 2, 1))).count() == 1
     with pytest.raises(Exception, match="no scene b"):
         single_scene_anomaly(px, "b", (date(2020, 1, 1), date(2020, 2, 1))).collect()
+
+
+def test_theil_sen_weighs_heavy_multiplicities(spark):
+    heavy = spark.range(100_000).select(F.lit("g").alias("g"), F.explode(F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), F.struct(F.lit(2.0).alias("x"), F.lit(5.0).alias("y")))).alias("p"))
+    few = spark.createDataFrame([("g", (3.0, 100.0))], "g string, p struct<x: double, y: double>")
+    points = heavy.unionByName(few).select("g", F.col("p.x").alias("q_ref"), F.col("p.y").alias("q_ours"))
+    assert statistics.theil_sen(points, ("g",)).first()["theil_sen"] == 3.0
+    rng = np.random.default_rng(8)
+    some = [("h", float(x), float(y)) for x, y in zip(rng.integers(0, 9, 60), rng.normal(size=60).round(1), strict=True)]
+    slopes = [(b[2] - a[2]) / (b[1] - a[1]) for a in some for b in some if a[1] < b[1]]
+    got = statistics.theil_sen(spark.createDataFrame(some, "g string, q_ref double, q_ours double"), ("g",)).first()["theil_sen"]
+    assert math.isclose(got, np.median(slopes))
