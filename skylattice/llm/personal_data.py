@@ -231,9 +231,11 @@ def decode(window: str, weights: np.ndarray) -> list[Span]:
     return out[::-1]
 
 
-def _variants(window: str, span: Span) -> Iterator[tuple[str, list[Span]]]:
-    """Windows in which the span is written otherwise, and some in which it is no personal data any more."""
-    start, kind, end = span
+def _variants(window: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
+    """Windows in which one of the spans is written otherwise, and some in which it is no personal data any more."""
+    chosen = spans[len(window) % len(spans)]
+    start, kind, end = chosen
+    others = [s for s in spans if s[2] <= start or s[0] >= end]
     s = window[start:end]
     if kind == 0:
         local, host = s.split("@", 1)
@@ -251,7 +253,9 @@ def _variants(window: str, span: Span) -> Iterator[tuple[str, list[Span]]]:
         spelled = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"]
         broken = [f"{d[3:6]}-{d[6:8]}", d[:5], f"{d[:2]}.{d[2]}"]
     for new, keep in (*((x, True) for x in spelled), *((x, False) for x in broken)):
-        yield window[:start] + new + window[end:], [(start, kind, start + len(new))] * keep
+        moved = len(new) - (end - start)
+        rest = [s if s[2] <= start else (s[0] + moved, s[1], s[2] + moved) for s in others]
+        yield window[:start] + new + window[end:], sorted([*rest, *[(start, kind, start + len(new))] * keep])
 
 
 def _examples(sample: list[str]) -> list[tuple[int, list[Segment], list[tuple[int, int]]]]:
@@ -260,8 +264,8 @@ def _examples(sample: list[str]) -> list[tuple[int, list[Segment], list[tuple[in
     for window in sample:
         spans = base_spans(window)
         made = [(window, spans)]
-        if len(spans) == 1:
-            made += _variants(window, spans[0])
+        if spans:
+            made += _variants(window, spans)
         for text, gold in made:
             n, segs = segments(text)
             at = {(s[2], s[3]): i for i, s in enumerate(segs)}

@@ -34,7 +34,7 @@ def brute(text):
 
 def test_base_spans_match_the_patterns(odd_rows):
     rng = random.Random(3)
-    texts = [r[1] or "" for r in odd_rows] + ["".join(rng.choice("0123456789.. @+-(a )%") for _ in range(50)) for _ in range(20_000)]
+    texts = [r[1] or "" for r in odd_rows if len(r[1] or "") < 5_000] + ["".join(rng.choice("0123456789.. @+-(a )%") for _ in range(50)) for _ in range(5_000)]
     for text in texts:
         assert p.base_spans(text) == brute(text), text
 
@@ -57,7 +57,7 @@ def corpus(make_docs):
         words[20] = card
         words[28] = f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}"
         words[35] = f"Version {rng.randrange(9)}.{rng.randrange(9)}"
-        rows.append((i, " ".join(words)))
+        rows.append((1_000 + i, " ".join(words)))
     return make_docs(rows)
 
 
@@ -65,9 +65,9 @@ def test_the_field_adds_spans_and_leaves_plain_numbers_alone(corpus):
     weights = p.fit(corpus)
     found = lambda t: [(t[a:b], p.KINDS[k]) for a, k, b in p.all_spans(t, weights)[1]]
     assert found("please call (017) 555-7713 about the stone") == [("(017) 555-7713", "phone")]
-    assert found("the card 9807.9157.6280.4490 of the river") == [("9807.9157.6280.4490", "card")]
+    assert found("the card 4111.1111.1111.1111 of the river") == [("4111.1111.1111.1111", "card")]
     assert found("walk to bob.smith (at) example.com by the light") == [("bob.smith (at) example.com", "email")]
-    for clean in ("Version 2.0.1 of 2021 with 3 parts", "the Apache License, Version 2.0.", "room 555-77 at 12:30", "in 2021-05-06 the stone", "9807915762804491 is no card"):
+    for clean in ("Version 2.0.1 of 2021 with 3 parts", "the Apache License, Version 2.0.", "room 555-77 at 12:30", "in 2021-05-06 the stone", "4111111111111112 is no card"):
         assert found(clean) == [], clean
 
 
