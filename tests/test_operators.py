@@ -140,7 +140,7 @@ def flood(mask):
                     if mask[c, d] and not label[c, d]:
                         label[c, d] = 1
                         stack.append((c, d))
-        out.update({c: min(p * 1024 + q for p, q in cells) for c in cells})
+        out.update({c: min(p * mo.LABEL_ROW + q for p, q in cells) for c in cells})
     return out
 
 
