@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from skylattice.functions.joins import with_single_row
 from skylattice.functions.randoms import order_key
 from skylattice.operators.learning import dot
+from skylattice.session import materialize
 
 # Fixed values.
 DIMENSIONS = 64
 MIN_K, MAX_K = 2, 12
-SAMPLE = 5000
 
 
 def checked(vector: Column) -> Column:
@@ -48,10 +48,17 @@ def change(mosaic: DataFrame, year_a: int, year_b: int) -> DataFrame:
     return a.join(b, "pixel_id").select("pixel_id", (1.0 - dot("a", "b")).alias("change"))
 
 
-def cluster(mosaic: DataFrame, k: int, seed: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """k-means fitted on a repeatable sample and applied to every pixel; k is held between 2 and 12."""
+def cluster(mosaic: DataFrame, k: int, seed: int = 0, sample: int | None = None) -> DataFrame:
+    """k-means fitted on all pixels and applied to them; k is held between 2 and 12.
+
+    ``sample`` fits on that many rows instead, picked repeatably. The first centres are drawn per
+    partition, so another layout of the rows may end in another local optimum.
+    """
     k = max(MIN_K, min(MAX_K, k))
-    features = mosaic.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    picked = features.orderBy(order_key(seed, F.concat_ws("|", "pixel_id", "year"))).limit(sample)
+    # every iteration reads the rows again
+    features = materialize(mosaic, "vectors").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    picked = features
+    if sample is not None:
+        picked = features.orderBy(order_key(seed, F.concat_ws("|", "pixel_id", "year"))).limit(sample)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(picked.select("features"))
     return model.transform(features).drop("features")

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from skylattice.catalog.expressions import band_math
 from skylattice.catalog.products import BUILTIN, all_products
 from skylattice.catalog.registry import get_product, refuse, resolve_source
-from skylattice.functions import geo, quantiles, rates, times
+from skylattice.functions import geo, quantiles, randoms, rates, times
 from skylattice.functions.inversion import invert_signal
 from skylattice.functions.ranks import numbered, value_ranks
-from skylattice.operators import emission, frames, learning, matching, plume, retrieval, scene_choice, screening, series, statistics, winds
+from skylattice.operators import emission, frames, learning, matching, plume, retrieval, scene_choice, screening, series, statistics, vectors, winds
 from skylattice.operators import morphology as mo
 from skylattice.operators.components import connected_components
 from skylattice.plans import views
@@ -342,6 +342,24 @@ def test_average_linkage_per_component(spark):
     assert got == {i: i % 4 for i in range(40)}
 
 
+def test_vector_clusters_see_every_row(spark):
+    rng = np.random.default_rng(9)
+    pixels = spark.range(5200).select(F.col("id").alias("pixel_id"), F.lit(2020).cast("bigint").alias("year"))
+    order = [r.pixel_id for r in pixels.orderBy(randoms.order_key(0, F.concat_ws("|", "pixel_id", "year"))).collect()]
+    rare = set(order[-20:])
+    rows = [(i, 2020, [float(x) for x in (-1.0 if i in rare else 1.0, *rng.normal(0, 0.01, 3))]) for i in range(5200)]
+    df = spark.createDataFrame(rows, "pixel_id bigint, year bigint, embedding array<float>").repartition(4)
+
+    def parts(out):
+        groups = {}
+        for r in out.collect():
+            groups.setdefault(r.cluster, set()).add(r.pixel_id)
+        return {frozenset(g) for g in groups.values()}
+
+    assert parts(vectors.cluster(df, 2)) == {frozenset(rare), frozenset(range(5200)) - rare}
+    assert len(parts(vectors.cluster(df, 2, sample=5000)) & {frozenset(rare)}) == 0
+
+
 def test_draws_recover_the_rate(spark):
     row = (0, [20] * 5, [100.0] * 5, [90.0] * 5, 400.0, 4.0, 0.0)
     sweep = spark.createDataFrame([row], "det_id bigint, n_k array<bigint>, ime_k array<double>, len_k array<double>, area_m2 double, u10 double, sigma_u10 double")
