@@ -136,3 +136,17 @@ def overpass_sessions(spark, sf):
     out = running.to_table(forms.overpass_sessions(s), "sessions", "append")
     closed = out.select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")
     return closed
+
+
+@query(
+    "st08_all_overpass_sessions", "scenes",
+    oracle="""
+    WITH g AS (SELECT relative_orbit, spacecraft, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM scenes WINDOW w AS (PARTITION BY relative_orbit, spacecraft ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY relative_orbit, spacecraft ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+    SELECT relative_orbit, spacecraft, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY relative_orbit, spacecraft, sid""",
+)
+def all_overpass_sessions(spark, sf):
+    # At the end of the input the open sessions count too.
+    s = as_stream(spark, v.scenes(spark, sf).select("relative_orbit", "spacecraft", "ts"), "scenes")
+    out = running.last_batch(running.to_table(forms.overpass_sessions(s, late=None), "sessions", "complete"))
+    return out.select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")

@@ -151,8 +151,13 @@ def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series") ->
     return table.read()
 
 
-def overpass_sessions(stream: DataFrame, late: str = OPEN_DAYS, gap: str = SESSION_GAP) -> DataFrame:
-    """Adjacent tiles of one pass as one acquisition, per orbit and spacecraft."""
-    rows = stream.withWatermark("ts", late)
+def overpass_sessions(stream: DataFrame, late: str | None = OPEN_DAYS, gap: str = SESSION_GAP) -> DataFrame:
+    """Adjacent tiles of one pass as one acquisition, per orbit and spacecraft.
+
+    In append mode a session comes out once the watermark has closed it. Without a watermark
+    (``late=None``, complete mode) every session comes out, also the open ones, and no row is too
+    late; the state is then one row per session, at most one per gap for an orbit and spacecraft.
+    """
+    rows = stream if late is None else stream.withWatermark("ts", late)
     per = rows.groupBy(F.session_window("ts", gap).alias("w"), "relative_orbit", "spacecraft").agg(F.count("*").alias("n"))
     return per.select("relative_orbit", "spacecraft", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

@@ -56,6 +56,12 @@ def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(*keys, "_r.*")
 
 
+def last_batch(emitted: DataFrame) -> DataFrame:
+    """Rows of the newest batch: the whole result of a complete-mode output."""
+    newest = emitted.agg(F.max("batch")).first()[0]
+    return emitted.where(F.col("batch") == F.lit(newest)).drop("batch")
+
+
 class VersionedTable:
     """A small keyed table rewritten version by version; readers see whole versions only."""
 

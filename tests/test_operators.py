@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from datetime import date, datetime
 
+import check_queries
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from skylattice.catalog.expressions import band_math
 from skylattice.catalog.products import BUILTIN, all_products
 from skylattice.catalog.registry import get_product, refuse, resolve_source
@@ -380,6 +383,27 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_sessions_are_whole_at_the_end_of_the_input(spark, tmp_path):
+    times = ["2024-01-01 10:00", "2024-01-01 10:20", "2024-01-09 10:00", "2024-01-09 10:25", "2024-01-09 12:00", "2024-01-01 10:40"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.lit(1).alias("relative_orbit"), F.lit("A").alias("spacecraft"), F.col("t").cast("timestamp").alias("ts"))
+    for i in range(len(times)):
+        rows.where(f"i = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = running.file_stream(spark, str(tmp_path / "in"), rows, files_per_batch=1)
+    out = running.last_batch(running.to_table(forms.overpass_sessions(stream, late=None), "all", "complete"))
+    got = sorted((str(r.start), str(r.end), r.n) for r in out.collect())
+    assert got == [("2024-01-01 10:00:00", "2024-01-01 11:10:00", 3), ("2024-01-09 10:00:00", "2024-01-09 10:55:00", 2), ("2024-01-09 12:00:00", "2024-01-09 12:30:00", 1)]
+
+
+def test_every_session_of_the_scenes_comes_out(spark):
+    sf = "/root/testdata/sf0.001"
+    duck = check_queries.connect(sf)
+    name = "st08_all_overpass_sessions"
+    ok, message, _ = check_queries.compare(spark, duck, name, entry.queries()[name], entry.oracle_sql()[name], sf)
+    assert ok, message
+    n = views.scenes(spark, sf).count()
+    assert entry.queries()[name](spark, sf).agg(F.sum("n")).first()[0] == n
+
+
 def test_degenerate_statistics(spark):
     one_day = spark.createDataFrame([("s", date(2024, 1, 1), 2.0, 1), ("s", date(2024, 1, 1), 3.0, 1)], "series_id string, date date, value double, count bigint")
     r = series.series_statistics(one_day, ("series_id",)).first()
