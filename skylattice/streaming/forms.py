@@ -17,8 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skylattice.functions.geo import haversine_km
 from skylattice.operators import matching
 from skylattice.operators.scene_choice import days
-from skylattice.sources.sinks import upsert
-from skylattice.streaming.running import VersionedTable, each_batch
+from skylattice.streaming.running import to_table
 
 # Fixed values.
 OPEN_DAYS = "2 days"
@@ -134,21 +133,15 @@ def prefer_provenance(stream: DataFrame, prefer: str = "live", step_km: float =
     )
 
 
-def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series") -> DataFrame:
-    """Fine values replace coarse ones as they land: an upsert per micro-batch, by resolution then arrival.
+def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series", folders: tuple[str, str] | None = None) -> DataFrame:
+    """Fine values replace coarse ones as they land: every row is appended, the best of a key is read.
 
-    ``stream``: keys, value, count, resolution (0 coarse, 1 fine). The series has one row per key.
+    ``stream``: keys, value, count, resolution (0 coarse, 1 fine). The series has one row per key, by
+    resolution, then count, then value. ``folders``: checkpoint and output folder, to go on after a restart.
     """
-    spark = stream.sparkSession
-    schema = stream.select(*keys, "value", "count", "resolution").schema
-    table = VersionedTable(spark, name, schema)
-
-    def write(df: DataFrame, batch: int) -> None:
-        order = F.struct("resolution", "count", "value")
-        table.replace(upsert(table.read(), df.select(*keys, "value", "count", "resolution"), keys, order), batch)
-
-    each_batch(stream, name, write, "append")
-    return table.read()
+    rows = to_table(stream.select(*keys, "value", "count", "resolution"), name, "append", folders).drop("batch")
+    order, rest = F.struct("resolution", "count", "value"), F.struct("value", "count", "resolution")
+    return rows.groupBy(*keys).agg(F.max_by(rest, order).alias("_r")).select(*keys, "_r.*")
 
 
 def overpass_sessions(stream: DataFrame, late: str | None = OPEN_DAYS, gap: str = SESSION_GAP) -> DataFrame:

@@ -18,28 +18,33 @@ def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "
     return reader.parquet(folder)
 
 
-def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Drive ``stream`` over the available data; ``write`` gets every micro-batch with its number."""
+def each_batch(stream: DataFrame, name: str, write: Callable[[DataFrame, int], None], mode: str = "update", state: str | None = None) -> None:
+    """Drive ``stream`` over the available data; ``write`` gets every micro-batch with its number.
+
+    ``state``: checkpoint folder to go on from; a fresh one by default.
+    """
     spark = stream.sparkSession
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+        .option("checkpointLocation", state or scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
+def to_table(stream: DataFrame, name: str, mode: str = "update", folders: tuple[str, str] | None = None) -> DataFrame:
     """All emitted rows with their batch number, as a table.
 
     A batch writes its own folder and overwrites it when repeated, so a retry adds nothing twice.
+    ``folders``: checkpoint and output folder, kept together; a stream that starts again with them
+    goes on and reads the earlier batches too. Fresh ones by default.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, name)
+    state, path = folders or (None, scratch_path(spark, name))
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    each_batch(stream, name, write, mode)
+    each_batch(stream, name, write, mode, state)
     schema = stream.schema.add("batch", "long")
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
@@ -60,21 +65,3 @@ def last_batch(emitted: DataFrame) -> DataFrame:
     """Rows of the newest batch: the whole result of a complete-mode output."""
     newest = emitted.agg(F.max("batch")).first()[0]
     return emitted.where(F.col("batch") == F.lit(newest)).drop("batch")
-
-
-class VersionedTable:
-    """A small keyed table rewritten version by version; readers see whole versions only."""
-
-    def __init__(self, spark: SparkSession, name: str, schema) -> None:
-        self.spark, self.schema = spark, schema
-        self.root = scratch_path(spark, name)
-        self.version: int | None = None
-
-    def read(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={self.version}")
-
-    def replace(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        self.version = version

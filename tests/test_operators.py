@@ -383,6 +383,22 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_series_goes_on_after_a_restart(spark, tmp_path):
+    kind = "series_id string, value double, count bigint, resolution int"
+    folders = (str(tmp_path / "state"), str(tmp_path / "out"))
+    land = lambda *rows: spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = running.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind))
+        return sorted(map(tuple, forms.replace_coarse(stream, ["series_id"], folders=folders).collect()))
+
+    land(("a", 1.0, 9, 0), ("b", 2.0, 9, 0), ("c", 3.0, 1, 1))
+    assert run() == [("a", 1.0, 9, 0), ("b", 2.0, 9, 0), ("c", 3.0, 1, 1)]
+    land(("b", 5.0, 1, 1), ("c", 7.0, 9, 0))
+    want = [("a", 1.0, 9, 0), ("b", 5.0, 1, 1), ("c", 3.0, 1, 1)]
+    assert run() == want and run() == want
+
+
 def test_sessions_are_whole_at_the_end_of_the_input(spark, tmp_path):
     times = ["2024-01-01 10:00", "2024-01-01 10:20", "2024-01-09 10:00", "2024-01-09 10:25", "2024-01-09 12:00", "2024-01-01 10:40"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", F.lit(1).alias("relative_orbit"), F.lit("A").alias("spacecraft"), F.col("t").cast("timestamp").alias("ts"))
