@@ -20,8 +20,8 @@ Steps, each on whole tables:
 5. Components of the confirmed links.
 
 Defined results: null and wordless texts have size 0, are linked with nothing and are kept; rows
-without an id share the component of their text but are never kept; rows that repeat an id and a
-text count as one document.
+without an id take part in the links under a number above all ids, but are never kept, and their
+component is null when no member has an id; rows that repeat an id and a text count as one document.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.ranks import numbered
 from skylattice.llm.common import BoundedCache, materialize, mix, per_batch, to_bytes, word_hash
 from skylattice.operators.components import connected_components
 
@@ -233,8 +234,21 @@ def visit_links(percent: int):
     return work
 
 
-def confirmed_links(docs: DataFrame, edges: DataFrame, k: int, percent: int) -> DataFrame:
-    """A spanning forest of the true links inside the components of the candidate edges."""
+def _bare_sets(docs: DataFrame, bare: DataFrame, k: int) -> DataFrame:
+    """(node, elements) of the sets that only rows without an id have."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [shingles(t, k).tobytes() for t in to_bytes(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(b) for b in packed], pa.binary()), pa.array(packed, pa.binary())], ["set_key", "elements"])
+
+    sets = per_batch(docs.where("doc_id IS NULL").select("text"), work, "set_key binary, elements binary").where("length(elements) > 0")
+    return sets.groupBy("set_key").agg(F.first("elements").alias("elements")).join(bare.select("set_key", "node"), "set_key").select("node", "elements")
+
+
+def confirmed_links(docs: DataFrame, edges: DataFrame, k: int, percent: int, bare: DataFrame | None = None) -> DataFrame:
+    """A spanning forest of the true links inside the components of the candidate edges.
+
+    ``bare``: (set_key, node) of sets that only rows without an id have."""
     family = connected_components(edges)
     sizes = family.groupBy("component").agg(F.count("*").alias("members"))
     placed = family.join(sizes, "component").select(
@@ -247,7 +261,10 @@ def confirmed_links(docs: DataFrame, edges: DataFrame, k: int, percent: int) ->
         return pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], [*batch.schema.names[1:], "elements"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(placed.hint("merge"), "node").select("text", "node", "family", "chunks", "hub_step", "chunk")
-    sets = materialize(per_batch(texts, work, "node long, family long, chunks int, hub_step int, chunk int, elements binary").where("length(elements) > 0"), "family_sets")
+    sets = per_batch(texts, work, "node long, family long, chunks int, hub_step int, chunk int, elements binary").where("length(elements) > 0")
+    if bare is not None:
+        sets = sets.unionByName(_bare_sets(docs, bare, k).join(placed.hint("merge"), "node"))
+    sets = materialize(sets, "family_sets")
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(7)), F.col("hub_step")) == 0)
     seats = F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     seated = sets.select("family", F.explode(seats).alias("chunk"), "node", "elements")
@@ -275,15 +292,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     sketched = materialize(sketches(docs, k), "sketches")
     filled = sketched.where("set_key IS NOT NULL")
-    nodes = filled.where("doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")
-    )
-    nodes = materialize(nodes, "nodes")
-    links = confirmed_links(docs, candidate_edges(nodes, percent), k, percent)
+    keys = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    nodes, bare = materialize(keys, "nodes"), None
+    top, n_bare = nodes.agg(F.coalesce(F.max("node"), F.lit(-1)), F.count_if(F.col("node").isNull())).first()
+    if n_bare:
+        # an id that is not the smallest of its set may be above every node
+        top = max(top, filled.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0])
+        if top + n_bare >= 2**63:
+            raise ValueError("the ids leave no room for numbers of rows without an id")
+        unnamed = nodes.where("node IS NULL").drop("node").withColumn("_o", F.xxhash64("set_key"))
+        bare = materialize(numbered(unnamed, (), "_o", "_i").select("set_key", (F.lit(top + 1) + F.col("_i")).cast("long").alias("node"), "n_shingles", "regs"), "bare")
+        nodes = nodes.where("node IS NOT NULL").unionByName(bare)
+    links = confirmed_links(docs, candidate_edges(nodes, percent), k, percent, bare)
     components = connected_components(links)
     of_key = nodes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     own = sketched.drop("regs").join(of_key, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("component") <= top, F.col("component"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

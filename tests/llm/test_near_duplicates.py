@@ -69,6 +69,27 @@ def test_families_of_many_chunks(spark, make_docs, monkeypatch, chunk):
     assert order(got) == order(brute(rows, 2))
 
 
+@pytest.mark.parametrize("chunk", [4, 256])
+def test_rows_without_id_take_part_in_the_links(spark, make_docs, monkeypatch, chunk):
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    monkeypatch.setattr(nd, "HUBS", 3)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    # the row without an id is the only link of 1 and 2; 3 and its row without an id are near; two without an id stand alone
+    rows = [(1, " ".join(words[:90])), (None, " ".join(words[:100])), (2, " ".join(words[10:100]))]
+    other = [f"o{i}" for i in range(80)]
+    rows += [(3, " ".join(other)), (None, " ".join(other[:76])), (None, " ".join(other[:76]))]
+    alone = [f"a{i}" for i in range(80)]
+    rows += [(None, " ".join(alone)), (None, " ".join(alone[:76])), (2**62 + 5, "far off"), (-9, "below all")]
+    rows += [(2**62 + 6 + i, " ".join(words[:90])) for i in range(6)]  # copies of 1, above every set's smallest id
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(60)]
+        rows += [(None if rng.random() < 0.5 else 100 + len(rows) + j, perturbed(rng, base, rng.choice([0.0, 0.03, 0.06, 0.12]))) for j in range(20)]
+    got = [tuple(r) for r in nd.near_duplicates(make_docs(rows), 2, 80).collect()]
+    assert order(got) == order(brute(rows, 2))
+    assert (None, 99, 1, False) in got and (2, 89, 1, False) in got
+
+
 def test_one_of_each_keeps_columns_and_rows_without_id(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = nd.one_of_each(docs, 5, 80)
