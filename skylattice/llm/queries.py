@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from skylattice.llm.ball_tree import top_inner_products, whole_numbers
 from skylattice.llm.byte_pairs import round_trips
 from skylattice.llm.common import materialize, table
+from skylattice.llm.decontamination import contamination
 from skylattice.llm.kd_shards import kd_shards
+from skylattice.llm.lexical_search import best_documents
 from skylattice.llm.mixing import SEED, leaf_budgets, leaf_cuts, measured, taken
 from skylattice.llm.near_duplicates import near_duplicates
 from skylattice.llm.personal_data import personal_data
 from skylattice.llm.quality_rules import quality_verdicts
 from skylattice.llm.revisits import resolved
+from skylattice.llm.spelling_variants import spelling_variants
 from skylattice.llm.token_counts import token_counts
 from skylattice.llm.token_files import token_files
 
@@ -190,3 +193,78 @@ def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query
+def op11_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _folded(text: str) -> str:
+    """Words of a text in SQL, after A-Z are lower-cased one by one (other letters stay)."""
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLES["op11_aho_corasick"] = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_folded("text")} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[pos:pos + least(10, len(w)) - 1], ' ') AS window_text
+    FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_folded("text")}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT r, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS window_text FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS pos FROM docs, sizes)),
+found AS (SELECT g.r, g.n, g.pos, v.item FROM grams g JOIN windows v ON g.n = v.n AND g.window_text = v.window_text),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+@query
+def op12_lemp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op12_lemp"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_folded("text")} AS w FROM documents),
+sized AS (SELECT r, doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS rows_n, sum(n)::BIGINT AS total FROM sized),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY r, term),
+items AS (SELECT row_number() OVER () AS i, item_id, {_folded("text")} AS w FROM benchmark),
+wanted AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM items),
+weights AS (SELECT term, floor(1000 * ln((2 * rows_n + 2) / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+scored AS (SELECT q.i, q.item_id, t.r, s.doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * s.n * rows_n) // total)))))::BIGINT AS score
+    FROM wanted q JOIN weights USING (term) JOIN tf t USING (term) JOIN sized s ON s.r = t.r, whole GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM places WHERE rank <= 10
+"""
+
+
+@query
+def op13_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+#: crc32: the table of its 256 bytes, eight shifts each.
+_CRC_STEP = "xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC_TABLE = f"list_transform(range(256), lambda b: list_reduce(range(8), lambda x, k: {_CRC_STEP}, b))"
+
+ORACLES["op13_part_enum"] = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+runs AS (SELECT d, run, count(*) AS c FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d,
+    unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS cased, translate(cased, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY d, run),
+coded AS (SELECT run, c, hex(encode(d || ':' || run)) AS bytes FROM runs WHERE length(run) >= 5),
+hashed AS (SELECT run, c, xor(4294967295, list_reduce(list_transform(range(len(bytes) // 2), lambda i: ('0x' || substr(bytes, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda x, b: xor(x >> 8, t[(xor(x & 255, b) + 1)::BIGINT]), 4294967295::BIGINT)) AS h FROM coded, crc),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS (SELECT word, n, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.head || a.tail = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.head || a.tail = b.word),
+ordered AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+forms AS (SELECT w.word, w.n, coalesce(o.n_near, 0)::BIGINT AS n_near, CASE WHEN o.other_n >= 2 * w.n THEN o.other END AS form, CASE WHEN o.other_n >= 2 * w.n THEN o.other_n END AS form_n
+    FROM words w LEFT JOIN ordered o ON w.word = o.word AND o.k = 1),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n::BIGINT AS form_n, c.at AS root FROM forms f JOIN chain c ON f.word = c.word JOIN forms e ON c.at = e.word AND e.form IS NULL
+"""
