@@ -12,7 +12,8 @@ from pyspark.sql.types import DoubleType
 
 from skylattice.functions.joins import salted_join, with_single_row
 from skylattice.functions.quantiles import exact_median, exact_percentiles, pearson, robust_spread
-from skylattice.functions.ranks import average_rank, weighted_median
+from skylattice.functions.ranks import average_rank
+from skylattice.operators.pair_slopes import median_pair_slope
 
 # Fixed values.
 RATE_BIN_EDGES = (500.0, 1000.0, 2000.0, 3000.0, 5000.0, 7500.0, 10000.0, 15000.0, 25000.0, 50001.0)
@@ -40,24 +41,9 @@ def ratio_statistics(pairs: DataFrame, keys: tuple[str, ...], ours: str = "q_our
     return slope.join(med, list(keys), "left").join(spread, list(keys), "left")
 
 
-def theil_sen(points: DataFrame, keys: tuple[str, ...], x: str = "q_ref", y: str = "q_ours", blocks: int = 8) -> DataFrame:
-    """Median slope over all pairs with distinct x.
-
-    Equal points are folded first and carry a weight. The remaining points are dealt into
-    blocks and pairs are formed block against block, so no task meets a whole group; equal
-    slopes are counted, and the median weighs them.
-    """
-    pts = points.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_w"))
-    dealt = pts.withColumn("_b", F.pmod(F.xxhash64("_x", "_y"), F.lit(blocks)).cast("int"))
-    side = F.struct("_x", "_y", "_w")
-    left = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, "_b", "_c", side.alias("p"))
-    right = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        *keys, F.col("_c").alias("_b"), F.col("_b").alias("_c"), side.alias("q")
-    )
-    pairs = left.join(right, [*keys, "_b", "_c"]).where(F.col("p._x") < F.col("q._x"))
-    slope = F.try_divide(F.col("q._y") - F.col("p._y"), F.col("q._x") - F.col("p._x"))
-    weight = F.col("p._w").cast("decimal(19,0)") * F.col("q._w").cast("decimal(19,0)")
-    return weighted_median(pairs.select(*keys, slope.alias("_s"), weight.alias("_n")), keys, "_s", "_n", "theil_sen")
+def theil_sen(points: DataFrame, keys: tuple[str, ...], x: str = "q_ref", y: str = "q_ours") -> DataFrame:
+    """Median slope over all pairs with distinct x."""
+    return median_pair_slope(points, keys, x, y)
 
 
 def spearman(pairs: DataFrame, keys: tuple[str, ...], a: str = "q_ours", b: str = "q_ref") -> DataFrame:
