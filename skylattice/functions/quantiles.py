@@ -1,10 +1,11 @@
 """Exact percentiles of groups of any size, and the robust statistics built on them.
 
-``F.percentile`` keeps every distinct value of a group in one aggregation buffer, which is
-right for bounded groups only. For larger ones a mergeable sketch first brackets each wanted
-rank; only rows inside the narrow brackets are then counted by value, so a group holding a
-third of the data is never gathered in one buffer. Both ways give the exact linearly
-interpolated percentile.
+A percentile is the value of a rank, found by counting. Every value has an order-preserving number:
+first its sign and magnitude in steps of about five per cent, then its place among ``PLACES`` even steps between
+the lowest and the highest value with that number. Counts per number, which a task sums up before anything is
+shuffled, tell which number holds a rank; only values with that number are looked at in the next
+pass, and the last pass counts the few that are left one by one. Nothing but these counts and the numbers that hold
+a rank (two per percentile and group at most) leaves the rows, which are read three times and never copied.
 """
 
 from __future__ import annotations
@@ -14,77 +15,82 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.joins import SALTS, with_single_row
+from skylattice.functions.joins import lookup_join
 from skylattice.session import materialize
 
 SIGMA_PER_MAD = 1.4826
-ACCURACY = 20_000
-# Values one aggregation buffer may hold.
-BUFFER_BOUND = 200_000
+STEPS_PER_DOUBLING = 15
+LOWEST_POWER = 1_080  # below the smallest double, 2^-1074
+FURTHEST = 40_000  # above every number of a finite value
+PLACES = 1 << 16
 
 
-def _same(keys: list[str]) -> Column:
-    """Keys equal to those named ``_of_…``, NULL to NULL."""
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+def _magnitude(v: Column) -> Column:
+    """Whole number that never falls as ``v`` grows; NaN counts as the greatest value."""
+    size = F.floor((F.log2(F.abs(v)) + LOWEST_POWER) * STEPS_PER_DOUBLING).cast("int") + 1
+    end = F.abs(v) == float("inf")
+    return F.when(F.isnan(v), FURTHEST + 1).when(v == 0, 0).otherwise(F.signum(v).cast("int") * F.when(end, FURTHEST).otherwise(size))
 
 
-def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: dict[str, float],
-                      accuracy: int = ACCURACY, bound: int = BUFFER_BOUND) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (name -> probability) and ``n``.
+def _place(v: Column, low: Column, high: Column) -> Column:
+    """Place of ``v`` between the bounds, 0 where they are the same."""
+    return F.when(low == high, 0).otherwise(F.floor((v - low) / (high - low) * (PLACES - 1)).cast("int"))
 
-    Groups of at most ``bound`` values use the built-in exact percentile, whose buffer they
-    bound; larger ones go through brackets. Groups without a value are absent; a NULL key is a
-    group of its own.
+
+def _holding(counts: DataFrame, within: list[str], number: str, probs: list[float]) -> DataFrame:
+    """Rows of ``counts`` that hold the rank of a percentile of their group. ``_start`` becomes the rank at which a row
+    begins, from the one at which ``within`` does; each of these has at most as many rows as there are numbers."""
+    run = Window.partitionBy(*within).orderBy(number)
+    placed = counts.withColumn("_start", F.col("_start") + F.sum("_n").over(run) - F.col("_n"))
+    return placed.where(reduce(lambda a, b: a | b, [_holds(r) for p in probs for r in _ranks(p)]))
+
+
+def _ranks(prob: float) -> tuple[Column, Column]:
+    """The 0-based ranks on both sides of a percentile of ``n`` values."""
+    at = F.lit(prob) * (F.col("n") - 1)
+    return F.floor(at), F.ceil(at)
+
+
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_n"))
+
+
+def exact_percentiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` (name -> probability) and ``n``, linearly interpolated.
+
+    Groups without a value are absent; a NULL key is a group of its own.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    group = list(keys)
+    # rows without a value are counted as none instead of filtered: a filter would be moved below the expressions
+    # that give the value, and repeat them there
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    group, ps = list(keys), list(probs.values())
     if not keys:
         rows, group = rows.withColumn("_all", F.lit(0)), ["_all"]
-    # Read several times below: the two or three columns are written once instead of
-    # repeating whatever produced them.
-    rows = materialize(rows, "values")
-    sizes = rows.groupBy(*group).agg(F.count("_v").alias("n"))
-    large = sizes.where(F.col("n") > bound).select(*[F.col(k).alias(f"_of_{k}") for k in group])
-    same = _same(group)
-    direct = rows.join(large, same, "left_anti").groupBy(*group).agg(
-        F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_p"), F.count("_v").alias("n")
-    )
-    direct = direct.select(*group, *[F.col("_p")[i].alias(name) for i, name in enumerate(probs)], "n")
-    bracketed = _bracketed(rows.join(large, same, "left_semi"), group, probs, accuracy)
-    return direct.unionByName(bracketed).select(*keys, *probs, "n")
-
-
-def _bracketed(rows: DataFrame, group: list[str], probs: dict[str, float], accuracy: int) -> DataFrame:
-    """Percentiles of groups with more than ``accuracy`` values: sketch, narrow brackets, exact count inside."""
-    # The sketch errs by n/accuracy ranks; four times that leaves room for the neighbour rank.
-    slack = 4.0 / accuracy
-    cuts = [c for p in probs.values() for c in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = rows.groupBy(*group).agg(F.count("_v").alias("n"), F.percentile_approx("_v", cuts, accuracy).alias("_cut"))
-    # every row is dealt to one of many copies of its group's brackets
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    held = sketch.select(*[F.col(k).alias(f"_of_{k}") for k in group], "n", "_cut", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of__salt"))
-    joined = salted.join(held, _same([*group, "_salt"]))
-    # Per probability: below the bracket (counted only), inside it (kept by value), above (dropped).
-    which = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(F.col("_v") >= F.col("_cut")[2 * i], F.col("_v")).alias("v"),
-            (F.col("_v") <= F.col("_cut")[2 * i + 1]).alias("use"),
-        )
-        for i in range(len(probs))
-    ])
-    spots = joined.select(*group, "n", F.explode(F.filter(which, lambda s: s["use"])).alias("s"))
-    counted = spots.groupBy(*group, "n", F.col("s.i").alias("_i"), F.col("s.v").alias("_v")).agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*group, "n", "_i").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    pos = F.array(*[F.lit(p) for p in probs.values()])[F.col("_i")] * (F.col("n") - 1)
-    ranked = counted.withColumns({"_upto": F.sum("_n").over(run), "_pos": pos})
-    found = ranked.groupBy(*group, "n", "_i", "_pos").agg(
-        F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col("_v"))).alias("_hi"),
-    )
-    value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    out = found.groupBy(*group, "n").agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)])
-    return out.select(*group, *probs, "n")
+    rows = rows.withColumn("_b", _magnitude(F.col("_v")))
+    place = _place(F.col("_v"), F.col("_low"), F.col("_high"))
+
+    counts = rows.groupBy(*group, "_b").agg(F.count("_v").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")).where("_n > 0")
+    counts = counts.withColumns({"n": F.sum("_n").over(Window.partitionBy(*group)), "_start": F.lit(0).cast("long")})
+    first = materialize(_holding(counts, group, "_b", ps).select(*group, "_b", "n", "_low", "_high", "_start"), "brackets")
+    held_rows = first.count()  # the next table has as many rows at most
+
+    # sums are over numbers only, so that tasks need not sort for them
+    bracket = [*group, "_b", "n", "_low", "_high"]
+    near = lookup_join(rows, first, [*group, "_b"], ["_v"], held_rows).groupBy(*bracket, "_start", place.alias("_p")).agg(F.count("*").alias("_n"))
+    places = _holding(near, [*group, "_b"], "_p", ps).groupBy(*bracket).agg(F.collect_list(F.struct("_p", "_start")).alias("_held"))
+    closer = lookup_join(rows, places, [*group, "_b"], ["_v"], held_rows).withColumn("_p", place)
+    hit = F.filter("_held", lambda h: h["_p"] == F.col("_p"))
+    closer = closer.withColumn("_start", F.try_element_at(hit, F.lit(1))["_start"]).where("_start IS NOT NULL")
+    last = closer.groupBy(*group, "_b", "_p", "n", "_start", "_v").agg(F.count("*").alias("_n"))
+    found = _holding(last, [*group, "_b", "_p"], "_v", ps)
+
+    at = lambda rank: F.max(F.when(_holds(rank), F.col("_v")))
+    ends = found.groupBy(*group, "n").agg(*[at(r).alias(f"_r{i}_{side}") for i, p in enumerate(ps) for side, r in enumerate(_ranks(p))])
+    values = []
+    for i, (name, p) in enumerate(probs.items()):
+        low, high, pos = F.col(f"_r{i}_0"), F.col(f"_r{i}_1"), F.lit(p) * (F.col("n") - 1)
+        values.append(F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos))).alias(name))
+    return ends.select(*keys, *values, "n")
 
 
 def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "median") -> DataFrame:
@@ -93,14 +99,9 @@ def exact_median(df: DataFrame, keys: tuple[str, ...], value: str, name: str = "
 
 def robust_spread(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Per group ``n``, ``median``, ``mad`` and ``sigma`` = 1.4826 times the median absolute deviation."""
-    rows = materialize(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), "values")
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x"))
     med = materialize(exact_median(rows, keys, "_x").drop("n"), "medians")
-    if keys:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
-        held = med.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "median", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of__salt"))
-        joined = salted.join(held, _same([*keys, "_salt"]))
-    else:
-        joined = with_single_row(rows, med)
+    joined = lookup_join(rows, med, list(keys), ["_x"], med.count())
     dev = joined.select(*keys, "median", F.abs(F.col("_x") - F.col("median")).alias("_d"))
     mad = exact_median(dev, (*keys, "median"), "_d", "mad")
     return mad.select(*keys, "n", "median", "mad", (F.col("mad") * SIGMA_PER_MAD).alias("sigma"))

@@ -1,49 +1,44 @@
 """Ranks and running numbers of groups of any size.
 
-A window over a group sorts the whole group in one task. Here approximate cut points split
-every group into buckets of similar size, the small table of bucket counts gives each bucket
-its starting rank, and the window runs inside a bucket. The result is exact; the sketch only
-decides how even the buckets are.
+A window over a group sorts the whole group in one task. Here the rows are cut into ranges of their order, over
+all groups at once; a window runs inside a range, and what lies in the ranges before is a running sum
+over one count per range. Only the group that goes on from the range before needs it: that is one at
+most per range, which bounds the table of starts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.joins import salted_join
+from skylattice.session import materialize
 
-BUCKET_ROWS = 20_000
-MOST_BUCKETS = 10_000
 
+def _in_ranges(df: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """``df`` and ``_b``, the number of its range in the order of (keys, order); written, so that the ranges stay as they are."""
+    return materialize(df.repartitionByRange(*keys, order).withColumn("_b", F.spark_partition_id()), "ranges")
 
-def bucketed(df: DataFrame, keys: tuple[str, ...], value: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``_b``, an order-preserving bucket of ``value`` within the group.
 
-    The largest group's row count sets how many buckets there are, so a bucket stays about
-    ``bucket_rows`` however large the table is.
-    """
-    group = list(keys)
-    if not keys:
-        df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    largest = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = max(2, min(MOST_BUCKETS, -(-largest // bucket_rows)))
-    cuts = df.groupBy(*group).agg(F.percentile_approx(F.col(value), [i / buckets for i in range(1, buckets)], 10 * buckets).alias("_cuts"))
-    joined = salted_join(df, cuts, group, [value]) if keys else df.join(F.broadcast(cuts), group)
-    return joined.withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))).drop("_cuts")
+def _with_start(placed: DataFrame, keys: tuple[str, ...], weight: Column) -> DataFrame:
+    """Adds ``_start``: the weight of the row's group in the ranges before."""
+    totals = placed.groupBy(*keys, "_b").agg(F.sum(weight).alias("_t"))
+    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_start", F.sum("_t").over(run)).where("_start > 0")
+    starts = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_b").alias("_of__b"), "_start")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_b")])
+    joined = placed.join(F.broadcast(starts), same, "left")
+    return joined.withColumn("_start", F.coalesce("_start", F.lit(0))).drop(*[f"_of_{k}" for k in (*keys, "_b")])
 
 
 def value_ranks(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """(keys, value, n_equal, n_below): how often each value occurs and how many rows lie below it."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_equal"))
-    b = bucketed(counted, keys, value)
-    group = list(keys) or ["_all"]
-    totals = b.groupBy(*group, "_b").agg(F.sum("n_equal").alias("_n"))
-    run = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = b.withColumn("_before", F.coalesce(F.sum("n_equal").over(inside), F.lit(0))).join(starts, [*group, "_b"])
-    return placed.select(*keys, value, "n_equal", (F.col("_start") + F.col("_before")).alias("n_below"))
+    placed = _in_ranges(counted, keys, value)
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n_equal").over(inside), F.lit(0))
+    return _with_start(placed.withColumn("_before", before), keys, F.col("n_equal")).select(*keys, value, "n_equal", (F.col("_start") + F.col("_before")).alias("n_below"))
 
 
 def average_rank(df: DataFrame, keys: tuple[str, ...], value: str, output: str) -> DataFrame:
@@ -54,29 +49,7 @@ def average_rank(df: DataFrame, keys: tuple[str, ...], value: str, output: str)
 
 def numbered(df: DataFrame, keys: tuple[str, ...], order: str, output: str) -> DataFrame:
     """Adds a dense 0-based number by ``order``, which must be unique within the group."""
-    b = bucketed(df, keys, order)
-    group = list(keys) or ["_all"]
-    run = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = b.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    starts = totals.select(*group, "_b", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "_b").orderBy(order)
-    out = b.withColumn("_i", F.row_number().over(inside) - 1).join(starts, [*group, "_b"])
-    return out.withColumn(output, F.col("_start") + F.col("_i")).select(*[c for c in df.columns], output)
-
-
-def weighted_median(df: DataFrame, keys: tuple[str, ...], value: str, weight: str, name: str = "median") -> DataFrame:
-    """The median of ``value`` where every row counts ``weight`` times; nothing is repeated."""
-    wide = F.sum(F.col(weight).cast("decimal(38,0)"))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(wide.alias("_n"))
-    b = bucketed(counted, keys, "_x")
-    group = list(keys) or ["_all"]
-    totals = b.groupBy(*group, "_b").agg(F.sum("_n").alias("_t"))
-    run = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, "_b", F.coalesce(F.sum("_t").over(run), F.lit(0)).alias("_start"), F.sum("_t").over(Window.partitionBy(*group)).alias("_all_n"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = b.withColumn("_upto", F.sum("_n").over(inside)).join(starts, [*group, "_b"]).withColumn("_upto", F.col("_upto") + F.col("_start"))
-    # the lower middle is the first value with half of the weight up to it, the upper one that with more than half
-    found = placed.groupBy(*group).agg(
-        F.min(F.when(F.col("_upto") * 2 >= F.col("_all_n"), F.col("_x"))).alias("_lo"), F.min(F.when(F.col("_upto") * 2 > F.col("_all_n"), F.col("_x"))).alias("_hi")
-    )
-    return found.select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
+    placed = _in_ranges(df, keys, order)
+    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    started = _with_start(placed.withColumn("_i", F.row_number().over(inside) - 1), keys, F.lit(1))
+    return started.select(*df.columns, (F.col("_start") + F.col("_i")).alias(output))

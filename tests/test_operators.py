@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from skylattice.catalog.expressions import band_math
 from skylattice.catalog.products import BUILTIN, all_products
 from skylattice.catalog.registry import get_product, refuse, resolve_source
-from skylattice.functions import geo, quantiles, randoms, rates, times
+from skylattice.functions import geo, joins, quantiles, randoms, rates, times
 from skylattice.functions.inversion import invert_signal
 from skylattice.functions.ranks import numbered, value_ranks
 from skylattice.operators import emission, frames, learning, matching, plume, retrieval, scene_choice, screening, series, statistics, vectors, winds
@@ -54,21 +54,32 @@ def test_expressions(spark):
             band_math(bad, {"A": F.col("A"), "B": F.col("B")})
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 50])
-def test_exact_percentiles(spark, bound):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_exact_percentiles(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast_rows)
     rng = np.random.default_rng(1)
-    hot = rng.lognormal(size=3000)
-    rows = [("hot", float(v)) for v in hot] + [("even", float(v)) for v in (1, 2, 3, 4)] + [("one", 7.0), ("same", 2.0), ("same", 2.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in quantiles.exact_percentiles(df, ("g",), "v", {"p05": 0.05, "p50": 0.5}, accuracy=40, bound=bound).collect()}
-    for g in ("hot", "even", "one", "same"):
-        v = [x for k, x in rows if k == g]
-        assert got[g]["n"] == len(v)
-        assert math.isclose(got[g]["p50"], np.percentile(v, 50)) and math.isclose(got[g]["p05"], np.percentile(v, 5))
-    total = quantiles.exact_percentiles(df, (), "v", {"m": 0.5}, accuracy=40, bound=bound).first()
+    values = {
+        "hot": rng.lognormal(size=3000), "even": [1, 2, 3, 4], "one": [7.0], "same": [2.0, 2.0], "signs": rng.normal(size=501), "zeros": [-0.0, 0.0, 0.0, 1e-320, -1e-320],
+        "wide": np.ldexp(rng.normal(size=400), rng.integers(-1000, 1000, 400)), "close": 1.0 + np.arange(2000) * 2.0**-52, None: [5.0, 6.0], "ends": [float("-inf"), 1.0, 2.0, 3.0, float("inf")],
+    }
+    rows = [(k, float(x)) for k, own in values.items() for x in own]
+    df = spark.createDataFrame(rows + [("even", None), ("none", None)], "g string, v double")
+    probs = {"p00": 0.0, "p05": 0.05, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    got = {r["g"]: r for r in quantiles.exact_percentiles(df, ("g",), "v", probs).collect()}
+    assert set(got) == set(values)
+    for g, own in values.items():
+        assert got[g]["n"] == len(own)
+        for name, p in probs.items():
+            if g == "ends" and name != "p50":
+                continue
+            assert math.isclose(got[g][name], np.percentile(np.array(own, float), 100 * p), rel_tol=1e-14, abs_tol=1e-320), (g, name)
+    total = quantiles.exact_percentiles(df, (), "v", {"m": 0.5}).first()
     assert math.isclose(total["m"], np.median([x for _, x in rows]))
+    assert quantiles.exact_percentiles(df.limit(0), ("g",), "v", {"m": 0.5}).collect() == []
     null_key = quantiles.robust_spread(spark.createDataFrame([(None, 1.0), (None, 3.0), (None, None)], "g string, v double"), ("g",), "v").first()
     assert (null_key["g"], null_key["n"], null_key["median"], null_key["mad"]) == (None, 2, 2.0, 1.0)
+    nan = quantiles.exact_percentiles(spark.createDataFrame([("a", float("nan")), ("a", 1.0), ("a", 2.0)], "g string, v double"), ("g",), "v", {"m": 0.5, "top": 1.0}).first()
+    assert nan["m"] == 2.0 and math.isnan(nan["top"])
 
 
 def test_labels_of_wide_chips(spark):
