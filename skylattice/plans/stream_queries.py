@@ -35,9 +35,8 @@ def as_stream(spark, df, name):
 
 @query("st01_incremental_daily_series", "daily", oracle="SELECT series_id, CAST(date AS VARCHAR) AS date, round(value, 6) AS value, count FROM daily")
 def incremental_daily_series(spark, sf):
-    out = running.to_table(forms.daily_series(event_stream(spark, sf), ("series_id",)), "daily")
-    last = running.latest(out, ["series_id", "date"])
-    return last.select("series_id", F.col("date").cast("string").alias("date"), r6("value").alias("value"), "count")
+    out = forms.daily_series(event_stream(spark, sf), ("series_id",))
+    return out.select("series_id", F.col("date").cast("string").alias("date"), r6("value").alias("value"), "count")
 
 
 @query(
@@ -48,9 +47,7 @@ def incremental_daily_series(spark, sf):
 def weekly_screening(spark, sf):
     bg = v.obs(spark, sf).where("weight = 0").groupBy("cell").agg(F.avg("value").alias("bg"))
     enh = forms.against_background(event_stream(spark, sf), bg, ["cell"])
-    emitted = running.to_table(forms.weekly_cells(enh, "cell", START), "weekly")
-    weekly = running.latest(emitted, ["cell", "week"]).withColumnRenamed("cell", "idx")
-    h = hotspots(weekly)
+    h = hotspots(forms.weekly_cells(enh, "cell", START).withColumnRenamed("cell", "idx"))
     return h.select("idx", *[r6(c).alias(c) for c in ("mean_enh", "max_enh", "score")], "weeks_flagged", "weeks_observed")
 
 
@@ -59,8 +56,7 @@ def weekly_screening(spark, sf):
     oracle="""SELECT i AS idx, round(avg(value), 6) AS value, count(value) AS n FROM (SELECT unnest(range(8)) AS i) JOIN obs ON date_diff('day', DATE '2024-01-01', date) >= i * 4 AND date_diff('day', DATE '2024-01-01', date) < i * 4 + 10 GROUP BY i""",
 )
 def rolling_frames(spark, sf):
-    out = running.to_table(forms.rolling_frames(event_stream(spark, sf), START, 4, 10), "frames")
-    return running.latest(out, ["idx"]).select("idx", r6("value").alias("value"), "n")
+    return forms.rolling_frames(event_stream(spark, sf), START, 4, 10).select("idx", r6("value").alias("value"), "n")
 
 
 @query(
@@ -100,9 +96,7 @@ def repeat_removal(spark, sf):
 )
 def provenance_preference(spark, sf):
     s = as_stream(spark, twins(spark, sf), "twins")
-    out = running.to_table(forms.prefer_provenance(s), "best")
-    last = running.latest(out, ["minute", "by", "bx"])
-    return last.select(F.col("minute").cast("string").alias("minute"), "event_id", "provenance")
+    return forms.prefer_provenance(s).select(F.col("minute").cast("string").alias("minute"), "event_id", "provenance")
 
 
 @query(
@@ -122,31 +116,22 @@ def fine_replaces_coarse(spark, sf):
     return out.select("series_id", F.col("date").cast("string").alias("date"), r6("value").alias("value"), "count", "resolution")
 
 
-@query(
-    "st08_overpass_sessions", "scenes",
-    oracle="""
+_SESSIONS = """
     WITH g AS (SELECT relative_orbit, spacecraft, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM scenes WINDOW w AS (PARTITION BY relative_orbit, spacecraft ORDER BY ts)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY relative_orbit, spacecraft ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-    SELECT relative_orbit, spacecraft, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY relative_orbit, spacecraft, sid
-    HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM scenes) - INTERVAL 2 DAY""",
-)
+    SELECT relative_orbit, spacecraft, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY relative_orbit, spacecraft, sid"""
+
+
+@query("st08_overpass_sessions", "scenes", oracle=_SESSIONS)
 def overpass_sessions(spark, sf):
-    # Append mode emits a session once the watermark has closed it.
     s = as_stream(spark, v.scenes(spark, sf).select("relative_orbit", "spacecraft", "ts"), "scenes")
-    out = running.to_table(forms.overpass_sessions(s), "sessions", "append")
-    closed = out.select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")
-    return closed
+    return forms.overpass_sessions(s).select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")
 
 
-@query(
-    "st08_all_overpass_sessions", "scenes",
-    oracle="""
-    WITH g AS (SELECT relative_orbit, spacecraft, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM scenes WINDOW w AS (PARTITION BY relative_orbit, spacecraft ORDER BY ts)),
-    s AS (SELECT *, sum(fresh) OVER (PARTITION BY relative_orbit, spacecraft ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-    SELECT relative_orbit, spacecraft, CAST(min(ts) AS VARCHAR) AS start, count(*) AS n FROM s GROUP BY relative_orbit, spacecraft, sid""",
-)
+@query("st08_all_overpass_sessions", "scenes", oracle=_SESSIONS)
 def all_overpass_sessions(spark, sf):
-    # At the end of the input the open sessions count too.
-    s = as_stream(spark, v.scenes(spark, sf).select("relative_orbit", "spacecraft", "ts"), "scenes")
-    out = running.last_batch(running.to_table(forms.overpass_sessions(s, late=None), "sessions", "complete"))
-    return out.select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")
+    """The same sessions from scenes that land in several batches."""
+    path = scratch_path(spark, "scenes")
+    rows = v.scenes(spark, sf).select("relative_orbit", "spacecraft", "ts")
+    rows.repartition(4, "relative_orbit", "ts").write.parquet(path)
+    return forms.overpass_sessions(running.file_stream(spark, path, rows, files_per_batch=1)).select("relative_orbit", "spacecraft", F.col("start").cast("string").alias("start"), "n")

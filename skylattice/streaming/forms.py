@@ -1,49 +1,48 @@
 """Streaming forms: series, buckets, frames, matches, de-duplication, upserts and sessions.
 
-Days still inside the watermark stay open to late data; older ones are final. Every form
-gives the batch operator's result once its input has arrived.
+What adds up (sums, counts, best records, stretches of time) is kept as one part per micro-batch and put together when it is
+read. So no row is too late, whatever order the data lands in, and nothing is held in operator state: a
+stream that starts again goes on with the parts it has written. Every form gives the batch operator's
+result over all that has arrived.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skylattice.functions.geo import haversine_km
 from skylattice.operators import matching
 from skylattice.operators.scene_choice import days
-from skylattice.streaming.running import to_table
+from skylattice.streaming.running import Folders, batch_parts, to_table
 
 # Fixed values.
-OPEN_DAYS = "2 days"
 SESSION_GAP = "30 minutes"
 
 
-def daily_series(stream: DataFrame, keys: tuple[str, ...], late: str = OPEN_DAYS) -> DataFrame:
-    """Count-weighted daily mean that is updated as data lands (value, count per key and day)."""
-    rows = stream.where(F.col("value").isNotNull()).withWatermark("ts", late)
-    per = rows.groupBy(F.window("ts", "1 day").alias("w"), *keys).agg(
-        F.sum(F.col("value") * F.col("count")).alias("vc"), F.sum("count").alias("c"), F.avg("value").alias("plain")
-    )
-    value = F.when(F.col("c") > 0, F.try_divide("vc", "c")).otherwise(F.col("plain"))
-    return per.select(*keys, F.to_date("w.start").alias("date"), value.alias("value"), F.col("c").cast("bigint").alias("count"))
+def daily_series(stream: DataFrame, keys: tuple[str, ...], folders: Folders = None) -> DataFrame:
+    """Count-weighted daily mean of all that landed (value, count per key and day)."""
+
+    def part(rows: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col("value") * F.col("count")).alias("vc"), F.sum("count").cast("bigint").alias("c"), F.sum("value").alias("s"), F.count("value").alias("n")]
+        return rows.where("value IS NOT NULL AND ts IS NOT NULL").groupBy(*keys, F.to_date("ts").alias("date")).agg(*sums)
+
+    per = batch_parts(stream, part, "daily", folders).groupBy(*keys, "date").agg(*[F.sum(c).alias(c) for c in ("vc", "c", "s", "n")])
+    value = F.when(F.col("c") > 0, F.try_divide("vc", "c")).otherwise(F.col("s") / F.col("n"))
+    return per.select(*keys, "date", value.alias("value"), F.col("c").alias("count"))
 
 
-def week_offset(start: date) -> str:
-    """Shift that puts seven-day windows on the start of the range."""
-    return f"{(start - date(1970, 1, 1)).days % 7} days"
+def weekly_cells(stream: DataFrame, key: str, start: date, folders: Folders = None) -> DataFrame:
+    """Weekly mean per cell in seven-day windows counted from ``start``."""
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit(start)) / 7).cast("bigint")
 
+    def part(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("ts") >= F.lit(start)).groupBy(key, week.alias("week")).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
 
-def weekly_cells(stream: DataFrame, key: str, start: date, late: str = OPEN_DAYS) -> DataFrame:
-    """Weekly mean per cell in tumbling windows anchored at ``start``."""
-    rows = stream.where(F.col("ts") >= F.lit(start)).withWatermark("ts", late)
-    per = rows.groupBy(F.window("ts", "7 days", startTime=week_offset(start)).alias("w"), key).agg(F.avg("value").alias("value"))
-    return per.select(key, F.floor(F.datediff(F.to_date("w.start"), F.lit(start)) / 7).cast("bigint").alias("week"), "value")
+    per = batch_parts(stream, part, "weekly", folders).groupBy(key, "week").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return per.select(key, "week", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("value"))
 
 
 def against_background(stream: DataFrame, background: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,18 +50,20 @@ def against_background(stream: DataFrame, background: DataFrame, keys: list[str]
     return stream.join(background, keys).withColumn("value", F.col("value") - F.col("bg")).drop("bg")
 
 
-def rolling_frames(stream: DataFrame, start: date, step_days: int, span_days: int, late: str = OPEN_DAYS) -> DataFrame:
+def rolling_frames(stream: DataFrame, start: date, step_days: int, span_days: int, folders: Folders = None) -> DataFrame:
     """Means of windows longer than their step; windows that open before the range are left out."""
     if not 0 < step_days <= span_days:
         raise ValueError("the span must be at least the step")
     offset = f"{(start - date(1970, 1, 1)).days % step_days} days"
-    rows = stream.withWatermark("ts", late)
-    w = F.window("ts", f"{span_days} days", f"{step_days} days", offset)
-    per = rows.groupBy(w.alias("w")).agg(F.avg("value").alias("value"), F.count("value").alias("n"))
-    first = F.lit(start).cast("timestamp")
-    return per.where(F.col("w.start") >= first).select(
-        F.floor(F.datediff(F.to_date("w.start"), F.lit(start)) / step_days).cast("bigint").alias("idx"), "value", "n"
-    )
+    window = F.window("ts", f"{span_days} days", f"{step_days} days", offset)
+    idx = F.floor(F.datediff(F.to_date("w.start"), F.lit(start)) / step_days).cast("bigint")
+
+    def part(rows: DataFrame) -> DataFrame:
+        per = rows.groupBy(window.alias("w")).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+        return per.where(F.col("w.start") >= F.lit(start).cast("timestamp")).select(idx.alias("idx"), "s", "n")
+
+    per = batch_parts(stream, part, "frames", folders).groupBy("idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return per.select("idx", F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("value"), "n")
 
 
 def match_known_events(stream: DataFrame, events: DataFrame, max_km: float = matching.MATCH_KM) -> DataFrame:
@@ -105,35 +106,24 @@ def drop_repeats(stream: DataFrame, late: str = "1 hour", step_km: float = match
     return binned.dropDuplicatesWithinWatermark(["minute", "by", "bx"]).drop("minute", "by", "bx")
 
 
-def _keep_best(prefer: str):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        before = best
-        for pdf in batches:
-            for event, provenance in pdf[["event_id", "provenance"]].itertuples(index=False):
-                row = (int(event), str(provenance))
-                if best is None or (row[1] != prefer, row[0]) < (best[1] != prefer, best[0]):
-                    best = row
-        if best is not None and best != before:
-            state.update(best)
-            yield pd.DataFrame({"minute": [key[0]], "by": [key[1]], "bx": [key[2]], "event_id": [best[0]], "provenance": [best[1]]})
+def prefer_provenance(stream: DataFrame, prefer: str = "live", step_km: float = matching.SAME_KM, folders: Folders = None) -> DataFrame:
+    """Best record per minute and place: of the preferred feed if there is one, then the smallest id.
 
-    return run
+    A part is the best record of a place in one batch.
+    """
+    place = ["minute", "by", "bx"]
+    order = F.struct((F.col("provenance") != prefer).alias("other"), "event_id")
 
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*place).agg(F.min_by(F.struct("event_id", "provenance"), order).alias("_r")).select(*place, "_r.*")
 
-def prefer_provenance(stream: DataFrame, prefer: str = "live", step_km: float = matching.SAME_KM) -> DataFrame:
-    """Best record per minute and place; a later record of the preferred feed replaces the one held.
+    def part(rows: DataFrame) -> DataFrame:
+        return best(rows.select(F.date_trunc("minute", "ts").alias("minute"), *_place_bin(step_km), F.col("event_id").cast("bigint").alias("event_id"), "provenance"))
 
-    The state of a place is one record.
-    """
-    binned = stream.select(F.date_trunc("minute", "ts").alias("minute"), *_place_bin(step_km), "event_id", "provenance")
-    return binned.groupBy("minute", "by", "bx").applyInPandasWithState(
-        _keep_best(prefer), "minute timestamp, by bigint, bx bigint, event_id bigint, provenance string", "event_id bigint, provenance string",
-        "update", GroupStateTimeout.NoTimeout,
-    )
+    return best(batch_parts(stream, part, "best", folders))
 
 
-def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series", folders: tuple[str, str] | None = None) -> DataFrame:
+def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series", folders: Folders = None) -> DataFrame:
     """Fine values replace coarse ones as they land: every row is appended, the best of a key is read.
 
     ``stream``: keys, value, count, resolution (0 coarse, 1 fine). The series has one row per key, by
@@ -144,13 +134,20 @@ def replace_coarse(stream: DataFrame, keys: list[str], name: str = "series", fol
     return rows.groupBy(*keys).agg(F.max_by(rest, order).alias("_r")).select(*keys, "_r.*")
 
 
-def overpass_sessions(stream: DataFrame, late: str | None = OPEN_DAYS, gap: str = SESSION_GAP) -> DataFrame:
-    """Adjacent tiles of one pass as one acquisition, per orbit and spacecraft.
+def overpass_sessions(stream: DataFrame, gap: str = SESSION_GAP, folders: Folders = None) -> DataFrame:
+    """Adjacent tiles of one pass as one acquisition, per orbit and spacecraft: every session of all that landed.
 
-    In append mode a session comes out once the watermark has closed it. Without a watermark
-    (``late=None``, complete mode) every session comes out, also the open ones, and no row is too
-    late; the state is then one row per session, at most one per gap for an orbit and spacecraft.
+    A part is a stretch of one batch; stretches that meet are one session, whichever batch they came in.
     """
-    rows = stream if late is None else stream.withWatermark("ts", late)
-    per = rows.groupBy(F.session_window("ts", gap).alias("w"), "relative_orbit", "spacecraft").agg(F.count("*").alias("n"))
-    return per.select("relative_orbit", "spacecraft", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    per = ["relative_orbit", "spacecraft"]
+
+    def part(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy(F.session_window("ts", gap).alias("w"), *per).agg(F.count("*").alias("n"))
+        return found.select(*per, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+    in_order = Window.partitionBy(*per).orderBy("start", "end")
+    reached = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("start") <= F.col("_reached"), 0).otherwise(1)
+    stretches = batch_parts(stream, part, "sessions", folders).withColumn("_reached", reached).withColumn("_session", F.sum(fresh).over(in_order))
+    whole = stretches.groupBy(*per, "_session").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return whole.drop("_session")

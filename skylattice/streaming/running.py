@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skylattice.session import scratch_path
 
 
+#: Checkpoint and output folder of a stream that goes on after a restart.
+Folders = tuple[str, str] | None
+
+
 def file_stream(spark: SparkSession, folder: str, like: DataFrame, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Stream of parquet files of a folder with the schema of ``like``."""
     reader = spark.readStream.schema(like.schema).option("pathGlobFilter", glob)
@@ -55,13 +58,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def latest(emitted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Newest version of every key of an update-mode output."""
-    rest = [c for c in emitted.columns if c not in keys and c != "batch"]
-    return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_r")).select(*keys, "_r.*")
+def batch_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], name: str, folders: Folders = None) -> DataFrame:
+    """``part`` of every micro-batch, as a table of parts.
 
+    A batch writes its own folder and overwrites it when repeated. ``folders``: checkpoint and output folder, kept
+    together, to go on after a restart; fresh ones by default. The parts are for sums at read time; a job between two
+    runs may replace the folders of several batches by one with their sum.
+    """
+    spark = stream.sparkSession
+    state, path = folders or (None, scratch_path(spark, name))
+    # an empty part says what the table looks like before anything has landed
+    schema = part(spark.createDataFrame([], stream.schema)).schema
+
+    def write(df: DataFrame, batch: int) -> None:
+        part(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-def last_batch(emitted: DataFrame) -> DataFrame:
-    """Rows of the newest batch: the whole result of a complete-mode output."""
-    newest = emitted.agg(F.max("batch")).first()[0]
-    return emitted.where(F.col("batch") == F.lit(newest)).drop("batch")
+    each_batch(stream, name, write, "append", state)
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if _exists(spark, path) else spark.createDataFrame([], schema)
