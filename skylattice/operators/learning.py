@@ -13,7 +13,6 @@ from skylattice.functions.joins import with_single_row
 from skylattice.functions.ranks import numbered
 from skylattice.operators import morphology as mo
 from skylattice.operators import retrieval, statistics
-from skylattice.operators.components import connected_components
 from skylattice.operators.lookups import resolve_scene
 from skylattice.session import materialize
 
@@ -103,42 +102,54 @@ def correlated_pairs(tiles: DataFrame, threshold: float, block_rows: int = 500)
     return pairs.mapInPandas(_linked(threshold), "src bigint, dst bigint, corr double")
 
 
-def _average_linkage(limit: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["tile_id"].to_numpy()
-        u = _unit(list(pdf["u"]))
-        dist = 1.0 - np.clip(u @ u.T, -1, 1)
-        np.fill_diagonal(dist, np.inf)
-        size, owner = np.ones(len(ids)), np.arange(len(ids))
-        while len(ids) > 1:
-            i, j = np.unravel_index(int(np.argmin(dist)), dist.shape)
-            if not dist[i, j] <= limit:
-                break
-            merged = (dist[i] * size[i] + dist[j] * size[j]) / (size[i] + size[j])
-            dist[i], dist[:, i] = merged, merged
-            dist[i, i] = np.inf
-            dist[j], dist[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            owner[owner == j] = i
-        first = {o: ids[owner == o].min() for o in np.unique(owner)}
-        return pd.DataFrame({"tile_id": ids, "cluster": [first[o] for o in owner]})
+def _unit_column(v: Column | str) -> Column:
+    """Array centred and scaled to unit length, as ``_unit`` does."""
+    centred = F.transform(v, lambda x: x.cast("double") - total(v) / F.size(v))
+    length = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
+    return F.transform(centred, lambda x: x / length)
 
-    return run
+
+def _closest(links: DataFrame, clusters: DataFrame, limit: float) -> DataFrame:
+    """(a, b): linked clusters within the limit that are each other's closest; equal distances go by names."""
+    named = lambda side: clusters.select(F.col("cluster").alias(side), F.col("sum").alias(f"_sum_{side}"), F.col("n").alias(f"_n_{side}"))
+    mean = dot("_sum_a", "_sum_b") / (F.col("_n_a") * F.col("_n_b"))
+    near = links.join(named("a"), "a").join(named("b"), "b").select((1.0 - mean).alias("dist"), "a", "b").where(F.col("dist") <= limit)
+    link = F.struct("dist", "a", "b")
+    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), link.alias("link")), F.struct(F.col("b").alias("node"), link.alias("link")))).alias("e"))
+    best = ends.groupBy("e.node").agg(F.min("e.link").alias("link"))
+    return best.groupBy("link.a", "link.b").agg(F.count("*").alias("ends")).where("ends = 2").select("a", "b")
 
 
 def content_clusters(tiles: DataFrame, limit: float = LINK_DISTANCE) -> DataFrame:
     """Average-linkage clusters of tiles at distance 1 - correlation <= ``limit``, per shape.
 
-    Clusters can only merge where some pair is within the limit, so they lie inside the
-    connected components of the graph of such pairs: the linkage runs per component.
+    The average correlation of two clusters is the product of their mean unit vectors, so a cluster is one row: its
+    sum and its size. In a round all pairs of clusters that are each other's closest are merged, which gives
+    the clusters of merging one closest pair at a time. Clusters can only come within the limit where some pair of their tiles
+    is, so only such links are looked at; they are merged with the clusters. Every round is written to the shared
+    folder. Equal fingerprints count as one tile; a cluster is named after its smallest tile.
     """
-    links = correlated_pairs(tiles, 1.0 - limit)
-    comp = connected_components(links.select("src", "dst"))
     reps = tiles.groupBy("shape", "v").agg(F.min("tile_id").alias("rep"))
-    units = reps.withColumn("u", F.col("v").cast("array<double>"))
-    members = units.join(comp.withColumnRenamed("node", "rep"), "rep")
-    linked = members.select("component", F.col("rep").alias("tile_id"), "u").groupBy("component").applyInPandas(_average_linkage(limit), "tile_id bigint, cluster bigint")
-    whole = tiles.join(reps, ["shape", "v"]).join(linked.withColumnRenamed("tile_id", "rep"), "rep", "left")
+    found = correlated_pairs(tiles, 1.0 - limit)
+    links = materialize(found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "links")
+    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    clusters = materialize(reps.join(linked, "rep").select(F.col("rep").alias("cluster"), _unit_column("v").alias("sum"), F.lit(1.0).alias("n")), "clusters")
+    owners = clusters.select(F.col("cluster").alias("rep"), "cluster")
+    while True:
+        pairs = materialize(_closest(links, clusters, limit), "merged")
+        if pairs.isEmpty():
+            break
+        first, second = (clusters.select(F.col("cluster").alias(c), F.col("sum").alias(f"_sum_{c}"), F.col("n").alias(f"_n_{c}")) for c in "ab")
+        sums = F.zip_with("_sum_a", "_sum_b", lambda x, y: x + y)
+        grown = pairs.join(first, "a").join(second, "b").select(F.col("a").alias("cluster"), sums.alias("sum"), (F.col("_n_a") + F.col("_n_b")).alias("n"))
+        taken = pairs.select(F.explode(F.array("a", "b")).alias("cluster"))
+        clusters = materialize(clusters.join(taken, "cluster", "left_anti").unionByName(grown), "clusters")
+        moved = pairs.select(F.col("b").alias("_old"), F.col("a").alias("_new"))
+        renamed = lambda df, c, moved=moved: df.join(moved, df[c] == moved["_old"], "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+        both = renamed(renamed(links, "a"), "b").where("a <> b")
+        links = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        owners = materialize(renamed(owners, "cluster"), "owners")
+    whole = tiles.join(reps, ["shape", "v"]).join(owners, "rep", "left")
     return whole.select("tile_id", "shape", F.coalesce("cluster", "rep").alias("cluster"))
 
 

@@ -356,6 +356,30 @@ def test_average_linkage_per_component(spark):
     assert got == {i: i % 4 for i in range(40)}
 
 
+def test_average_linkage_equals_one_merge_at_a_time(spark):
+    """Blurred groups of two shapes and a chain, against merging the closest pair of all until none is near."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(5, 12))
+    v = [centres[i % 5] + rng.normal(0, 0.7, 12) for i in range(50)] + [np.cos(np.arange(12) * 0.5 + 0.35 * i) for i in range(12)]
+    rows = [(i, i % 2, [float(x) for x in r]) for i, r in enumerate(v)] + [(100, 0, [float(x) for x in v[0]])]
+    df = spark.createDataFrame(rows, "tile_id bigint, shape int, v array<double>")
+    want = {100: 0}
+    for shape in (0, 1):
+        own = [i for i, s, _ in rows if s == shape and i != 100]
+        u = np.array([v[i] - v[i].mean() for i in own])
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        groups = [[i] for i in range(len(own))]
+        while len(groups) > 1:
+            d, i, j = min((1 - (u[a] @ u[b].T).mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if d > learning.LINK_DISTANCE:
+                break
+            groups[i] += groups.pop(j)
+        want |= {own[i]: min(own[k] for k in g) for g in groups for i in g}
+    want[100] = want[0]
+    got = {r.tile_id: r.cluster for r in learning.content_clusters(df).collect()}
+    assert got == want and 5 < len(set(want.values())) < 40
+
+
 def test_vector_clusters_see_every_row(spark):
     rng = np.random.default_rng(9)
     pixels = spark.range(5200).select(F.col("id").alias("pixel_id"), F.lit(2020).cast("bigint").alias("year"))
