@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from skylattice.operators import builders
@@ -297,8 +299,13 @@ def named_builder(spark, sf):
 
 @query("udf04_observed_progress", "ndvi", oracle="SELECT scene_id, round(avg(value), 6) AS value FROM ndvi GROUP BY scene_id")
 def observed_progress(spark, sf):
-    watched, _ = builders.watched(ndvi(spark, sf), "ndvi", "value")
-    return watched.groupBy("scene_id").agg(r6(F.avg("value")).alias("value"))
+    """Scene means in chunks of whole years; a scene has one time, so it lies in one chunk."""
+    px = ndvi(spark, sf)
+    first, last = px.agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
+    if first is None:
+        return px.groupBy("scene_id").agg(r6(F.avg("value")).alias("value"))
+    years = [px.where((F.col("ts") >= F.lit(date(y, 1, 1))) & (F.col("ts") < F.lit(date(y + 1, 1, 1)))) for y in range(first, last + 1)]
+    return builders.run_chunks(spark, [y.groupBy("scene_id").agg(r6(F.avg("value")).alias("value")) for y in years], "value")
 
 
 @query(

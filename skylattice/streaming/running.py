@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylattice.session import scratch_path
+from skylattice.session import path_exists, scratch_path
 
 
 #: Checkpoint and output folder of a stream that goes on after a restart.
@@ -49,13 +49,7 @@ def to_table(stream: DataFrame, name: str, mode: str = "update", folders: tuple[
 
     each_batch(stream, name, write, mode, state)
     schema = stream.schema.add("batch", "long")
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def batch_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], name: str, folders: Folders = None) -> DataFrame:
@@ -74,4 +68,4 @@ def batch_parts(stream: DataFrame, part: Callable[[DataFrame], DataFrame], name:
         part(df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     each_batch(stream, name, write, "append", state)
-    return spark.read.schema(schema).parquet(path).select(*schema.names) if _exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if path_exists(spark, path) else spark.createDataFrame([], schema)

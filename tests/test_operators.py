@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import threading
+import time
 from datetime import date, datetime
 
 import check_queries
@@ -18,7 +20,7 @@ from skylattice.catalog.registry import get_product, refuse, resolve_source
 from skylattice.functions import geo, joins, quantiles, randoms, rates, times
 from skylattice.functions.inversion import invert_signal
 from skylattice.functions.ranks import numbered, value_ranks
-from skylattice.operators import emission, frames, learning, matching, plume, retrieval, scene_choice, screening, series, statistics, vectors, winds
+from skylattice.operators import builders, emission, frames, learning, matching, plume, retrieval, scene_choice, screening, series, statistics, vectors, winds
 from skylattice.operators import morphology as mo
 from skylattice.operators.components import connected_components
 from skylattice.plans import views
@@ -434,6 +436,38 @@ def test_series_goes_on_after_a_restart(spark, tmp_path):
     assert run() == want and run() == want
 
 
+def test_chunks_report_and_can_be_cancelled(spark, tmp_path):
+    chunks = [spark.range(10 * i, 10 * i + 10).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("value")) for i in range(4)]
+    heard = []
+    whole = builders.run_chunks(spark, chunks, "value", heard.append)
+    assert sorted(r.id for r in whole.collect()) == list(range(40))
+    assert [(p.done, p.total, p.rows, p.values) for p in heard] == [(i, 4, 10, 5) for i in range(1, 5)]
+    assert sorted(r.id for r in heard[2].result.collect()) == list(range(20, 30))
+
+    stop = threading.Event()
+    stop.set()
+    heard.clear()
+    with pytest.raises(builders.Cancelled):
+        builders.run_chunks(spark, chunks, "value", heard.append, stop)
+    assert heard == []
+
+    # between chunks: none starts after it, and the run goes on from what is there
+    stop, folder = threading.Event(), str(tmp_path / "run")
+    with pytest.raises(builders.Cancelled):
+        builders.run_chunks(spark, chunks, "value", lambda p: (heard.append(p), p.done == 2 and stop.set()), stop, folder)
+    assert len(heard) == 2
+    assert builders.run_chunks(spark, chunks, "value", folder=folder).count() == 40
+
+    # while one runs: its jobs are interrupted
+    stop, endless = threading.Event(), spark.range(10**13).agg(F.sum(F.sin("id")).alias("value"))
+    threading.Timer(2.0, stop.set).start()
+    start = time.monotonic()
+    with pytest.raises(builders.Cancelled):
+        builders.run_chunks(spark, [endless], "value", None, stop)
+    assert time.monotonic() - start < 60
+    assert builders.run_chunks(spark, chunks[:1], "value").count() == 10
+
+
 def test_late_batches_and_a_restart_equal_one_batch(spark, tmp_path):
     """Rows that land weeks late, a restart after every batch, and repeats: each form equals itself over all rows at once."""
     rng = np.random.default_rng(6)
