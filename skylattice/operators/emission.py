@@ -17,6 +17,7 @@ from skylattice.operators.winds import UEFF_OFFSET, UEFF_SLOPE, effective_wind
 # Fixed values.
 KG_PER_MOL = 0.01604
 MODEL_SIGMA = 0.15
+BLOCK_VALUES = 1 << 20  # indices of one table of draws
 DRAWS = 500
 WIND_FLOOR = 0.1
 STABLE_RATIO = 4.0
@@ -72,6 +73,19 @@ def sweep_masses(pixels: DataFrame, keys: Sequence[str], masks: DataFrame, chips
     return per.withColumn("len_k", F.transform("n_k", lambda c: F.sqrt(c * F.col("area_m2"))))
 
 
+def _noise(pool: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sum of ``sizes[i]`` values of the pool along the index sequence that begins at ``starts[i]``; one table of
+    indices for all draws of one size, in blocks of ``BLOCK_VALUES``."""
+    out = np.zeros(len(sizes))
+    for n in np.unique(sizes[sizes > 0]) if len(pool) else ():
+        own = np.flatnonzero(sizes == n)
+        step = max(1, BLOCK_VALUES // int(n))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            out[some] = pool[pool_indices(starts[some, None], int(n), len(pool))].sum(axis=1)
+    return out
+
+
 def _draw_rates(keys: list[str], draws: int, seed: int):
     """Arrow-batched draws: one chip per row, all its draws as vectors."""
 
@@ -87,11 +101,7 @@ def _draw_rates(keys: list[str], draws: int, seed: int):
         k = (uniforms(seed, name, draws, "k") * len(n_k)).astype(int)
         u10 = np.maximum(WIND_FLOOR, row.u10 + row.sigma_u10 * normals(seed, name, draws, "wind"))
         model = 1.0 + MODEL_SIGMA * normals(seed, name, draws, "model")
-        noise = np.zeros(draws)
-        if len(pool):
-            for j, start in enumerate(pool_starts(seed, name, draws)):
-                if n_k[k[j]] > 0:
-                    noise[j] = pool[pool_indices(start, int(n_k[k[j]]), len(pool))].sum()
+        noise = _noise(pool, n_k[k], pool_starts(seed, name, draws))
         mass = ime_k[k] + noise * row.area_m2 * KG_PER_MOL
         ok = len_k[k] > 0
         return (UEFF_SLOPE * u10[ok] + UEFF_OFFSET) / len_k[k][ok] * mass[ok] * 3600.0 * model[ok]
@@ -121,8 +131,8 @@ def monte_carlo(sweep: DataFrame, off_plume: DataFrame, keys: Sequence[str], nam
     df = sweep.join(pool, keys, "left").withColumn("_name", name.cast("string"))
     kept = [*keys, "_name", "n_k", "ime_k", "len_k", "area_m2", "u10", "sigma_u10", "pool"]
     types = dict(df.dtypes)
-    # Few bytes but much work per row: an explicit partition number keeps it spread out.
-    spread = df.select(*kept).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    # Few bytes but much work per row: the session's number of shuffle partitions, stated, is not merged down to one.
+    spread = df.select(*kept).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
     drawn = spread.mapInPandas(_draw_rates(keys, draws, seed), f"{ddl}, q array<double>")
     qs = drawn.withColumn("q", F.array_sort("q"))
