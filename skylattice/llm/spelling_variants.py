@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import materialize, small_batches, to_bytes
 
-PARTS = 4
+PARTS = 4  # fewer parts give fewer signatures (28 a word), more parts rarer ones
 LEAST_LETTERS = 5
 LEAST_COUNT = 3
 MISPRINT_EVERY = 97
