@@ -134,6 +134,21 @@ def radar_scan(spark, sf):
     return df.select("scene_id", "tile_id", "y", "x", r6("value").alias("value"))
 
 
+@query(
+    "src04_despeckled_scan", "px",
+    oracle="""
+    WITH r AS (SELECT scene_id, tile_id, y, x, VV, VH, CAST(round(lat / 0.01) AS BIGINT) AS gy, CAST(round(lon / 0.01) AS BIGINT) AS gx FROM px
+      WHERE mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH')),
+    m AS (SELECT a.scene_id, a.gy, a.gx, median(b.VV) AS VV FROM (SELECT DISTINCT scene_id, gy, gx FROM r) a JOIN r b ON a.scene_id = b.scene_id
+      AND pow((a.gy - b.gy) * 1113.2, 2) + pow((a.gx - b.gx) * 1113.2 * cos(radians(a.gy * 0.01)), 2) <= 3000.0 * 3000.0 GROUP BY ALL)
+    SELECT scene_id, tile_id, y, x, round(CASE WHEN r.VV IS NOT NULL THEN m.VV END, 6) AS value FROM r JOIN m USING (scene_id, gy, gx)""",
+)
+def despeckled_scan(spark, sf):
+    px = v.px(spark, sf)
+    df = scans.radar_product(px, BUILTIN["s1"].get("VV"), None, "1900-01-01", "2100-01-01", speckle_radius_m=3_000.0)
+    return df.select("scene_id", "tile_id", "y", "x", r6("value").alias("value"))
+
+
 @query(
     "src05_trace_gas_scan", "px",
     oracle=f"""

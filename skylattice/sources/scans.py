@@ -17,6 +17,7 @@ from skylattice.catalog.expressions import band_math
 from skylattice.catalog.products import Dataset, Product
 from skylattice.catalog.registry import get_product, refuse, resolve_source
 from skylattice.functions.geo import Roi, roi_filter
+from skylattice.operators.morphology import focal_median_metres
 
 # Fixed values.
 BROWSE_CLOUD_MAX = 65.0
@@ -27,6 +28,7 @@ CLOUD_PROB_MAX = 50
 FILL_DN = -9999
 DN_SCALE = 10000.0
 
+GRID_DEG = 0.01  # step of the pixel grid
 PIXEL_KEYS = ("scene_id", "ts", "tile_id", "y", "x", "lon", "lat")
 
 When = str | date | datetime
@@ -142,10 +144,14 @@ def radar_filters(orbit_pass: str | None = None, relative_orbit: int | None = No
 
 
 def radar_product(pixels: DataFrame, product: Product, roi: Roi | None, start: When, end: When, *,
-                  orbit_pass: str | None = None, relative_orbit: int | None = None) -> DataFrame:
+                  orbit_pass: str | None = None, relative_orbit: int | None = None, speckle_radius_m: float | None = None,
+                  step_deg: float = GRID_DEG) -> DataFrame:
+    """``speckle_radius_m``: both polarisations are smoothed within each scene before the product is taken."""
     if product.dataset_id != "s1":
         raise ValueError(f"unsupported radar variable {product.key!r}")
     df = scan(pixels, roi, start, end).where(radar_filters(orbit_pass, relative_orbit))
+    if speckle_radius_m is not None:
+        df = focal_median_metres(df.select(*PIXEL_KEYS, "VV", "VH"), ["scene_id"], speckle_radius_m, ["VV", "VH"], step_deg)
     return df.select(*PIXEL_KEYS, product_column(product).alias("value"))
 
 

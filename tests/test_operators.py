@@ -468,6 +468,25 @@ def test_chunks_report_and_can_be_cancelled(spark, tmp_path):
     assert builders.run_chunks(spark, chunks[:1], "value").count() == 10
 
 
+@pytest.mark.parametrize("lat", [0.0, 60.0, -60.0])
+def test_speckle_circle_follows_the_latitude(spark, lat):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(9, 15))
+    values[4, 7] = np.nan
+    lons = [((179.95 + 0.01 * x) + 180) % 360 - 180 for x in range(15)]  # across the date line
+    rows = [("s", lat + 0.01 * (y - 4), lons[x], None if np.isnan(values[y, x]) else float(values[y, x])) for y in range(9) for x in range(15)]
+    df = spark.createDataFrame(rows, "scene_id string, lat double, lon double, VV double")
+    got = {(round(r.lat / 0.01), round(r.lon, 2)): r.VV for r in mo.focal_median_metres(df, ["scene_id"], 2_500.0, ["VV"], 0.01).collect()}
+    assert len(got) == len(rows)
+    for y in range(9):
+        row = round((lat + 0.01 * (y - 4)) / 0.01)
+        wide = 1113.2 * math.cos(math.radians(row * 0.01))
+        for x in range(15):
+            near = [values[j, i] for j in range(9) for i in range(15) if ((j - y) * 1113.2) ** 2 + ((i - x) * wide) ** 2 <= 2_500.0**2]
+            want = None if np.isnan(values[y, x]) else float(np.nanmedian(near))
+            assert got[(row, round(lons[x], 2))] == want
+
+
 def test_late_batches_and_a_restart_equal_one_batch(spark, tmp_path):
     """Rows that land weeks late, a restart after every batch, and repeats: each form equals itself over all rows at once."""
     rng = np.random.default_rng(6)
