@@ -169,17 +169,38 @@ def _template_pairs(spark, sf):
     c = v.chips(spark, sf)
     ref = mo.pack(c.where("pass = 0"), ("chip_id",), ("b11",), 16, 16).select(F.col("chip_id").alias("ref_id"), F.col("b11").cast("array<double>").alias("ref"))
     cut = c.where("pass = 0 AND y BETWEEN 3 AND 10 AND x BETWEEN 5 AND 13").select("chip_id", (F.col("y") - 3).alias("y"), (F.col("x") - 5).alias("x"), "b11")
-    tmpl = mo.pack(cut, ("chip_id",), ("b11",), 8, 9).select(F.col("chip_id").alias("template_id"), F.transform("b11", lambda t: F.coalesce(t.cast("double"), F.lit(0.23))).alias("tmpl"))
+    tmpl = mo.pack(cut, ("chip_id",), ("b11",), 8, 9).select(F.col("chip_id").alias("template_id"), F.col("b11").cast("array<double>").alias("tmpl"))
     near = tmpl.withColumn("ref_id", F.explode(F.array(*[F.col("template_id") + i for i in (-1, 0, 1)])))
     return near.join(ref, "ref_id").select(
         "template_id", "ref_id", "tmpl", F.lit(8).alias("t_h"), F.lit(9).alias("t_w"), "ref", F.lit(16).alias("ref_h"), F.lit(16).alias("ref_w")
     )
 
 
+PLACES_SQL = """WITH c AS (SELECT chip_id, y, x, CAST(CAST(b11 AS FLOAT) AS DOUBLE) AS v FROM chips WHERE pass = 0),
+t AS (SELECT chip_id, y - 3 AS ty, x - 5 AS tx, v FROM c WHERE y BETWEEN 3 AND 10 AND x BETWEEN 5 AND 13 AND v IS NOT NULL),
+size AS (SELECT chip_id, count(*) AS n FROM t GROUP BY 1),
+places AS (SELECT t.chip_id AS template_id, r.chip_id AS ref_id, r.y - ty AS y, r.x - tx AS x, round(corr(r.v, t.v), 9) AS peak
+FROM (SELECT *, unnest([chip_id - 1, chip_id, chip_id + 1]) AS ref_id FROM t) t JOIN c r ON r.chip_id = t.ref_id AND r.v IS NOT NULL
+WHERE r.y - ty BETWEEN 0 AND 8 AND r.x - tx BETWEEN 0 AND 7 GROUP BY 1, 2, 3, 4
+HAVING var_pop(r.v) > 1e-12 AND var_pop(t.v) > 1e-12 AND 2 * count(*) >= (SELECT n FROM size WHERE size.chip_id = t.chip_id)) """
+
+
 @query(
     "nb12_template_match", "chips",
-    oracle="""WITH t AS (SELECT DISTINCT chip_id FROM chips) SELECT a.chip_id AS template_id, a.chip_id AS best_ref, CAST(3 AS BIGINT) AS y, CAST(5 AS BIGINT) AS x FROM t a""",
+    oracle=PLACES_SQL + """SELECT template_id, ref_id AS best_ref, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM places
+QUALIFY row_number() OVER (PARTITION BY template_id ORDER BY peak DESC, ref_id, places.y, places.x) = 1""",
 )
 def template_match(spark, sf):
-    m = mo.template_match(_template_pairs(spark, sf))
-    return m.groupBy("template_id").agg(F.max_by(F.struct("ref_id", "y", "x"), "peak").alias("b")).select("template_id", F.col("b.ref_id").alias("best_ref"), "b.y", "b.x")
+    m = mo.template_match(_template_pairs(spark, sf)).where("peak IS NOT NULL")
+    best = F.min(F.struct((-F.col("peak")).alias("p"), "ref_id", "y", "x")).alias("b")
+    return m.groupBy("template_id").agg(best).select("template_id", F.col("b.ref_id").alias("best_ref"), "b.y", "b.x")
+
+
+@query(
+    "nb12_template_peaks", "chips",
+    oracle=PLACES_SQL + """SELECT template_id, ref_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(places.peak, 6) AS peak FROM places
+QUALIFY row_number() OVER (PARTITION BY template_id, ref_id ORDER BY places.peak DESC, places.y, places.x) = 1""",
+)
+def template_peaks(spark, sf):
+    m = mo.template_match(_template_pairs(spark, sf)).where("peak IS NOT NULL")
+    return m.select("template_id", "ref_id", "y", "x", r6("peak").alias("peak"))

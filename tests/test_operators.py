@@ -593,3 +593,20 @@ def test_theil_sen_weighs_heavy_multiplicities(spark):
     slopes = [(b[2] - a[2]) / (b[1] - a[1]) for a in some for b in some if a[1] < b[1]]
     got = statistics.theil_sen(spark.createDataFrame(some, "g string, q_ref double, q_ours double"), ("g",)).first()["theil_sen"]
     assert math.isclose(got, np.median(slopes))
+
+
+def test_template_peak_equals_correlation_of_every_window():
+    rng = np.random.default_rng(5)
+    image, template = rng.normal(size=(9, 11)), rng.normal(size=(4, 3))
+    image[2, 3] = image[6, 7] = template[1, 2] = np.nan
+    got = mo.window_correlations(image, template)
+    for y in range(6):
+        for x in range(9):
+            part = image[y : y + 4, x : x + 3]
+            on = np.isfinite(part) & np.isfinite(template)
+            assert got[y, x] == pytest.approx(np.corrcoef(part[on], template[on])[0, 1])
+    assert np.isnan(mo.window_correlations(np.full((5, 5), 2.0), template)).all()
+    assert mo.window_correlations(template, image).size == 0
+    assert mo._best_window(np.full((5, 5), np.nan), template) == (None, None, None)
+    twice = np.tile(template[:, :2], 2)
+    assert mo._best_window(twice, template[:, :2])[1:] == (0, 0)
