@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.functions.geo import Box, cell_index, wind_lattice
+from skylattice.functions.geo import Region, cell_index, wind_lattice
 
 # Fixed values.
 WIND_SIGMA_FLOOR = 1.5
@@ -119,7 +119,7 @@ def window_mean(points: DataFrame, wind: DataFrame, centre: str, half_hours: int
     })
 
 
-def wind_fields(moments: DataFrame, grid: DataFrame, box: Box, nx: int, ny: int, collection: str = "land",
+def wind_fields(moments: DataFrame, grid: DataFrame, box: Region, nx: int, ny: int, collection: str = "land",
                 fallback: str | None = "global") -> DataFrame:
     """Dense wind lattices, one per moment: both hours blended per grid point, then the cell mean.
 

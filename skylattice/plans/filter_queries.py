@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skylattice.catalog.products import BUILTIN, DEFAULT_PALETTE
 from skylattice.catalog.registry import catalog_table
 from skylattice.functions import display
-from skylattice.functions.geo import Box, Polygon, in_box, roi_filter
+from skylattice.functions.geo import box, in_box, outline, roi_filter
 from skylattice.operators import classify, composites, gates
 from skylattice.plans import views as v
 from skylattice.plans.registry import query
@@ -49,11 +49,11 @@ def radar_metadata(spark, sf):
     return _per_tile(v.px(spark, sf).where(scans.radar_filters("DESCENDING", 3)))
 
 
-TRIANGLE = Polygon(((-167.9037, 49.8513), (-166.0011, 49.9987), (-164.3019, 49.8721)))
+TRIANGLE = outline(((-167.9037, 49.8513), (-166.0011, 49.9987), (-164.3019, 49.8721)))
 
 
 def _crossings_sql() -> str:
-    ring = TRIANGLE.open_ring
+    ring = TRIANGLE.ring
     return " + ".join(
         f"CASE WHEN ({y1} > lat) <> ({y2} > lat) AND lon < ({x2 - x1!r}) * (lat - {y1}) / ({y2 - y1!r}) + ({x1}) THEN 1 ELSE 0 END"
         for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])
@@ -69,7 +69,7 @@ def _crossings_sql() -> str:
 )
 def region_clip(spark, sf):
     lon, lat = F.col("lon"), F.col("lat")
-    assert roi_filter(lon, lat, Box(-180, -90, 180, 90)) is None
+    assert roi_filter(lon, lat, box(-180, -90, 180, 90)) is None
     return v.px(spark, sf).groupBy("tile_id").agg(
         F.count_if(in_box(lon, lat, ROI)).alias("n_box"), F.count_if(roi_filter(lon, lat, TRIANGLE)).alias("n_polygon"), F.count("*").alias("n_global")
     )

@@ -125,7 +125,7 @@ def analysis_boxes(spark, sf):
       SELECT c.idx, round(west + 0.05, 6) AS lon, round(north - 0.05, 6) AS lat, coalesce(n, 0) AS n FROM c LEFT JOIN n USING (idx)""",
 )
 def cell_lattice(spark, sf):
-    box = geo.Box(-170.0, -60.0, -168.0, -58.0)
+    box = geo.box(-170.0, -60.0, -168.0, -58.0)
     nx, ny = geo.lattice_shape(box, 0.1)
     d = v.dets(spark, sf)
     idx = geo.cell_index(F.col("lon") + 0.0013, F.col("lat") + 0.0013, box, nx, ny)

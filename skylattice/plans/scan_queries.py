@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from skylattice.catalog.products import BUILTIN, S2_SR, S2_TOA
 from skylattice.catalog.registry import catalog_table, resolve_source_column
-from skylattice.functions.geo import Box
+from skylattice.functions.geo import box
 from skylattice.operators import series
 from skylattice.plans import views as v
 from skylattice.plans.registry import query
 from skylattice.sources import scans
 
-ROI = Box(-167.505, 49.8755, -165.505, 49.9755)
+ROI = box(-167.505, 49.8755, -165.505, 49.9755)
 ROI_SQL = "lon >= -167.505 AND lon <= -165.505 AND lat >= 49.8755 AND lat <= 49.9755"
 START, END = "1997-01-01", "1999-01-01"
 DATES_SQL = "ts >= TIMESTAMP '1997-01-01' AND ts < TIMESTAMP '1999-01-01'"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skylattice.functions.geo import Box, thinned_grid
+from skylattice.functions.geo import box, thinned_grid
 from skylattice.operators import scene_choice as sc
 from skylattice.operators import winds
 from skylattice.plans import views as v
@@ -164,7 +164,7 @@ def wind_fallback(spark, sf):
     return df.select("req_id", r6("u").alias("u"), r6("v").alias("v"), "collection_id", "fallback_used", r6("sigma_u10").alias("sigma_u10"))
 
 
-FIELD_BOX = Box(0.0, 0.0, 0.8, 0.6)
+FIELD_BOX = box(0.0, 0.0, 0.8, 0.6)
 
 
 def wind_grid(spark, sf):
@@ -217,6 +217,6 @@ def wind_direction(spark, sf):
     SELECT p.idx, round(lon, 6) AS lon, round(lat, 6) AS lat, density_level, round(u, 6) AS u, round(sqrt(u * u + v * v), 6) AS speed FROM p LEFT JOIN m ON m.cell = p.idx""",
 )
 def thinned_wind_grid(spark, sf):
-    pts = thinned_grid(spark, Box(-1.0, 2.0, 8.0, 6.0), 50).withColumn("cell", F.col("idx"))
+    pts = thinned_grid(spark, box(-1.0, 2.0, 8.0, 6.0), 50).withColumn("cell", F.col("idx"))
     df = winds.window_mean(pts, v.wind(spark, sf).where("collection_id = 'global'"), "2024-01-10 12:00:00")
     return df.select("idx", r6("lon").alias("lon"), r6("lat").alias("lat"), "density_level", r6("u").alias("u"), r6("speed").alias("speed"))

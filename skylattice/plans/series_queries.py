@@ -74,12 +74,12 @@ def daily_end_to_end(spark, sf):
     SELECT scene_id, idx, round(avg(value), 4) AS value, count(value) AS n FROM z WHERE value IS NOT NULL GROUP BY ALL""",
 )
 def zonal_mean(spark, sf):
-    from skylattice.functions.geo import Box, cell_index
+    from skylattice.functions.geo import box, cell_index
 
-    box = Box(-168.005, 49.845, -164.005, 50.005)
+    area = box(-168.005, 49.845, -164.005, 50.005)
     ch4 = BUILTIN["s5p"].get("CH4")
     df = v.px(spark, sf).select(
-        "scene_id", cell_index(F.col("lon"), F.col("lat"), box, 40, 2).alias("idx"), scans.mask_valid(F.col(ch4.band), ch4).alias("value")
+        "scene_id", cell_index(F.col("lon"), F.col("lat"), area, 40, 2).alias("idx"), scans.mask_valid(F.col(ch4.band), ch4).alias("value")
     ).where("idx IS NOT NULL AND value IS NOT NULL")
     z = df.groupBy("scene_id", "idx").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
     return z.select("scene_id", "idx", r6("value", 4).alias("value"), "n")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skylattice.catalog.expressions import band_math
 from skylattice.catalog.products import Dataset, Product
 from skylattice.catalog.registry import get_product, refuse, resolve_source
-from skylattice.functions.geo import Roi, roi_filter
+from skylattice.functions.geo import Region, roi_filter
 from skylattice.operators.morphology import focal_median_metres
 
 # Fixed values.
@@ -50,7 +50,7 @@ def date_range(ts: Column, start: When, end: When) -> Column:
     return (ts >= bound(start)) & (ts < bound(end))
 
 
-def scan(pixels: DataFrame, roi: Roi | None, start: When, end: When) -> DataFrame:
+def scan(pixels: DataFrame, roi: Region | None, start: When, end: When) -> DataFrame:
     """Observations in the date range whose pixel lies in the region."""
     out = pixels.where(date_range(F.col("ts"), start, end))
     inside = roi_filter(F.col("lon"), F.col("lat"), roi)
@@ -110,7 +110,7 @@ def of_collection(pixels: DataFrame, name: str | None) -> DataFrame:
     return pixels.where(F.col("collection") == name)
 
 
-def optical_base(pixels: DataFrame, roi: Roi | None, start: When, end: When, bands: tuple[str, ...], *,
+def optical_base(pixels: DataFrame, roi: Region | None, start: When, end: When, bands: tuple[str, ...], *,
                  cloud_max: float = BROWSE_CLOUD_MAX, threshold: int = CLOUD_PROB_MAX,
                  clouds: DataFrame | None = None, collection: str | None = None) -> DataFrame:
     """Collection, date, region and scene-cloud filters, then per-pixel cloud mask and reflectance.
@@ -126,7 +126,7 @@ def optical_base(pixels: DataFrame, roi: Roi | None, start: When, end: When, ban
     return df.select(*PIXEL_KEYS, *bands)
 
 
-def optical_product(pixels: DataFrame, product: Product, roi: Roi | None, start: When, end: When, **kw) -> DataFrame:
+def optical_product(pixels: DataFrame, product: Product, roi: Region | None, start: When, end: When, **kw) -> DataFrame:
     """A product from surface reflectance, or from the collection that it names itself."""
     bands = product.bands or (product.band,)
     kw.setdefault("collection", product.collection)
@@ -143,7 +143,7 @@ def radar_filters(orbit_pass: str | None = None, relative_orbit: int | None = No
     return keep
 
 
-def radar_product(pixels: DataFrame, product: Product, roi: Roi | None, start: When, end: When, *,
+def radar_product(pixels: DataFrame, product: Product, roi: Region | None, start: When, end: When, *,
                   orbit_pass: str | None = None, relative_orbit: int | None = None, speckle_radius_m: float | None = None,
                   step_deg: float = GRID_DEG) -> DataFrame:
     """``speckle_radius_m``: both polarisations are smoothed within each scene before the product is taken."""
@@ -155,7 +155,7 @@ def radar_product(pixels: DataFrame, product: Product, roi: Roi | None, start: W
     return df.select(*PIXEL_KEYS, product_column(product).alias("value"))
 
 
-def generic_product(pixels: DataFrame, product: Product, roi: Roi | None, start: When, end: When, *,
+def generic_product(pixels: DataFrame, product: Product, roi: Region | None, start: When, end: When, *,
                     mask_invalid: bool = True) -> DataFrame:
     """Band select or expression with the valid-range mask; also serves trace gases."""
     value = product_column(product)
@@ -164,7 +164,7 @@ def generic_product(pixels: DataFrame, product: Product, roi: Roi | None, start:
     return scan(pixels, roi, start, end).select(*PIXEL_KEYS, value.alias("value"))
 
 
-def collection(pixels: DataFrame, key: str, source: str, roi: Roi | None, start: When, end: When,
+def collection(pixels: DataFrame, key: str, source: str, roi: Region | None, start: When, end: When,
                extra: dict[str, Dataset] | None = None) -> DataFrame:
     """Route a product to its sensor's scan; two-window and builder products are refused."""
     product = get_product(key, source, extra)
@@ -177,7 +177,7 @@ def collection(pixels: DataFrame, key: str, source: str, roi: Roi | None, start:
     return generic_product(pixels, product, roi, start, end)
 
 
-def acquisition_times(pixels: DataFrame, roi: Roi | None, start: When, end: When) -> DataFrame:
+def acquisition_times(pixels: DataFrame, roi: Region | None, start: When, end: When) -> DataFrame:
     """One row per scene in the window, in time order; equal times are kept."""
     return scan(pixels, roi, start, end).select("scene_id", "ts").distinct().select("ts", "scene_id").orderBy("ts", "scene_id")
 

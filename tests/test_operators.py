@@ -311,25 +311,40 @@ def test_event_times(spark):
 GOOD = '[dataset]\nid="a"\ntitle="t"\ncollection_id="c"\nattribution="x"\ndefault_scale_m=10\n[products.P]\nname="p"\nvis_min=0\nvis_max=1\nvalid_min=0\nvalid_max=1\ndisplay_unit="u"\n'
 
 
-@pytest.mark.parametrize(
-    "change, why",
-    [(("vis_max=1", "vis_max=0"), "vis_max"), (('id="a"', 'id="A!"'), "id"), (("default_scale_m=10", "default_scale_m=true"), "default_scale_m"), (('name="p"', 'name="p"\nbuilder="b"'), "reserved"),
-     (('name="p"', 'name="p"\nexpression="A"'), "bands"), (('name="p"', 'name="p"\npalette=["red"]'), "palette"), (("[dataset]", "[dataset"), "TOML")],
-)
-def test_dataset_definitions(change, why):
-    assert imports.parse_dataset(GOOD)[0] == "a"
-    with pytest.raises(ValueError, match=why):
-        imports.parse_dataset(GOOD.replace(*change))
+def test_dataset_definitions(spark, tmp_path):
+    cases = [
+        (("vis_max=1", "vis_max=0"), "vis_max must exceed"), (('id="a"', 'id="A!"'), "bad id"), (("default_scale_m=10", "default_scale_m=true"), "default_scale_m must be whole"),
+        (("default_scale_m=10", "default_scale_m=0"), "default_scale_m must be positive"), (('name="p"', 'name="p"\nbuilder="b"'), "reserved"),
+        (('name="p"', 'name="p"\nexpression="A"'), "needs its bands"), (('name="p"', 'name="p"\npalette=["red"]'), "palette"), (("[dataset]", "[dataset"), "not TOML"),
+        (('name="p"', 'name="p"\nbands=[]'), "bands must be a list"), (('name="p"', 'name="p"\nbands=[1]'), "bands must be texts"), (('name="p"\n', ""), "missing key name"),
+        (("vis_min=0", 'vis_min="0"'), "vis_min must be number"), (("[products.P]", "[products]\nP=3\n[other]"), "unknown key at the top"),
+        (("[products.P]", '[products."P 1"]'), "bad product key"), (('name="p"', 'name="p"\nneeds_ref=true'), "needs an expression"), (('name="p"', 'name="p"\nis_rgb=true'), "colour stack"),
+        (('title="t"', 'title="t"\nextra=1'), "unknown key extra"), (("valid_max=1", "valid_max=-1"), "valid_max"),
+    ]
+    for i, (change, _) in enumerate(cases):
+        (tmp_path / f"bad{i:02d}.toml").write_text(GOOD.replace(*change))
+    (tmp_path / "head.toml").write_text(GOOD[: GOOD.index("[products")])
+    (tmp_path / "flat.toml").write_text(GOOD[: GOOD.index("[products")] + "[products]\nP=3\n")
+    (tmp_path / "good.toml").write_text(GOOD + 'bands=["A", "B"]\nexpression="A / B"\ndisplay_scale=2\nneeds_ref=false\n')
+    (tmp_path / "later.toml").write_text(GOOD)
+    good, bad = imports.read_dataset_specs(spark, str(tmp_path))
+    (row,) = good.collect()
+    assert (row.dataset_id, row.key, row.vis_max, row.bands, row.expression, row.source_band, row.display_scale, row.is_rgb, row.needs_ref) == (
+        "a", "P", 1.0, ["A", "B"], "A / B", "P", 2.0, False, False)
+    why = {r.path.rsplit("/", 1)[1].split(".")[0]: r.reason for r in bad.collect()}
+    assert len(why) == len(cases) + 3
+    assert all(text in why[f"bad{i:02d}"] for i, (_, text) in enumerate(cases))
+    assert (why["head"], why["flat"], why["later"]) == ("at least one product is needed", "products.P: must be a table", "duplicate dataset id")
 
 
 def test_regions():
     with pytest.raises(ValueError):
-        geo.Box(10, 0, 5, 1)
+        geo.box(10, 0, 5, 1)
     with pytest.raises(ValueError):
-        geo.Polygon(((0, 0), (1, 1), (0, 0)))
-    assert geo.Box(-180, -90, 180, 90).is_global
+        geo.outline(((0, 0), (1, 1), (0, 0)))
+    assert geo.spans_globe(geo.box(-180, -90, 180, 90))
     with pytest.raises(ValueError):
-        geo.lattice_shape(geo.Box(0, 0, 10, 10), 0.1)
+        geo.lattice_shape(geo.box(0, 0, 10, 10), 0.1)
     with pytest.raises(ValueError):
         scans.check_dates("2024-02-01", "2024-02-01")
 
