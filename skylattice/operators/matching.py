@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.geo import haversine_km
+from skylattice.operators.block_pairs import Span, count_pairs
 from skylattice.operators.components import connected_components
 from skylattice.operators.scene_choice import days
+from skylattice.session import materialize
 
 KM_PER_DEG_MIN = 110.5
 
@@ -145,18 +147,29 @@ def link_sites(sites: DataFrame, max_km: float = 5.0, km_per_deg: float = 111.32
     cell = max_km / math.sqrt(2)
     binned = xy.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
     # All sites of one cell are within reach of each other: link each to the cell's first site only.
-    hub = binned.groupBy("cx", "cy").agg(F.min("site_id").alias("hub"))
+    hub = materialize(binned.groupBy("cx", "cy").agg(F.min("site_id").alias("hub")), "hubs")
     inside = binned.join(hub, ["cx", "cy"]).where(F.col("site_id") != F.col("hub")).select(F.col("hub").alias("src"), F.col("site_id").alias("dst"))
-    # One link per pair of neighbouring cells is enough; distinct positions keep copies out of the comparison.
-    spots = binned.groupBy("px", "py", "cx", "cy").agg(F.min("site_id").alias("site_id"))
-    offs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]))
-    near = spots.withColumn("o", offs).select(
-        (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.struct("site_id", "px", "py").alias("a"), F.struct("cx", "cy").alias("ca"),
-    )
-    across = near.join(spots.select("cx", "cy", F.struct("site_id", "px", "py").alias("b")), ["cx", "cy"])
-    dx, dy = F.col("a.px") - F.col("b.px"), F.col("a.py") - F.col("b.py")
-    linked = across.where(F.sqrt(dx * dx + dy * dy) <= max_km).groupBy("ca", "cx", "cy").agg(F.min(F.struct("a.site_id", F.col("b.site_id").alias("other"))).alias("l"))
-    edges = inside.unionByName(linked.select(F.col("l.site_id").alias("src"), F.col("l.other").alias("dst")))
+    # So one pair within reach is enough to join two cells.
+    root = F.struct("cx", "cy").alias("root")
+    spots = binned.groupBy("px", "py", "cx", "cy").agg(F.lit(1).alias("n")).select(root, "n", "px", "py")
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    cells = hub.select("cx", "cy", root)
+    ahead = cells.select(F.col("root").alias("root_a"), F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i, j in steps])).alias("root_b"))
+    neighbours = ahead.join(cells.select(F.col("root").alias("root_b")), "root_b")
+
+    def reach(p: dict[str, Span], q: dict[str, Span]) -> tuple[Column, Column]:
+        far, near = F.lit(0.0), F.lit(0.0)
+        for axis in ("px", "py"):
+            (p_lo, p_hi), (q_lo, q_hi) = p[axis], q[axis]
+            most, least = F.greatest(p_hi - q_lo, q_hi - p_lo), F.greatest(p_lo - q_hi, q_lo - p_hi, F.lit(0.0))
+            far, near = far + most * most, near + least * least
+        return F.sqrt(far) <= max_km, F.sqrt(near) > max_km
+
+    places = [F.col("px") / cell - F.col("root.cx"), F.col("py") / cell - F.col("root.cy")]
+    linked = count_pairs(spots, neighbours, places, ("px", "py"), reach, once=True)
+    for s, end in (("a", "src"), ("b", "dst")):
+        linked = linked.join(hub.select(F.struct("cx", "cy").alias(f"root_{s}"), F.col("hub").alias(end)), f"root_{s}")
+    edges = inside.unionByName(linked.select("src", "dst"))
     comp = connected_components(edges)
     return sites.join(comp.withColumnRenamed("node", "site_id"), "site_id", "left").select("site_id", F.coalesce("component", "site_id").alias("cluster"))
 
@@ -164,24 +177,32 @@ def link_sites(sites: DataFrame, max_km: float = 5.0, km_per_deg: float = 111.32
 def overlap_pairs(chips: DataFrame, cell_deg: float, max_overlap: float = 0.10) -> DataFrame:
     """Number of chip pairs of different folds that overlap by more than ``max_overlap`` of the smaller box.
 
-    Chips with the same box and fold are counted once with a multiplicity, so a site whose
-    chips all share one box does not blow up. A pair is judged only in the cell that holds the
-    south-west corner of its intersection. ``cell_deg`` must be at least the largest box side.
+    Chips with the same box and fold are one item with a multiplicity. A box belongs to the cell of its south-west
+    corner and meets the boxes of the nine cells around; dense cells are counted by blocks, not pair by pair.
+    ``cell_deg`` must be at least the largest box side. Boxes with a NULL limit are in no pair.
     """
-    boxes = chips.groupBy("west", "south", "east", "north", "fold").agg(F.count("*").alias("n"))
-    cols = F.sequence(F.floor(F.col("west") / cell_deg), F.floor(F.col("east") / cell_deg))
-    rows = F.sequence(F.floor(F.col("south") / cell_deg), F.floor(F.col("north") / cell_deg))
-    cells = boxes.withColumn("cx", F.explode(cols)).withColumn("cy", F.explode(rows))
-    box = F.struct("west", "south", "east", "north", "fold", "n")
-    a, b = cells.select("cx", "cy", box.alias("a")), cells.select("cx", "cy", box.alias("b"))
-    p = a.join(b, ["cx", "cy"]).where(F.col("a.fold") < F.col("b.fold"))
-    iw = F.least("a.east", "b.east") - F.greatest("a.west", "b.west")
-    ih = F.least("a.north", "b.north") - F.greatest("a.south", "b.south")
-    home = (F.floor(F.greatest("a.west", "b.west") / cell_deg) == F.col("cx")) & (F.floor(F.greatest("a.south", "b.south") / cell_deg) == F.col("cy"))
-
-    def area(s: str) -> Column:
-        return (F.col(f"{s}.east") - F.col(f"{s}.west")) * (F.col(f"{s}.north") - F.col(f"{s}.south"))
-
-    share = F.try_divide(iw * ih, F.least(area("a"), area("b")))
-    bad = p.where(home & (iw > 0) & (ih > 0) & (share > max_overlap))
-    return bad.groupBy(F.col("a.fold").alias("fold_a"), F.col("b.fold").alias("fold_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n_pairs"))
+    width, height = F.col("east") - F.col("west"), F.col("north") - F.col("south")
+    boxes = chips.groupBy("west", "south", "east", "north", "fold").agg(F.count("*").alias("n")).withColumn("area", width * height)
+    root = F.struct("fold", F.floor(F.col("west") / cell_deg).alias("cx"), F.floor(F.col("south") / cell_deg).alias("cy"))
+    limits = ("west", "south", "east", "north", "area")
+    items = boxes.where("area IS NOT NULL").select(root.alias("root"), "n", *limits)
+    cells = materialize(items.select("root").distinct(), "cells")
+    around = [F.struct((F.col("root.cx") + i).alias("cx"), (F.col("root.cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    ahead = cells.select(F.col("root").alias("root_a"), F.explode(F.array(*around)).alias("at"))
+    near = ahead.join(cells.select(F.col("root").alias("root_b"), F.struct("root.cx", "root.cy").alias("at")), "at")
+
+    def overlap(p: dict[str, Span], q: dict[str, Span]) -> tuple[Column, Column]:
+        def common(low: str, high: str, pick: int) -> Column:
+            other = 1 - pick
+            return F.least(p[high][pick], q[high][pick]) - F.greatest(p[low][other], q[low][other])
+
+        least_w, most_w = [common("west", "east", pick) for pick in (0, 1)]
+        least_h, most_h = [common("south", "north", pick) for pick in (0, 1)]
+        smaller = [F.least(p["area"][pick], q["area"][pick]) for pick in (0, 1)]
+        sure = (least_w > 0) & (least_h > 0) & (F.try_divide(least_w * least_h, smaller[1]) > max_overlap)
+        never = (most_w <= 0) | (most_h <= 0) | ((smaller[0] > 0) & ~(F.try_divide(most_w * most_h, smaller[0]) > max_overlap))
+        return F.coalesce(sure, F.lit(False)), F.coalesce(never, F.lit(False))
+
+    places = [F.col("west") / cell_deg - F.col("root.cx"), F.col("south") / cell_deg - F.col("root.cy"), width / cell_deg, height / cell_deg]
+    pairs = count_pairs(items, near.where("root_a.fold < root_b.fold").select("root_a", "root_b"), places, limits, overlap)
+    return pairs.groupBy(F.col("root_a.fold").alias("fold_a"), F.col("root_b.fold").alias("fold_b")).agg(F.sum("n").alias("n_pairs"))

@@ -625,3 +625,34 @@ def test_template_peak_equals_correlation_of_every_window():
     assert mo._best_window(np.full((5, 5), np.nan), template) == (None, None, None)
     twice = np.tile(template[:, :2], 2)
     assert mo._best_window(twice, template[:, :2])[1:] == (0, 0)
+
+
+def test_block_counts_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    n = 700
+    west, south = rng.uniform(0, 0.06, n).round(4), rng.uniform(0, 0.06, n).round(4)
+    wide, high = rng.uniform(0.002, 0.04, n).round(4), rng.uniform(0.002, 0.04, n).round(4)
+    fold = rng.integers(0, 3, n)
+    rows = [(float(a), float(b), float(a + c), float(b + d), int(f)) for a, b, c, d, f in zip(west, south, wide, high, fold)]
+    rows += rows[:40] + [(None, 0.0, 0.1, 0.1, 1)]
+    df = spark.createDataFrame(rows, "west double, south double, east double, north double, fold int")
+    want = {}
+    for i, a in enumerate(rows[:-1]):
+        for b in rows[:i]:
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            smaller = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+            if a[4] != b[4] and w > 0 and h > 0 and w * h / smaller > 0.1:
+                key = tuple(sorted((a[4], b[4])))
+                want[key] = want.get(key, 0) + 1
+    got = matching.overlap_pairs(df, 0.05)
+    assert {(r.fold_a, r.fold_b): r.n_pairs for r in got.collect()} == want
+
+
+def test_sites_of_dense_cells_link_across_a_gap(spark):
+    # two dense clouds that face each other at 5 km: one pair in reach, or none
+    rng = np.random.default_rng(12)
+    for gap, clusters in ((4.9, 1), (5.1, 2)):
+        x = np.concatenate([rng.uniform(-2, 0, 2500), [0.0, gap], gap + rng.uniform(0, 2, 2500)])
+        rows = [(i, float(v / 111.32), 0.0) for i, v in enumerate(x)]
+        got = matching.link_sites(spark.createDataFrame(rows, "site_id bigint, lon double, lat double"), 5.0)
+        assert got.select("cluster").distinct().count() == clusters and got.count() == len(rows)
