@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from skylattice.session import materialize
 
 DEPTH = 24  # halvings of a root's side; items that still share a block then meet whatever their number
-PAIR_ITEMS = 65_536  # item pairs of two blocks that are compared rather than cut again
+PAIR_ITEMS = 16_384  # item pairs of two blocks that are compared rather than cut again
+
+TASK_PAIRS = 4_000_000  # item pairs of one task, about: small inputs grow here, so their size says nothing
 
 #: (lower, upper) bound of a value over one side's items.
 Span = tuple[Column, Column]
@@ -56,10 +58,10 @@ def count_pairs(items: DataFrame, roots: DataFrame, places: Sequence[Column], va
             here = placed.withColumn("up", above).join(cut.select("c.*").distinct(), ["root", "up"], "left_semi")
         blocks = here.groupBy("root", code.alias("code")).agg(F.count("*").alias("items"), F.sum("n").alias("n"), *limits)
         blocks = materialize(blocks.withColumn("up", F.transform("code", lambda c: F.shiftright(c, 1))), "blocks")
-        side = F.struct("code", "items", "n", *[f"{at}_{v}" for v in values for at in ("lo", "hi")])
+        measures = F.struct("code", "items", "n", *[f"{at}_{v}" for v in values for at in ("lo", "hi")])
 
-        def of(s: str, blocks: DataFrame = blocks, side: Column = side) -> DataFrame:
-            return blocks.select(F.col("root").alias(f"root_{s}"), F.col("up").alias(f"code_{s}"), side.alias(s))
+        def of(s: str, blocks: DataFrame = blocks, measures: Column = measures) -> DataFrame:
+            return blocks.select(F.col("root").alias(f"root_{s}"), F.col("up").alias(f"code_{s}"), measures.alias(s))
 
         keys = {s: [f"root_{s}", f"code_{s}"] if level else [f"root_{s}"] for s in "ab"}
         met = todo
@@ -72,8 +74,12 @@ def count_pairs(items: DataFrame, roots: DataFrame, places: Sequence[Column], va
         whole = judged.where("verdict = 'all'").select("root_a", "root_b", (F.col("a.n") * F.col("b.n")).alias("n"))
         row = placed.select("root", code.alias("code"), F.struct("n", *values).alias("item"))
         meet = judged.where("verdict = 'meet'").select("root_a", "root_b", F.col("a.code").alias("code_a"), F.col("b.code").alias("code_b"))
+        work = judged.where("verdict = 'meet'").agg(F.coalesce(F.sum(F.col("a.items") * F.col("b.items")), F.lit(0))).first()[0]
+        tasks = 1 + work // TASK_PAIRS
         for s in "ab":
-            meet = meet.join(row.select(F.col("root").alias(f"root_{s}"), F.col("code").alias(f"code_{s}"), F.col("item").alias(s)), [f"root_{s}", f"code_{s}"])
+            at = [f"root_{s}", f"code_{s}"]
+            side = row.select(F.col("root").alias(at[0]), F.col("code").alias(at[1]), F.col("item").alias(s))
+            meet = meet.repartition(tasks, *at).join(side.repartition(tasks, *at), at)
         holds, _ = bound(_spans("a", values, True), _spans("b", values, True))
         single = meet.where(holds).select("root_a", "root_b", (F.col("a.n") * F.col("b.n")).alias("n"))
         hits = materialize(whole.unionByName(single).groupBy("root_a", "root_b").agg(F.sum("n").alias("n")), "hits")
