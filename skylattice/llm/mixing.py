@@ -8,12 +8,13 @@ are the smallest capacity or a common multiple of the weight, found by one runni
 children ordered by capacity per weight.
 
 A leaf's budget is spent on whole epochs and then on a prefix of one more epoch, whose order is
-a digest of seed, epoch and document id. The prefix is found by summing tokens over ranges of the
+a digest of seed, epoch, document id and text. The prefix is found by summing tokens over ranges of the
 digest first, so a leaf with a third of all rows is no single task.
 
 Defined results: null languages and sources are leaves of their own; null, empty and wordless
-texts have no tokens and are taken with the epoch or prefix that reaches them; rows that share an
-id share their place; weights are positive whole numbers, 1 where none is given.
+texts have no tokens and are taken with the epoch or prefix that reaches them; rows without an id or
+with a repeated one are told apart by their text; of rows equal in both, whichever they are, as many are
+taken as the budget has room for; weights are positive whole numbers, 1 where none is given.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.joins import with_single_row
+from skylattice.functions.ranks import numbered
 from skylattice.llm.common import materialize
 
 LEVELS = ("domain", "lang", "source")
 SEED = 2_048
 RANGE_ROWS = 4_000  # rows of one running sum, about
 BROADCAST_LEAVES = 50_000
+#: Stands for the text in the order of an epoch; null: no text.
+MARK = "substring(md5(text), 1, 16)"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,9 +42,9 @@ def domain_of() -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens): the leaf and size of every row; tokens are words here."""
+    """(doc_id, mark, domain, lang, source, n_tokens): the leaf and size of every row; tokens are words here."""
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain"), "lang", "source", tokens.alias("n_tokens"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(MARK).alias("mark"), domain_of().alias("domain"), "lang", "source", tokens.alias("n_tokens"))
 
 
 def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
@@ -95,8 +99,8 @@ def leaf_budgets(rows: DataFrame, weights: dict[str, dict[str, int]], percent: i
 
 
 def order_key(epoch: Column, seed: int) -> Column:
-    """Text that orders the documents of an epoch at random but repeatably."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
+    """Text that orders the documents of an epoch at random but repeatably; equal only for rows equal in id and text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("mark", F.lit(""))))
 
 
 def _to_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -108,7 +112,9 @@ def _to_leaves(rows: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def leaf_cuts(rows: DataFrame, budgets: DataFrame, epochs: int, seed: int) -> DataFrame:
-    """(domain, lang, source, whole, cut): whole epochs of every leaf and the last key of its prefix (null: none)."""
+    """(domain, lang, source, whole, cut, edge, room): whole epochs of every leaf and the last key of its prefix (null: none).
+
+    ``edge`` is the next key where it is shared by more rows than fit, of which ``room`` are taken; else null."""
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int")
     leaves = budgets.select(*LEVELS, "rows", whole.alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("wanted"))
     leaves = materialize(leaves, "leaf_wants")
@@ -121,12 +127,20 @@ def leaf_cuts(rows: DataFrame, budgets: DataFrame, epochs: int, seed: int) -> Da
     below = sums.where(F.col("before") + F.col("tokens") <= F.col("wanted")).groupBy(*LEVELS).agg(F.max("last").alias("last"))
     # the first range that is not taken whole; ranges are numbered upwards and sums never fall
     crossing = sums.where(F.col("before") + F.col("tokens") > F.col("wanted")).groupBy(*LEVELS).agg(F.min_by("range", "range").alias("crossing"), F.min_by("before", "range").alias("before"))
-    inside = _to_leaves(keyed, crossing).where("range = crossing")
-    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("key")) + F.col("before")
-    some = inside.withColumn("running", running).where("running <= wanted").groupBy(*LEVELS).agg(F.max("key").alias("last"))
+    # equal rows are one row here, however many
+    inside = _to_leaves(keyed, crossing).where("range = crossing").groupBy(*LEVELS, "key").agg(
+        F.first("wanted").alias("wanted"), F.first("before").alias("before"), F.sum("n_tokens").alias("tokens"), F.count("*").alias("copies")
+    )
+    running = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("key")) + F.col("before")
+    inside = inside.withColumn("running", running)
+    some = inside.where("running <= wanted").groupBy(*LEVELS).agg(F.max("key").alias("last"))
     cuts = below.unionByName(some).groupBy(*LEVELS).agg(F.max("last").alias("cut"))
-    of = cuts.select(*(F.col(c).alias(f"of_{c}") for c in LEVELS), "cut")
-    return leaves.join(of, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in LEVELS], "left").select(*LEVELS, "whole", "cut")
+    over = inside.where("running > wanted").withColumn("room", F.expr("(wanted - running + tokens) div (tokens div copies)"))
+    edges = over.groupBy(*LEVELS).agg(F.min(F.struct("key", "room")).alias("e")).where("e.room > 0").select(*LEVELS, F.col("e.key").alias("edge"), F.col("e.room").alias("room"))
+    for found, names in ((cuts, ["cut"]), (edges, ["edge", "room"])):
+        of = found.select(*(F.col(c).alias(f"of_{c}") for c in LEVELS), *names)
+        leaves = leaves.join(of, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in LEVELS], "left").drop(*(f"of_{c}" for c in LEVELS))
+    return leaves.select(*LEVELS, "whole", "cut", "edge", "room")
 
 
 def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, epochs: int, seed: int = SEED) -> DataFrame:
@@ -134,13 +148,22 @@ def mixed(docs: DataFrame, weights: dict[str, dict[str, int]], percent: int, epo
     sizes = materialize(measured(docs), "sizes")
     cuts = materialize(leaf_cuts(sizes, leaf_budgets(sizes, weights, percent, epochs), epochs, seed), "cuts")
     # whole rows travel as one column, so no name of theirs can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of().alias("domain"), "lang", "source", F.struct("*").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(MARK).alias("mark"), domain_of().alias("domain"), "lang", "source", F.struct("*").alias("row"))
     return taken(rows, cuts, seed).select("row.*")
 
 
 def taken(rows: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
-    """Rows (doc_id, domain, lang, source and others) once per epoch that takes them."""
-    at = _to_leaves(rows, cuts)
-    prefix = F.col("cut").isNotNull() & (order_key(F.col("whole") + 1, seed) <= F.col("cut"))
-    times = F.col("whole") + F.when(prefix, 1).otherwise(0)
-    return at.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).drop("whole", "cut")
+    """Rows (doc_id, mark, domain, lang, source and others) once per epoch that takes them; ``cuts`` is a written table."""
+    names = [c for c in rows.columns if c != "mark"]
+    at = _to_leaves(rows, cuts).withColumn("key", F.when(F.col("cut").isNotNull() | F.col("edge").isNotNull(), order_key(F.col("whole") + 1, seed)))
+
+    def out(df: DataFrame, one_more: Column) -> DataFrame:
+        times = F.col("whole") + F.when(one_more, 1).otherwise(0)
+        return df.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*names, "epoch")
+
+    sure = out(at.where(~F.coalesce(F.col("key") == F.col("edge"), F.lit(False))), F.col("key") <= F.col("cut"))
+    if cuts.where("edge IS NOT NULL").isEmpty():
+        return sure
+    # rows that are equal and do not all fit: written once, so that their numbers stay
+    equal = materialize(at.where(F.col("key") == F.col("edge")).withColumn("_o", F.monotonically_increasing_id()), "equal_rows")
+    return sure.unionByName(out(numbered(equal, LEVELS, "_o", "_i"), F.col("_i") < F.col("room")))

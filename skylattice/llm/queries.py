@@ -68,7 +68,7 @@ def _level_sql(name: str, level: str, parent: list[str], above: str) -> str:
 ORACLES["op1_mixing"] = f"""
 WITH sizes AS (SELECT doc_id, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN 'other'
         ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::INTEGER % 4) END AS domain, lang, source,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens FROM documents),
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_tokens, substr(md5(text), 1, 16) AS mark FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM sizes GROUP BY ALL),
 top AS (SELECT least(sum(tokens)::HUGEINT * {MIX_PERCENT} // 100, sum(tokens)::HUGEINT * {MIX_EPOCHS}) AS budget FROM leaves),
 {_level_sql("b1", "domain", [], "top")},
@@ -77,8 +77,8 @@ top AS (SELECT least(sum(tokens)::HUGEINT * {MIX_PERCENT} // 100, sum(tokens)::H
 wants AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full_epochs, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS wanted
     FROM leaves l JOIN b3 b ON l.domain = b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
 keyed AS (SELECT s.*, full_epochs, wanted, sum(n_tokens) OVER (PARTITION BY s.domain, s.lang, s.source
-        ORDER BY md5(concat_ws('|', '{SEED}', (full_epochs + 1)::BIGINT::VARCHAR, s.doc_id::VARCHAR))) AS upto
-    FROM sizes s JOIN wants w ON s.domain = w.domain AND s.lang IS NOT DISTINCT FROM w.lang AND s.source IS NOT DISTINCT FROM w.source)
+        ORDER BY md5(concat_ws('|', '{SEED}', (full_epochs + 1)::BIGINT::VARCHAR, coalesce(s.doc_id::VARCHAR, ''), coalesce(mark, ''))), copy ROWS UNBOUNDED PRECEDING) AS upto
+    FROM (SELECT *, row_number() OVER (PARTITION BY domain, lang, source, doc_id, mark) AS copy FROM sizes) s JOIN wants w ON s.domain = w.domain AND s.lang IS NOT DISTINCT FROM w.lang AND s.source IS NOT DISTINCT FROM w.source)
 SELECT doc_id, domain, lang, source, n_tokens, e::INTEGER AS epoch FROM keyed, range(1, {MIX_EPOCHS} + 1) r(e)
 WHERE e <= full_epochs OR (e = full_epochs + 1 AND upto <= wanted)
 """

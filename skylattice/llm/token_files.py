@@ -234,7 +234,9 @@ def write_files(docs: DataFrame, path: str, folder: str) -> DataFrame:
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the text orders rows that share an id, and spreads those without one
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    ordered = told.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
     jvm = docs.sparkSession._jvm
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(target)

@@ -150,3 +150,24 @@ def test_pipeline(spark):
     assert len(ids[1]) < len(ids[0]) and len(ids[2]) < len(ids[1]) and len(ids[4]) < len(ids[3]) == len(ids[2])
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, whole.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_mixing_takes_rows_without_id_one_by_one(spark, make_docs):
+    equal = [(i if i < 200 else None, "a b c d", "en", "s0") for i in range(300)]
+    for percent, want in ((30, 90), (50, 150), (80, 240), (100, 300)):
+        assert mixing.mixed(make_docs(equal), {}, percent, 1).count() == want
+    other = [(None, f"a b {i}", "en", "s0") for i in range(100)] + [(7, "x y z", "en", "s0")] * 50 + [(None, None, None, None)] * 20
+    assert mixing.mixed(make_docs(other), {}, 50, 1).where("text IS NOT NULL").count() == 75
+    got = Counter(r.text for r in mixing.mixed(make_docs(equal[:10]), {}, 150, 2).collect())
+    assert got == {"a b c d": 15}
+
+
+def test_repeated_ids_have_one_order(spark, make_docs):
+    import public_tokenizers
+
+    from skylattice.llm.token_files import token_files
+
+    rows = [(5, t, "en", "s0") for t in ("one two", "three", "four five six", "three")] + [(None, t, "en", "s0") for t in ("seven", "eight nine")]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    a, b = (sorted(map(tuple, token_files(make_docs(r).repartition(n), path).collect()), key=str) for r, n in ((rows, 1), (rows[::-1], 3)))
+    assert a == b
