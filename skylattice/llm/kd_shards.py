@@ -3,15 +3,15 @@
 The dimensions are the text's size and 16-bit codes of language and source. All nodes of a level
 are split in the same passes: each node takes its widest dimension (relative to the root's
 width), and distributed histograms over the node's interval, narrowed until one value is left,
-give the weighted median; rows of that very value are divided by document id in the same way, at
-the id that leaves the sides nearest to their targets. A node that stands for several shards is
+give the weighted median; rows of that very value are divided by their number in the order of
+document id and checksum in the same way, at the number that leaves the sides nearest to their targets. A node that stands for several shards is
 cut in proportion to the shards on either side, down to one each, so every shard gets the target
 bytes up to a document or so. Only histograms and split points reach the driver: at most
 ``HISTOGRAM_ROWS``, or ``LEAST_BINS`` per shard, whatever the number of rows.
 
 Defined results: a null text has size 8 and checksum 0; null languages and sources share code 0;
-rows without an id come first among equals; rows that agree in all dimensions and id stay
-together; an empty table has no shards.
+rows without an id come first among equals; rows that agree in all dimensions and id follow by the
+text's checksum, and rows equal in that too are cut by their number; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.ranks import numbered
 from skylattice.llm.common import materialize
 
 HISTOGRAM_ROWS = 65_536
@@ -35,12 +36,12 @@ def _code(name: str) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, dimensions, tie) of every row."""
+    """(doc_id, size, text_crc32, dimensions, row_no) of every row; the row's number only tells equal rows apart."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         _code("source").cast("long").alias("d_source"), _code("lang").cast("long").alias("d_lang"), size.alias("d_size"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("tie"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
 
 
@@ -97,7 +98,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     The number of shards is given, or follows from the bytes that a shard should have."""
     spark = docs.sparkSession
-    rows = materialize(measured(docs), "measured")
+    told = materialize(measured(docs), "measured").withColumn("_o", F.struct("doc_id", "text_crc32", "row_no"))
+    rows = materialize(numbered(told, (), "_o", "tie").drop("_o", "row_no"), "numbered")
     total = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n"), *(F.max(d).alias(f"w_{d}") for d in DIMENSIONS), *(F.min(d).alias(f"l_{d}") for d in DIMENSIONS)).first()
     if shards is None:
         if not target_bytes:
@@ -140,8 +142,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         placed = materialize(placed, "placed")
         widest = -(-widest // 2)
     parts = -(-total["n"] // (shards * SLOT_ROWS)) or 1
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("tie"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("node", "part").agg(F.count("*").alias("rows")).select("node", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    numbered = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("node", "part").orderBy("doc_id", "text_crc32")) - 1)
-    return numbered.join(starts, ["node", "part"]).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), (F.col("start") + F.col("inside")).alias("slot"))
+    placed = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("node", "part").orderBy("tie")) - 1)
+    return placed.join(starts, ["node", "part"]).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), (F.col("start") + F.col("inside")).alias("slot"))

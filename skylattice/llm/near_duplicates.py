@@ -51,6 +51,8 @@ _SEEDS = np.random.default_rng(20_480)
 MULTIPLIERS = _SEEDS.integers(1, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 OFFSETS = _SEEDS.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 
+WORD = r"[^\x20\x09-\x0D]"
+
 _words = BoundedCache(word_hash, 200_000)
 
 
@@ -288,8 +290,8 @@ def confirmed_links(docs: DataFrame, edges: DataFrame, k: int, percent: int, bar
     return first.unionByName(second)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sketches of all rows, the (set_key, component) of all sets, and the largest component that is an id."""
     sketched = materialize(sketches(docs, k), "sketches")
     filled = sketched.where("set_key IS NOT NULL")
     keys = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
@@ -306,17 +308,45 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = confirmed_links(docs, candidate_edges(nodes, percent), k, percent, bare)
     components = connected_components(links)
     of_key = nodes.select("set_key", "node").join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    return sketched, of_key, top
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    sketched, of_key, top = _components(docs, k, percent)
     own = sketched.drop("regs").join(of_key, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("component") <= top, F.col("component"))
     return own.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _texts_of_bare_components(docs: DataFrame, of_key: DataFrame, top: int, k: int) -> DataFrame:
+    """(hash) of the texts without an id that stay: the first of every component without ids."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = pa.array([xxhash.xxh3_128_digest(shingles(t, k).tobytes()) for t in to_bytes(batch.column(1))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), keys], ["hash", "set_key"])
+
+    texts = docs.where(F.col("doc_id").isNull() & F.col("text").rlike(WORD)).groupBy(F.md5("text").alias("hash")).agg(F.first("text").alias("text"))
+    placed = per_batch(texts, work, "hash string, set_key binary").join(of_key.hint("merge"), "set_key")
+    return placed.where(F.col("component") > top).groupBy("component").agg(F.min("hash").alias("hash")).select("hash")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of every component the document with the smallest id stays.
 
-    Rows that repeat an id and a text become one; rows without an id cannot stand for a group and stay."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
+    Rows that repeat an id and a text become one. A component without any id keeps one row; rows without an id
+    whose component has one go. Texts without words are linked with nothing: they stay, once per id, and every
+    row without both id and words stays."""
+    sketched, of_key, top = _components(docs, k, percent)
+    of_key = materialize(of_key, "components")
+    smallest = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    kept = sketched.where("doc_id IS NOT NULL").drop("regs").join(of_key, "set_key", "left").where(F.col("doc_id") == smallest).select("doc_id").distinct()
     # whole rows travel as one column, so no name of theirs can clash
     known = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("hash"), F.struct("*").alias("row"))
-    single = known.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"])
-    return single.select("row.*").unionByName(docs.where("doc_id IS NULL"))
+    single = known.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
+    bare = docs.where("doc_id IS NULL").select(F.md5("text").alias("hash"), F.struct("*").alias("row"))
+    if bare.isEmpty():
+        return single
+    worded = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    once = bare.where(worded).dropDuplicates(["hash"]).join(_texts_of_bare_components(docs, of_key, top, k), "hash", "left_semi")
+    return single.unionByName(once.select("row.*")).unionByName(bare.where(~worded).select("row.*"))

@@ -89,6 +89,13 @@ def test_shards_have_equal_bytes_and_gapless_slots(make_docs, monkeypatch):
     assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(i, len(t) + 8, zlib.crc32(t.encode())) for i, t, *_ in rows}
 
 
+def test_equal_rows_are_spread_over_the_shards(make_docs):
+    for same in ([(None, "x" * 92)] * 240, [(7, "x" * 92)] * 240, [(None, "x" * 92)] * 120 + [(7, "y" * 92)] * 120):
+        got = kd_shards.kd_shards(make_docs(same), shards=24).collect()
+        assert Counter(r.shard for r in got) == {s: 10 for s in range(24)}
+        assert len({(r.shard, r.slot) for r in got}) == 240 and {r.slot for r in got} == set(range(10))
+
+
 def test_shards_of_odd_rows(make_docs, odd_rows):
     got = kd_shards.kd_shards(make_docs(odd_rows), shards=24).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.shard < 24 for r in got)
