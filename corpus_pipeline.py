@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but
 the last return the columns of ``documents``. Near duplicates are found on five-word shingles.
-Mixing follows the removal of duplicates, so no document is repeated (one epoch) and the target
-weights act through what they leave out.
+Mixing spends as many tokens as it gets, in up to two seeded epochs: sources below their target
+weight are read up to twice, sources above it are cut.
 """
 
 from __future__ import annotations
@@ -20,35 +20,36 @@ from skylattice.llm.personal_data import redact
 from skylattice.llm.quality_rules import good_documents
 from skylattice.llm.queries import WEIGHTS
 
-#: Share of its tokens that the mixture keeps.
-PERCENT = 90
+#: Tokens of the mixture as a share of those that reach it, and how often a document may be read.
+PERCENT = 100
+EPOCHS = 2
 
 #: SQL cannot express the forest, the sketches and the encoder.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; so do null, empty and wordless texts. Repeated rows share one verdict."""
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates one document stays."""
+    """Of every group of near duplicates the smallest id stays, once; a group without ids keeps one row. Wordless texts stay."""
     return one_of_each(docs, k=5, percent=80)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; ``n_chars`` follows the text."""
+    """Personal data is replaced by its kind; ``n_chars`` follows the text. Null texts stay null and keep their ``n_chars``."""
     return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken to their target weights."""
-    return mixed(docs, WEIGHTS, PERCENT, epochs=1)
+    """Sources are taken to their target weights; null languages and sources are leaves of their own, wordless texts cost nothing."""
+    return mixed(docs, WEIGHTS, PERCENT, epochs=EPOCHS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text."""
+    """Token ids in place of the text; a null text is empty. Rows of a second epoch are rows of their own."""
     return encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -56,7 +57,7 @@ STAGES = [("quality", quality), ("near_duplicates", deduplicate), ("personal_dat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next one's input."""
+    """All stages over ``documents``; each result is written and read again as the next one's input. Empty tables give empty results."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
