@@ -1,20 +1,25 @@
 """Reference scenes for each target: the nearest in time under a geometry penalty.
 
 Joining every target with every scene of its site would emit all pairs of a busy site.
-Instead candidates are numbered in time order and each target reads only the numbers next
-to its own position, by equi-join. A candidate's score is its distance in days plus a
-penalty for another orbit or another spacecraft, so the best ``k`` are always among the
-``k`` nearest on either side within the four groupings "any", "same orbit", "same
-spacecraft" and "both the same".
+Instead targets and candidates are brought together once, in time order. A candidate's
+score is its distance in days plus a penalty for another orbit or another spacecraft, so
+the best ``k`` are always among the ``k`` nearest on either side within the four groupings
+"any", "same orbit", "same spacecraft" and "both the same".
 
 Time is cut into slices as long as the search range and candidates are copied to the
-neighbouring slices, which bounds a window partition to three slices of one site.
+neighbouring slices. A scene is shuffled four times at most, whatever ``k`` is; a task holds
+the rows of some thousand slices, or three slices of one site where these are more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 # Fixed values.
 MAX_CLOUD = 30.0
@@ -29,6 +34,7 @@ SESSION_GAP_MINUTES = 30
 
 _META = ("scene_id", "ts", "relative_orbit", "spacecraft")
 _ANY, _ORBIT, _CRAFT, _BOTH = range(4)
+_HELD_ROWS = 60_000  # rows that are searched at once, more where one slice has more
 
 
 def days(later: Column, earlier: Column) -> Column:
@@ -36,89 +42,141 @@ def days(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(8.64e10)
 
 
-def _day(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(8.64e10)
-
-
-def _grouping(kinds: tuple[int, ...]) -> Column:
-    """One struct per grouping kind, with the attributes that must agree."""
-    def one(k: int) -> Column:
-        orbit = F.col("relative_orbit") if k in (_ORBIT, _BOTH) else F.lit(None).cast("bigint")
-        craft = F.col("spacecraft") if k in (_CRAFT, _BOTH) else F.lit(None).cast("string")
-        return F.struct(
-            F.lit(k).alias("kind"), F.coalesce(orbit, F.lit(-1)).alias("orbit"), F.coalesce(craft, F.lit("")).alias("craft")
-        )
-
-    return F.explode(F.array(*[one(k) for k in kinds]))
+def _codes(values: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the values are; NULL counts as a value."""
+    return values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _runs(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Whether a row differs from the one before in one of the columns."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for name in names:
+        code = _codes(table[name].combine_chunks())
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def _choose(table: pa.Table, k: int, keep: int, kinds: tuple[int, ...], max_days: float, min_days: float) -> tuple[np.ndarray, ...]:
+    """(target row, candidate row, days, score, rank) of whole slices that are sorted by time and scene."""
+    fresh = _runs(table, ("site_id", "slot", "at", "scene_id", "role", "relative_orbit", "spacecraft"))
+    is_cand = table["role"].to_numpy() == 1
+    cand, want = np.flatnonzero(fresh & is_cand), np.flatnonzero(fresh & ~is_cand)
+    at = table["at"].to_numpy()
+    name = _codes(table["scene_id"].combine_chunks())
+    group = np.cumsum(_runs(table, ("site_id", "slot")))
+    orbit_col, craft_col = table["relative_orbit"].combine_chunks(), table["spacecraft"].combine_chunks()
+    orbit, craft = _codes(orbit_col), _codes(craft_col)
+    no_orbit, no_craft = orbit_col.is_null().to_numpy(zero_copy_only=False), craft_col.is_null().to_numpy(zero_copy_only=False)
+    times = np.unique(at)
+    span = len(times) + 1
+    when = np.searchsorted(times, at)
+    gap = round(min_days * 8.64e10)
+    orders = []
+    for kind in kinds:
+        key = group
+        for code in ((orbit,) if kind in (_ORBIT, _BOTH) else ()) + ((craft,) if kind in (_CRAFT, _BOTH) else ()):
+            key = np.unique(key * (code.max(initial=0) + 1) + code, return_inverse=True)[1]
+        place = key[cand] * span + when[cand]
+        order = np.argsort(place, kind="stable")
+        orders.append((key, place[order], cand[order]))
+    found = []
+    step = np.arange(k)
+    for part in np.array_split(want, len(want) // 16_384 + 1):
+        codes = []
+        for key, place, rows in orders:
+            base = key[part] * span
+            first, end = np.searchsorted(place, base), np.searchsorted(place, base + span)
+            before = np.searchsorted(place, base + np.searchsorted(times, at[part] - gap, "right"))[:, None] - 1 - step
+            after = np.searchsorted(place, base + np.searchsorted(times, at[part] + gap))[:, None] + step
+            for n, ok in ((before, before >= first[:, None]), (after, after < end[:, None])):
+                t, j = np.nonzero(ok)
+                codes.append(part[t] * len(at) + rows[n[t, j]])
+        t, c = np.divmod(np.unique(np.concatenate(codes)), len(at))
+        dt = (at[c] - at[t]) / 8.64e10
+        ok = (np.abs(dt) <= max_days) & (np.abs(dt) >= min_days) & (name[c] != name[t])
+        t, c, dt = t[ok], c[ok], dt[ok]
+        other_orbit = (orbit[c] != orbit[t]) & ~no_orbit[c] & ~no_orbit[t]
+        other_craft = (craft[c] != craft[t]) & ~no_craft[c] & ~no_craft[t]
+        score = np.abs(dt) + np.where(other_orbit, OTHER_ORBIT_DAYS, 0.0) + np.where(other_craft, OTHER_SPACECRAFT_DAYS, 0.0)
+        order = np.lexsort((c, score, t))
+        t, c, dt, score = t[order], c[order], dt[order], score[order]
+        rank = np.arange(len(t)) - np.searchsorted(t, t) + 1
+        best = rank <= keep
+        found.append((t[best], c[best], dt[best], score[best], rank[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def neighbours(targets: DataFrame, candidates: DataFrame, k: int, kinds: tuple[int, ...], *, max_cloud: float = MAX_CLOUD,
-               max_days: int = MAX_DAYS, min_days: float = MIN_DAYS) -> DataFrame:
-    """Up to ``k`` eligible scenes on either side of each target per grouping, with signed days and score."""
-    eligible = candidates.where(F.col("cloud_pct") <= max_cloud)
-    slot = F.floor(_day(F.col("ts")) / max_days)
-    cand = (
-        eligible.select("site_id", *_META, F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-        .withColumn("g", _grouping(kinds))
-        .select("site_id", "slot", "g", F.struct(*_META).alias("c"), _day(F.col("ts")).alias("at"))
-    )
-    group = Window.partitionBy("site_id", "slot", "g")
-    numbered = cand.withColumn("n", F.row_number().over(group.orderBy("at", "c.scene_id")))
-    want = targets.select("site_id", *_META, slot.alias("slot")).withColumn("g", _grouping(kinds))
-    want = want.select("site_id", "slot", "g", F.struct(*_META).alias("t"), _day(F.col("ts")).alias("at"))
-    # Targets enter the time order twice, at the last admissible moment before and the first after.
-    marks = want.select(
-        "site_id", "slot", "g", "t",
-        F.explode(F.array(
-            F.struct((F.col("at") - min_days).alias("at"), F.lit(1).alias("order"), F.lit(-1).alias("side")),
-            F.struct((F.col("at") + min_days).alias("at"), F.lit(-1).alias("order"), F.lit(1).alias("side")),
-        )).alias("m"),
-    ).select("site_id", "slot", "g", "t", "m.at", "m.order", "m.side", F.lit(0).alias("one"))
-    events = cand.select(
-        "site_id", "slot", "g", F.lit(None).cast(marks.schema["t"].dataType).alias("t"), "at",
-        F.lit(0).alias("order"), F.lit(None).cast("int").alias("side"), F.lit(1).alias("one"),
-    ).unionByName(marks)
-    upto = Window.partitionBy("site_id", "slot", "g").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
-    placed = events.withColumn("pos", F.sum("one").over(upto)).where(F.col("t").isNotNull())
-    step = F.explode(F.sequence(F.lit(1), F.lit(k)))
-    picks = placed.withColumn("step", step).select(
-        "site_id", "slot", "g", "t",
-        F.when(F.col("side") < 0, F.col("pos") - F.col("step") + 1).otherwise(F.col("pos") + F.col("step")).alias("n"),
-    )
-    found = picks.join(numbered.select("site_id", "slot", "g", "n", "c"), ["site_id", "slot", "g", "n"])
-    dt = days(F.col("c.ts"), F.col("t.ts"))
-    score = (
-        F.abs(dt)
-        + F.when(F.col("c.relative_orbit") != F.col("t.relative_orbit"), OTHER_ORBIT_DAYS).otherwise(0.0)
-        + F.when(F.col("c.spacecraft") != F.col("t.spacecraft"), OTHER_SPACECRAFT_DAYS).otherwise(0.0)
+               max_days: int = MAX_DAYS, min_days: float = MIN_DAYS, carry: tuple[str, ...] = (), own: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` best eligible scenes per target by score, earlier ones first among equals: (site_id, target_id, rank, c, dt_days, score).
+
+    Only scenes of a grouping in ``kinds`` count. ``carry`` names columns of the candidates that come along in ``c``,
+    ``own`` columns of the targets that come along as they are.
+    """
+    slot = F.floor(F.unix_micros("ts") / F.lit(8.64e10) / max_days)
+    at = F.unix_micros("ts").alias("at")
+    known = F.col("site_id").isNotNull() & F.col("ts").isNotNull() & F.col("scene_id").isNotNull()
+    eligible = candidates.where(known & (F.col("cloud_pct") <= max_cloud))
+    cand = eligible.select(
+        "site_id", F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"), at, F.lit(1).alias("role"), *_META, *carry
     )
-    near = found.where((F.abs(dt) <= max_days) & (F.abs(dt) >= min_days) & (F.col("c.scene_id") != F.col("t.scene_id")))
-    return near.select("site_id", F.col("t.scene_id").alias("target_id"), "c", dt.alias("dt_days"), score.alias("score"))
+    want = targets.where(known).select("site_id", slot.alias("slot"), at, F.lit(0).alias("role"), *_META, *[F.col(c).alias(f"own_{c}") for c in own])
+    rows = cand.unionByName(want, allowMissingColumns=True).repartition("site_id", "slot").sortWithinPartitions("site_id", "slot", "at", "scene_id", "role")
+    fields = {f.name: f.dataType for f in rows.schema}
+    out = StructType([
+        StructField("site_id", fields["site_id"]), StructField("target_id", fields["scene_id"]), StructField("rank", IntegerType()),
+        StructField("c", StructType([StructField(m, fields[m]) for m in (*_META, *carry)])),
+        StructField("dt_days", DoubleType()), StructField("score", DoubleType()), *[StructField(c, fields[f"own_{c}"]) for c in own],
+    ])
+    deep = k if min_days > 0 else k + 1  # a target is not among its own neighbours where there is a gap
+
+    def best(table: pa.Table) -> pa.RecordBatch:
+        t, c, dt, score, rank = _choose(table, deep, k, kinds, max_days, min_days)
+        mine, theirs = pa.array(t), pa.array(c)
+        column = {m: table[m].combine_chunks().take(theirs) for m in (*_META, *carry)}
+        arrays = [
+            table["site_id"].combine_chunks().take(mine), table["scene_id"].combine_chunks().take(mine), pa.array(rank.astype(np.int32)),
+            pa.StructArray.from_arrays(list(column.values()), list(column)), pa.array(dt), pa.array(score),
+            *[table[f"own_{m}"].combine_chunks().take(mine) for m in own],
+        ]
+        return pa.RecordBatch.from_arrays(arrays, [f.name for f in out])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < _HELD_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            # the last slice may go on in the next batch
+            last = np.flatnonzero(_runs(table, ("site_id", "slot")))[-1]
+            if last:
+                yield best(table.slice(0, last).combine_chunks())
+            held, n = table.slice(last).to_batches(), 0
+        if held:
+            yield best(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(search, out)
 
 
 def ranked_references(targets: DataFrame, candidates: DataFrame, k: int, **kw) -> DataFrame:
     """The ``k`` best references per target: (site_id, target_id, rank, c, dt_days, score)."""
-    near = neighbours(targets, candidates, k, (_ANY, _ORBIT, _CRAFT, _BOTH), **kw).distinct()
-    w = Window.partitionBy("site_id", "target_id").orderBy("score", "c.ts", "c.scene_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return neighbours(targets, candidates, k, (_ANY, _ORBIT, _CRAFT, _BOTH), **kw)
 
 
 def pick_reference(targets: DataFrame, candidates: DataFrame, **kw) -> DataFrame:
     """Every target with its best reference, or NULLs when none is eligible."""
-    near = neighbours(targets, candidates, 1, (_ANY, _ORBIT, _CRAFT, _BOTH), **kw)
-    best = near.groupBy("site_id", "target_id").agg(
-        F.min(F.struct("score", F.col("c.ts").alias("ts"), F.col("c.scene_id").alias("scene_id"), "dt_days", "c")).alias("b")
-    )
-    chosen = best.select("site_id", "target_id", F.col("b.c").alias("reference"), "b.dt_days", "b.score")
+    best = neighbours(targets, candidates, 1, (_ANY, _ORBIT, _CRAFT, _BOTH), **kw)
+    chosen = best.select("site_id", "target_id", F.col("c").alias("reference"), "dt_days", "score")
     keyed = targets.withColumn("target_id", F.col("scene_id"))
     return keyed.join(chosen, ["site_id", "target_id"], "left").drop("target_id")
 
 
 def pick_reference_set(targets: DataFrame, candidates: DataFrame, k: int = COMPOSITE_SIZE, **kw) -> DataFrame:
     """Up to ``k`` same-orbit, same-spacecraft scenes per target, nearest first: (site_id, target_id, rank, c, dt_days)."""
-    near = neighbours(targets, candidates, k, (_BOTH,), **kw)
-    w = Window.partitionBy("site_id", "target_id").orderBy(F.abs("dt_days"), "c.ts", "c.scene_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return neighbours(targets, candidates, k, (_BOTH,), **kw).drop("score")
 
 
 def reference_mode(targets: DataFrame, members: DataFrame, single: DataFrame) -> DataFrame:

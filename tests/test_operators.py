@@ -238,6 +238,27 @@ def test_reference_choice_equals_brute_force(spark):
     assert got == brute_reference(scenes)
 
 
+def test_ranked_references_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(scene_choice, "_HELD_ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    rng = np.random.default_rng(6)
+    scenes = [(i % 3, f"s{i:03d}", 1_500_000_000 + int(rng.integers(0, 500)) * 43200, float(rng.integers(0, 60)), int(rng.integers(0, 3)), "AB"[int(rng.integers(0, 2))], i) for i in range(300)]
+    df = spark.createDataFrame(scenes, "site_id int, scene_id string, s bigint, cloud_pct double, relative_orbit bigint, spacecraft string, no int")
+    df = df.withColumn("ts", F.timestamp_seconds("s"))
+    ranked = scene_choice.ranked_references(df, df, 4, carry=("no",), own=("cloud_pct",))
+    got = {(r.target_id, r["rank"]): (r.c.scene_id, r.c.no, r.cloud_pct) for r in ranked.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for t in scenes:
+        pairs = [(abs(c[2] - t[2]) / 86400 + 30 * (c[4] != t[4]) + 5 * (c[5] != t[5]), c[2], c[1], c[6])
+                 for c in scenes if c[0] == t[0] and c[3] <= 30 and 1 <= abs(c[2] - t[2]) / 86400 <= 120]
+        want |= {(t[1], n): (c[2], c[3], t[3]) for n, c in enumerate(sorted(pairs)[:4], 1)}
+    assert got == want
+    # scenes are brought together once, whatever k is
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_hotspots(spark):
     weeks = [(0, 0, 40.0), (1, 0, 45.0), (2, 0, 38.0)] + [(w, c, v) for w in range(3) for c, v in ((1, 1.0 + w), (2, -1.0 + w * 0.5), (3, 0.5 - w))]
     df = spark.createDataFrame(weeks, "week int, idx int, value double")
