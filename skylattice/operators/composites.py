@@ -20,6 +20,12 @@ def mean_composite(pixels: DataFrame, values: tuple[str, ...] = ("value",), keys
     return pixels.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in values])
 
 
+def exact_mean_composite(pixels: DataFrame, values: tuple[str, ...], keys: tuple[str, ...] = PIXEL) -> DataFrame:
+    """Mean per pixel for rules with limits: values are added as decimals of 12 places, so the order of the rows decides nothing."""
+    means = [(F.sum(F.col(c).try_cast("decimal(20,12)")).cast("double") / F.count(c)).alias(c) for c in values]
+    return pixels.groupBy(*keys).agg(*means)
+
+
 def centred_window(day: date, half_days: int) -> tuple[date, date]:
     """The half-open window of ``half_days`` each side of ``day``."""
     if half_days < 0:
@@ -100,7 +106,7 @@ def single_scene_anomaly(pixels: DataFrame, scene_id: str, ref: tuple[When, When
 def vegetation_water_mask(pixels: DataFrame, reflectance: DataFrame, value: str = "value", *, ndvi_max: float = 0.3,
                           ndwi_max: float = 0.0, vegetation: bool = True, water: bool = True) -> DataFrame:
     """Mask ``value`` where the window's mean composite is vegetated or wet."""
-    mean = mean_composite(reflectance, ("B3", "B4", "B8"))
+    mean = exact_mean_composite(reflectance, ("B3", "B4", "B8"))
     ndvi = F.try_divide(F.col("B8") - F.col("B4"), F.col("B8") + F.col("B4"))
     ndwi = F.try_divide(F.col("B3") - F.col("B8"), F.col("B3") + F.col("B8"))
     keep = F.lit(True)

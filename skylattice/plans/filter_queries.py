@@ -99,8 +99,8 @@ def cloud_pixels(spark, sf):
 @query(
     "flt07_vegetation_water_mask", "px",
     oracle=f"""
-    WITH base AS (SELECT *, B3 / 10000.0 AS r3, B4 / 10000.0 AS r4, B8 / 10000.0 AS r8 FROM px WHERE cloud_pct <= 65 AND {CLEAR_SQL}),
-    m AS (SELECT tile_id, y, x, avg(r3) AS g, avg(r4) AS r, avg(r8) AS nir FROM base GROUP BY ALL),
+    WITH m AS (SELECT tile_id, y, x, sum(B3) / 10000.0 / count(B3) AS g, sum(B4) / 10000.0 / count(B4) AS r, sum(B8) / 10000.0 / count(B8) AS nir
+      FROM px WHERE cloud_pct <= 65 AND {CLEAR_SQL} GROUP BY ALL),
     k AS (SELECT tile_id, y, x, (nir - r) / nullif(nir + r, 0) <= 0.4 AND (g - nir) / nullif(g + nir, 0) <= -0.4 AS keep FROM m)
     SELECT tile_id, y, x, count(*) AS n, count(CASE WHEN keep THEN 1 END) AS n_kept, round(avg(CASE WHEN keep THEN B12 END), 6) AS value
     FROM px LEFT JOIN k USING (tile_id, y, x) GROUP BY ALL""",
@@ -320,12 +320,16 @@ def vegetation_colour(spark, sf):
     return df.groupBy(F.col("c.r").alias("r"), F.col("c.g").alias("g"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
 
 
+# Means as whole sums over counts: limits must not hang on the order in which rows are added.
+_MEAN_SQL = ", ".join(f"sum({b}) / 10000.0 / count({b}) AS {b.lower()}" for b in ("B3", "B4", "B8", "B11", "B12"))
+
+
 @query(
     "prj11_source_class", "px",
     oracle=f"""
-    WITH o AS (SELECT tile_id, y, x, avg(B3 / 10000.0) AS b3, avg(B4 / 10000.0) AS b4, avg(B8 / 10000.0) AS b8, avg(B11 / 10000.0) AS b11, avg(B12 / 10000.0) AS b12
+    WITH o AS (SELECT tile_id, y, x, {_MEAN_SQL}
       FROM px WHERE cloud_pct <= 65 AND {CLEAR_SQL} GROUP BY ALL),
-    s AS (SELECT tile_id, y, x, avg(VV) AS vv FROM px WHERE mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH') GROUP BY ALL),
+    s AS (SELECT tile_id, y, x, sum(CAST(round(VV * 10.0) AS BIGINT)) / 10.0 / count(VV) AS vv FROM px WHERE mode = 'IW' AND list_contains(pols, 'VV') AND list_contains(pols, 'VH') GROUP BY ALL),
     j AS (SELECT *, (b8 - b4) / nullif(b8 + b4, 0) AS ndvi, (b3 - b8) / nullif(b3 + b8, 0) AS ndwi, (b12 - b11) / nullif(b11, 0) AS mbsp FROM s JOIN o USING (tile_id, y, x)),
     n AS (SELECT tile_id, y, x, CASE WHEN (mbsp < -0.02 OR (b11 > 0.5 AND b12 > 0.5)) AND vv > -10 AND ndvi < 0.35 THEN 1
         WHEN mbsp < -0.02 AND ndvi > 0.35 THEN 2 WHEN mbsp < -0.02 AND (ndwi > 0.1 OR vv < -18) THEN 3
@@ -334,9 +338,9 @@ def vegetation_colour(spark, sf):
 )
 def source_class(spark, sf):
     px = v.px(spark, sf)
-    opt = composites.mean_composite(scans.optical_base(px, None, *FULL, ("B3", "B4", "B8", "B11", "B12")), ("B3", "B4", "B8", "B11", "B12"))
+    opt = composites.exact_mean_composite(scans.optical_base(px, None, *FULL, ("B3", "B4", "B8", "B11", "B12")), ("B3", "B4", "B8", "B11", "B12"))
     opt = opt.where(F.col("B11").isNotNull())
-    sar = composites.mean_composite(px.where(scans.radar_filters()), ("VV",))
+    sar = composites.exact_mean_composite(px.where(scans.radar_filters()), ("VV",))
     cls = classify.source_class(*[F.col(c) for c in ("VV", "B3", "B4", "B8", "B11", "B12")])
     return sar.join(opt, ["tile_id", "y", "x"]).groupBy("tile_id", cls.alias("source_class")).agg(F.count("*").alias("n"))
 
