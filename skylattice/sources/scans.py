@@ -183,11 +183,14 @@ def acquisition_times(pixels: DataFrame, roi: Region | None, start: When, end: W
 
 
 def single_image(df: DataFrame, when: datetime) -> DataFrame:
-    """The scene at exactly ``when``: a half-day prefilter, then equality, one row per pixel."""
+    """The scene at exactly ``when``: a half-day prefilter, then equality, one row per pixel.
+
+    Of several readings of a pixel in one scene the smallest valid one counts; a masked reading hides no valid one.
+    """
     half = timedelta(hours=12)
     near = df.where(date_range(F.col("ts"), when - half, when + half))
     exact = near.where(F.col("ts") == F.lit(str(when)).cast("timestamp_ntz"))
-    first = exact.groupBy("tile_id", "y", "x").agg(F.min_by("value", F.struct("scene_id", "value")).alias("value"))
+    first = exact.groupBy("tile_id", "y", "x").agg(F.min_by("value", F.struct("scene_id", F.col("value").isNull(), "value")).alias("value"))
     return first
 
 
