@@ -118,6 +118,11 @@ FROM (SELECT *, l_suppkey // 4 AS tile_id, l_partkey % {TILE_PX} AS y, l_orderke
 """
 
 
+def _known_plume() -> Column:
+    dist2 = F.pow(F.col("y") - 8, 2) + F.pow(F.col("x") - 6, 2)
+    return (F.lit(0.8) + F.col("chip_id") % 5 * F.lit(0.1)) * F.exp(-dist2 / 8.0)
+
+
 @lru_cache(maxsize=4)
 def chips(spark: SparkSession, sf: str) -> DataFrame:
     """Dense two-pass chips: (chip, pass, y, x) with reflectances and a known plume.
@@ -145,8 +150,7 @@ def chips(spark: SparkSession, sf: str) -> DataFrame:
         F.avg(r11).alias("b11"),
         F.avg(r11 * 0.8 * (1.0 + (F.col("pi") % 31 - 15) * F.lit(0.0004))).alias("b12"),
     )
-    dist2 = F.pow(F.col("y") - 8, 2) + F.pow(F.col("x") - 6, 2)
-    truth = (F.lit(0.8) + F.col("chip_id") % 5 * F.lit(0.1)) * F.exp(-dist2 / 8.0)
+    truth = _known_plume()
     hot = F.when((F.col("chip_id") % 4 == 1) & (F.col("y") == 3) & (F.col("x") == 12), 6.0).otherwise(1.0)
     return agg.select(
         "chip_id", "pass", "y", "x", "b2", "b3", "b4", "b8a", "b11",
@@ -172,6 +176,27 @@ FROM (SELECT *, (0.8 + chip_id % 5 * 0.1) * exp(-(pow(y - 8, 2) + pow(x - 6, 2))
 """
 
 
+@lru_cache(maxsize=4)
+def chip_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """B11 of the chips as whole sums: ``s`` in millionths over ``n`` readings, the same in every order of the rows."""
+    li = read(spark, sf, "lineitem")
+    millionths = F.lit(200_000) + F.round(F.col("l_quantity") * 1000).cast("bigint") + (F.floor("l_extendedprice") % 41 - 20) * 100
+    return li.groupBy(
+        F.expr("l_suppkey div 4").alias("chip_id"),
+        (F.col("l_linenumber") % 2).cast("bigint").alias("pass"),
+        (F.col("l_partkey") % TILE_PX).alias("y"),
+        (F.col("l_orderkey") % TILE_PX).alias("x"),
+    ).agg(F.sum(millionths).alias("s"), F.count(millionths).alias("n")).withColumn("truth_do", _known_plume())
+
+
+_CHIP_SUMS_SQL = f"""
+SELECT *, (0.8 + chip_id % 5 * 0.1) * exp(-(pow(y - 8, 2) + pow(x - 6, 2)) / 8.0) AS truth_do
+FROM (SELECT l_suppkey // 4 AS chip_id, CAST(l_linenumber % 2 AS BIGINT) AS pass, l_partkey % {TILE_PX} AS y, l_orderkey % {TILE_PX} AS x,
+  CAST(sum(200000 + CAST(round(l_quantity * 1000) AS BIGINT) + (CAST(floor(l_extendedprice) AS BIGINT) % 41 - 20) * 100) AS BIGINT) AS s, count(l_quantity + l_extendedprice) AS n
+  FROM lineitem GROUP BY ALL)
+"""
+
+
 @lru_cache(maxsize=4)
 def obs(spark: SparkSession, sf: str) -> DataFrame:
     """Cell readings: one row per event."""
@@ -457,6 +482,7 @@ FROM (SELECT unnest(range(2)) AS iv), (SELECT unnest(range(2)) AS isc), (SELECT
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "px": ((), _PX_SQL),
     "chips": ((), _CHIPS_SQL),
+    "chip_sums": ((), _CHIP_SUMS_SQL),
     "obs": ((), _OBS_SQL),
     "scenes": ((), _SCENES_SQL),
     "dets": ((), _DETS_SQL),
