@@ -14,15 +14,15 @@ from skylattice.plans.scan_queries import r6
 
 CHIP = ("chip_id",)
 
-# A blob with ragged edges and loose pixels, from the plume-carrying pass.
-v.VIEW_SQL["blob"] = (("chips",), "SELECT chip_id, y, x FROM chips WHERE pass = 1 AND (truth_do >= 0.15 OR b11 > 0.234)")
+# A blob with ragged edges and loose pixels, from the plume-carrying pass: mean B11 above 0.234, judged on whole sums.
+v.VIEW_SQL["blob"] = (("chip_sums",), "SELECT chip_id, y, x FROM chip_sums WHERE pass = 1 AND (truth_do >= 0.15 OR s > 234000 * n)")
 v.VIEW_SQL["field"] = (("chips",), "SELECT chip_id, y, x, 0.8 - b12 / b11 AS value FROM chips WHERE pass = 1")
 v.VIEW_SQL["sources"] = (("chips",), "SELECT DISTINCT chip_id, CAST(8 AS BIGINT) AS sy, CAST(CASE WHEN chip_id % 3 = 0 THEN 1 ELSE 6 END AS BIGINT) AS sx FROM chips")
 
 
 def blob(spark, sf):
-    c = v.chips(spark, sf).where("pass = 1")
-    return c.where((F.col("truth_do") >= 0.15) | (F.col("b11") > 0.234)).select("chip_id", "y", "x")
+    c = v.chip_sums(spark, sf).where("pass = 1")
+    return c.where((F.col("truth_do") >= 0.15) | (F.col("s") > 234_000 * F.col("n"))).select("chip_id", "y", "x")
 
 
 def field(spark, sf):
