@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from skylattice.functions.batches import changes, codes, whole_groups
+
 # Fixed values.
 MAX_CLOUD = 30.0
 MAX_DAYS = 120
@@ -42,32 +44,16 @@ def days(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(8.64e10)
 
 
-def _codes(values: pa.Array) -> np.ndarray:
-    """Numbers that are equal where the values are; NULL counts as a value."""
-    return values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def _runs(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
-    """Whether a row differs from the one before in one of the columns."""
-    new = np.ones(table.num_rows, bool)
-    new[1:] = False
-    for name in names:
-        code = _codes(table[name].combine_chunks())
-        new[1:] |= code[1:] != code[:-1]
-    return new
-
-
 def _choose(table: pa.Table, k: int, keep: int, kinds: tuple[int, ...], max_days: float, min_days: float) -> tuple[np.ndarray, ...]:
     """(target row, candidate row, days, score, rank) of whole slices that are sorted by time and scene."""
-    fresh = _runs(table, ("site_id", "slot", "at", "scene_id", "role", "relative_orbit", "spacecraft"))
+    fresh = changes(table, ("site_id", "slot", "at", "scene_id", "role", "relative_orbit", "spacecraft"))
     is_cand = table["role"].to_numpy() == 1
     cand, want = np.flatnonzero(fresh & is_cand), np.flatnonzero(fresh & ~is_cand)
     at = table["at"].to_numpy()
-    name = _codes(table["scene_id"].combine_chunks())
-    group = np.cumsum(_runs(table, ("site_id", "slot")))
-    orbit_col, craft_col = table["relative_orbit"].combine_chunks(), table["spacecraft"].combine_chunks()
-    orbit, craft = _codes(orbit_col), _codes(craft_col)
-    no_orbit, no_craft = orbit_col.is_null().to_numpy(zero_copy_only=False), craft_col.is_null().to_numpy(zero_copy_only=False)
+    name = codes(table, "scene_id")
+    group = np.cumsum(changes(table, ("site_id", "slot")))
+    orbit, craft = codes(table, "relative_orbit"), codes(table, "spacecraft")
+    no_orbit, no_craft = (table[c].combine_chunks().is_null().to_numpy(zero_copy_only=False) for c in ("relative_orbit", "spacecraft"))
     times = np.unique(at)
     span = len(times) + 1
     when = np.searchsorted(times, at)
@@ -83,7 +69,7 @@ def _choose(table: pa.Table, k: int, keep: int, kinds: tuple[int, ...], max_days
     found = []
     step = np.arange(k)
     for part in np.array_split(want, len(want) // 16_384 + 1):
-        codes = []
+        pairs = []
         for key, place, rows in orders:
             base = key[part] * span
             first, end = np.searchsorted(place, base), np.searchsorted(place, base + span)
@@ -91,8 +77,8 @@ def _choose(table: pa.Table, k: int, keep: int, kinds: tuple[int, ...], max_days
             after = np.searchsorted(place, base + np.searchsorted(times, at[part] + gap))[:, None] + step
             for n, ok in ((before, before >= first[:, None]), (after, after < end[:, None])):
                 t, j = np.nonzero(ok)
-                codes.append(part[t] * len(at) + rows[n[t, j]])
-        t, c = np.divmod(np.unique(np.concatenate(codes)), len(at))
+                pairs.append(part[t] * len(at) + rows[n[t, j]])
+        t, c = np.divmod(np.unique(np.concatenate(pairs)), len(at))
         dt = (at[c] - at[t]) / 8.64e10
         ok = (np.abs(dt) <= max_days) & (np.abs(dt) >= min_days) & (name[c] != name[t])
         t, c, dt = t[ok], c[ok], dt[ok]
@@ -143,20 +129,8 @@ def neighbours(targets: DataFrame, candidates: DataFrame, k: int, kinds: tuple[i
         return pa.RecordBatch.from_arrays(arrays, [f.name for f in out])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < _HELD_ROWS:
-                continue
-            table = pa.Table.from_batches(held)
-            # the last slice may go on in the next batch
-            last = np.flatnonzero(_runs(table, ("site_id", "slot")))[-1]
-            if last:
-                yield best(table.slice(0, last).combine_chunks())
-            held, n = table.slice(last).to_batches(), 0
-        if held:
-            yield best(pa.Table.from_batches(held).combine_chunks())
+        for table in whole_groups(batches, ("site_id", "slot"), _HELD_ROWS):
+            yield best(table)
 
     return rows.mapInArrow(search, out)
 
