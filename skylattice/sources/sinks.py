@@ -31,10 +31,10 @@ def tag_windows(pixels: DataFrame, size: int = WINDOW_PX) -> DataFrame:
 
 
 def write_windows(pixels: DataFrame, path: str, size: int = WINDOW_PX, keys: Sequence[str] = ()) -> None:
-    """Raster in bounded windows, each written by one task; memory does not grow with the region."""
+    """Raster in bounded windows; one with more rows than a task's share is written by several, in the order of its pixels."""
     tagged = tag_windows(pixels, size)
     where = [*keys, "win_row", "win_col"]
-    tagged.repartition(*where).sortWithinPartitions(*where, "y", "x").write.partitionBy(*where).parquet(path)
+    tagged.repartitionByRange(*where, "y", "x").sortWithinPartitions(*where, "y", "x").write.partitionBy(*where).parquet(path)
 
 
 def detection_rows(results: DataFrame) -> DataFrame:
