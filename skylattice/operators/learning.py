@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.functions.joins import with_single_row
-from skylattice.functions.ranks import numbered
+from skylattice.operators import linkage, retrieval, statistics
 from skylattice.operators import morphology as mo
-from skylattice.operators import retrieval, statistics
 from skylattice.operators.lookups import resolve_scene
 from skylattice.session import materialize
 
@@ -58,26 +55,6 @@ def candidates(prob: DataFrame, keys: Sequence[str], threshold: float = 0.5, min
     return labels.groupBy(*keys, "label").agg(F.count("*").alias("n_px"), F.avg("prob").alias("mean_prob"), F.max("prob").alias("score")).where(F.col("n_px") >= min_px)
 
 
-def _linked(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                corr = _unit(row.av) @ _unit(row.bv).T
-                i, j = np.nonzero(corr >= threshold)
-                src, dst = np.asarray(row.aid)[i], np.asarray(row.bid)[j]
-                keep = src < dst if row.same else src != dst
-                yield pd.DataFrame({"src": src[keep], "dst": dst[keep], "corr": corr[i, j][keep]})
-
-    return run
-
-
-def _unit(rows: list) -> np.ndarray:
-    """Rows centred and scaled to unit length, so that products are correlations."""
-    m = np.vstack(rows).astype(float)
-    m = m - m.mean(axis=1, keepdims=True)
-    return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
-
-
 def correlation(a: Column | str, b: Column | str) -> Column:
     """Pearson correlation of two arrays of equal length, from plain sums."""
     n = F.size(a)
@@ -86,69 +63,13 @@ def correlation(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b) - sa * sb / n, F.sqrt(va * vb))
 
 
-def correlated_pairs(tiles: DataFrame, threshold: float, block_rows: int = 500) -> DataFrame:
-    """Pairs of tiles of one shape whose correlation reaches the threshold, block against block.
-
-    ``tiles``: tile_id, shape, v (array). Tiles with equal fingerprints stand for one. Blocks have
-    a bounded number of rows; each pair of blocks is one matrix product and only linked pairs leave it.
-    """
-    units = tiles.groupBy("shape", "v").agg(F.min("tile_id").alias("tile_id")).withColumn("u", F.col("v").cast("array<double>"))
-    placed = numbered(units, ("shape",), "tile_id", "_i").withColumn("_b", F.floor(F.col("_i") / block_rows))
-    blocks = placed.groupBy("shape", "_b").agg(F.sort_array(F.collect_list(F.struct("tile_id", "u"))).alias("m"))
-    side = blocks.select("shape", "_b", F.transform("m", lambda s: s["tile_id"]).alias("id"), F.transform("m", lambda s: s["u"]).alias("v"))
-    a = side.select("shape", F.col("_b").alias("ab"), F.col("id").alias("aid"), F.col("v").alias("av"))
-    b = side.select("shape", F.col("_b").alias("bb"), F.col("id").alias("bid"), F.col("v").alias("bv"))
-    pairs = a.join(b, "shape").where(F.col("ab") <= F.col("bb")).select("aid", "av", "bid", "bv", (F.col("ab") == F.col("bb")).alias("same"))
-    return pairs.mapInPandas(_linked(threshold), "src bigint, dst bigint, corr double")
-
-
-def _unit_column(v: Column | str) -> Column:
-    """Array centred and scaled to unit length, as ``_unit`` does."""
-    centred = F.transform(v, lambda x: x.cast("double") - total(v) / F.size(v))
-    length = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
-    return F.transform(centred, lambda x: x / length)
-
-
-def _closest(links: DataFrame, clusters: DataFrame, limit: float) -> DataFrame:
-    """(a, b): linked clusters within the limit that are each other's closest; equal distances go by names."""
-    named = lambda side: clusters.select(F.col("cluster").alias(side), F.col("sum").alias(f"_sum_{side}"), F.col("n").alias(f"_n_{side}"))
-    mean = dot("_sum_a", "_sum_b") / (F.col("_n_a") * F.col("_n_b"))
-    near = links.join(named("a"), "a").join(named("b"), "b").select((1.0 - mean).alias("dist"), "a", "b").where(F.col("dist") <= limit)
-    link = F.struct("dist", "a", "b")
-    ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), link.alias("link")), F.struct(F.col("b").alias("node"), link.alias("link")))).alias("e"))
-    best = ends.groupBy("e.node").agg(F.min("e.link").alias("link"))
-    return best.groupBy("link.a", "link.b").agg(F.count("*").alias("ends")).where("ends = 2").select("a", "b")
-
-
 def content_clusters(tiles: DataFrame, limit: float = LINK_DISTANCE) -> DataFrame:
     """Average-linkage clusters of tiles at distance 1 - correlation <= ``limit``, per shape.
 
-    The average correlation of two clusters is the product of their mean unit vectors, so a cluster is one row: its
-    sum and its size. In a round all pairs of clusters that are each other's closest are merged, which gives
-    the clusters of merging one closest pair at a time. Clusters can only come within the limit where some pair of their tiles
-    is, so only such links are looked at; they are merged with the clusters. Every round is written to the shared
-    folder. Equal fingerprints count as one tile; a cluster is named after its smallest tile.
+    Equal fingerprints count as one tile; a cluster is named after its smallest tile.
     """
-    reps = tiles.groupBy("shape", "v").agg(F.min("tile_id").alias("rep"))
-    found = correlated_pairs(tiles, 1.0 - limit)
-    links = materialize(found.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "links")
-    linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    clusters = materialize(reps.join(linked, "rep").select(F.col("rep").alias("cluster"), _unit_column("v").alias("sum"), F.lit(1.0).alias("n")), "clusters")
-    owners = clusters.select(F.col("cluster").alias("rep"), "cluster")
-    while True:
-        pairs = materialize(_closest(links, clusters, limit), "merged")
-        if pairs.isEmpty():
-            break
-        first, second = (clusters.select(F.col("cluster").alias(c), F.col("sum").alias(f"_sum_{c}"), F.col("n").alias(f"_n_{c}")) for c in "ab")
-        sums = F.zip_with("_sum_a", "_sum_b", lambda x, y: x + y)
-        grown = pairs.join(first, "a").join(second, "b").select(F.col("a").alias("cluster"), sums.alias("sum"), (F.col("_n_a") + F.col("_n_b")).alias("n"))
-        taken = pairs.select(F.explode(F.array("a", "b")).alias("cluster"))
-        clusters = materialize(clusters.join(taken, "cluster", "left_anti").unionByName(grown), "clusters")
-        moved = pairs.select(F.col("b").alias("_old"), F.col("a").alias("_new"))
-        renamed = lambda df, c, moved=moved: df.join(moved, df[c] == moved["_old"], "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
-        both = renamed(renamed(links, "a"), "b").where("a <> b")
-        links = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        owners = materialize(renamed(owners, "cluster"), "owners")
+    reps = materialize(tiles.groupBy("shape", "v").agg(F.min("tile_id").alias("rep")), "reps")
+    owners = linkage.average_linkage(linkage.unit_vectors(reps.where("v IS NOT NULL"), "rep", "v"), limit).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     whole = tiles.join(reps, ["shape", "v"]).join(owners, "rep", "left")
     return whole.select("tile_id", "shape", F.coalesce("cluster", "rep").alias("cluster"))
 
@@ -158,10 +79,9 @@ def assign_clusters(tiles: DataFrame, clusters: DataFrame, min_members: int) ->
     rows = tiles.join(clusters.select("tile_id", "cluster"), "tile_id").select("shape", "cluster", F.posexplode("v").alias("i", "x"))
     mean = rows.groupBy("shape", "cluster", "i").agg(F.avg("x").alias("x"), F.count("*").alias("n")).where(F.col("n") >= min_members)
     centre = mean.groupBy("shape", "cluster").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m")).select(
-        "shape", F.col("cluster").alias("_c"), F.transform("m", lambda s: s["x"]).alias("_u")
+        "shape", "cluster", F.transform("m", lambda s: s["x"]).alias("u")
     )
-    scored = tiles.join(centre, "shape").select("tile_id", "_c", correlation("v", "_u").alias("corr"))
-    return scored.groupBy("tile_id").agg(F.max_by("_c", F.struct(F.col("corr"), -F.col("_c"))).alias("cluster"), F.max("corr").alias("corr"))
+    return linkage.best_centres(tiles.select("tile_id", "shape", F.col("v").cast("array<double>").alias("v")), centre)
 
 
 def total(a: Column | str) -> Column:
