@@ -523,6 +523,25 @@ def test_speckle_circle_follows_the_latitude(spark, lat):
             assert got[(row, round(lons[x], 2))] == want
 
 
+def test_speckle_sends_few_pixels_twice(spark):
+    """Copies of a place, NULL places, blocks and the date line; no pixel goes to all places of its circle."""
+    rng = np.random.default_rng(5)
+    rows = [("s", 1 + i, float(rng.integers(0, 80)) * 0.01, (179.7 + 0.01 * float(rng.integers(0, 80)) + 180) % 360 - 180, float(rng.normal()) if i % 9 else None) for i in range(1_500)]
+    rows += [("s", 0, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "scene_id string, no int, lat double, lon double, VV double")
+    out = mo.focal_median_metres(df, ["scene_id"], 2_500.0, ["VV"], 0.01)
+    got = {r.no: r.VV for r in out.collect()}
+    assert len(got) == len(rows) and got[0] is None
+    gy, gx = np.array([round(r[2] / 0.01) for r in rows[:-1]]), np.array([round(r[3] / 0.01) % 36_000 for r in rows[:-1]])
+    value = np.array([np.nan if r[4] is None else r[4] for r in rows[:-1]])
+    for i in range(0, 1_500, 7):
+        dx = (gx - gx[i] + 18_000) % 36_000 - 18_000
+        near = ((gy - gy[i]) * 1113.2) ** 2 + (dx * 1113.2 * math.cos(math.radians(gy[i] * 0.01))) ** 2 <= 2_500.0**2
+        want = None if np.isnan(value[i]) else np.nanmedian(value[near])
+        assert got[i + 1] == pytest.approx(want, rel=1e-15) if want is not None else got[i + 1] is None
+    assert "Generate explode" in (plan := out._jdf.queryExecution().toString()) and "median" not in plan
+
+
 def test_late_batches_and_a_restart_equal_one_batch(spark, tmp_path):
     """Rows that land weeks late, a restart after every batch, and repeats: each form equals itself over all rows at once."""
     rng = np.random.default_rng(6)
