@@ -181,7 +181,10 @@ def checksum_audit(spark, sf):
     c = v.read(spark, sf, "customer")
     body = c.groupBy(F.expr("c_custkey div 50").alias("f")).agg(F.array_join(F.sort_array(F.collect_list("c_name")), ";").alias("value"))
     path = scratch_path(spark, "downloads")
-    body.where("f % 5 <> 4").select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), "value").write.partitionBy("file").text(path)
+    files = body.where("f % 5 <> 4").select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), "value")
+    # Few bytes but many files: the stated number of tasks is not merged down to one, and each commits its own files.
+    spread = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    spread.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("file").text(path)
     sums = F.md5(F.concat("value", F.when(F.col("f") % 5 == 3, "tampered\n").otherwise("\n")))
     manifest = body.select(F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), sums.alias("md5"))
     report = imports.audit_checksums(spark, path, manifest, r"file=([^/]+)/")
