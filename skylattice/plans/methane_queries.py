@@ -12,6 +12,7 @@ from skylattice.plans.raster_queries import CHIP, field, sources
 from skylattice.plans.raster_sql import plume_sql, retrieval_sql
 from skylattice.plans.registry import query
 from skylattice.plans.scan_queries import r6
+from skylattice.session import materialize
 
 PASS = ("chip_id", "pass")
 _EXCL = "SELECT chip_id, pass, y, x, b11, b12, (chip_id % 4 = 1 AND abs(y - 3) <= 1 AND abs(x - 12) <= 1) AS excl FROM chips"
@@ -77,7 +78,8 @@ v.VIEW_SQL["colfield"] = (("chips",), "SELECT chip_id, y, x, (0.8 - b12 / b11) *
 
 def chip_sites(spark, sf):
     k = F.col("chip_id")
-    ids = v.chips(spark, sf).select("chip_id").distinct()
+    # the numbers alone: the pixels of the chips need not be gathered for them
+    ids = v.read(spark, sf, "lineitem").select(F.expr("l_suppkey div 4").alias("chip_id")).distinct()
     return ids.select("chip_id", (400.0 + k % 3).alias("area_m2"), (2.5 + k % 7 * 0.5).alias("u10"), (1.5 + k % 4 * F.lit(0.1)).alias("sigma_u10"))
 
 
@@ -85,6 +87,13 @@ def columns(spark, sf):
     return field(spark, sf).select("chip_id", "y", "x", (F.col("value") * 10).alias("delta_omega"))
 
 
+def swept_masks(spark, sf):
+    """The columns and their masks over the sweep, each written once: the steps that follow read both more than once."""
+    f = materialize(columns(spark, sf), "columns")
+    masks = plume.detect_plumes(f.withColumnRenamed("delta_omega", "value"), CHIP, ks=plume.K_SWEEP, sources=sources(spark, sf))
+    return f, materialize(masks, "masks")
+
+
 _MASK = plume_sql("colfield", "pl", "2.0", source="sources")
 
 
@@ -130,8 +139,7 @@ _DRAWS = f"""
     oracle=f"WITH RECURSIVE {_SWEEP}, {_DRAWS.format(draws=500)} SELECT chip_id, count(q) AS n_draws, round(median(q), 3) AS q_kg_h, round(stddev_pop(q), 3) AS q_sigma_kg_h, round(quantile_cont(q, 0.05), 3) AS p05, round(quantile_cont(q, 0.95), 3) AS p95 FROM q WHERE q IS NOT NULL GROUP BY chip_id",
 )
 def rate_uncertainty(spark, sf):
-    f = columns(spark, sf)
-    masks = plume.detect_plumes(f.withColumnRenamed("delta_omega", "value"), CHIP, ks=plume.K_SWEEP, sources=sources(spark, sf))
+    f, masks = swept_masks(spark, sf)
     sites = chip_sites(spark, sf)
     sweep = emission.sweep_masses(f, CHIP, masks, sites).join(sites.drop("area_m2"), "chip_id")
     off = f.join(masks.where("k = 2.0").select("chip_id", "y", "x"), ["chip_id", "y", "x"], "left_anti")
@@ -148,8 +156,7 @@ def rate_uncertainty(spark, sf):
       SELECT chip_id, min(n) AS smallest, max(n) AS largest, min(n) = 0 OR max(n) >= 4 * min(n) AS unstable FROM n GROUP BY chip_id""",
 )
 def mask_stability(spark, sf):
-    f = columns(spark, sf)
-    masks = plume.detect_plumes(f.withColumnRenamed("delta_omega", "value"), CHIP, ks=plume.K_SWEEP, sources=sources(spark, sf))
+    f, masks = swept_masks(spark, sf)
     sweep = emission.sweep_masses(f, CHIP, masks, chip_sites(spark, sf))
     return sweep.select("chip_id", F.array_min("n_k").alias("smallest"), F.array_max("n_k").alias("largest"), emission.unstable(F.col("n_k")).alias("unstable"))
 

@@ -30,7 +30,8 @@ def field(spark, sf):
 
 
 def sources(spark, sf):
-    ids = v.chips(spark, sf).select("chip_id").distinct()
+    # the numbers alone: the pixels of the chips need not be gathered for them
+    ids = v.read(spark, sf, "lineitem").select(F.expr("l_suppkey div 4").alias("chip_id")).distinct()
     return ids.select("chip_id", F.lit(8).cast("bigint").alias("source_y"), F.when(F.col("chip_id") % 3 == 0, 1).otherwise(6).cast("bigint").alias("source_x"))
 
 
