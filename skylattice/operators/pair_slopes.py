@@ -4,11 +4,11 @@ A pair has a slope of at most s where its points change order between x and y -
 pairs is a count of inversions, so the slope of a given rank is found by bracketing: counts at some slopes
 between the bounds, closer bounds, until no number lies between them.
 
-Groups of at most ``BLOCK_ROWS`` distinct points are solved where they are. Larger ones are cut into
-blocks of that size by x. For a slope their points are dealt by y - s x as well; pairs inside one block are
+Groups of at most ``TASK_ROWS`` distinct points, a few megabytes, are solved where they are. Larger ones are cut into
+blocks of ``BLOCK_ROWS`` by x. For a slope their points are dealt by y - s x as well; pairs inside one block are
 counted there, pairs of two blocks inside one such share are counted there, and all other pairs follow from
 the weights of (share, block) alone. So no task holds more than a block or a share, and no pair is ever formed.
-The bounds of a large group, a few numbers, are kept by the driver; there are at most rows / ``BLOCK_ROWS`` such groups.
+The bounds of a large group, a few numbers, are kept by the driver; there are at most rows / ``TASK_ROWS`` such groups.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType, StructType
 from skylattice.session import materialize
 
 BLOCK_ROWS = 1 << 15
+TASK_ROWS = 1 << 18  # points of a group that one task may hold: three numbers each
 LISTED_POINTS = 1_024  # groups up to here are solved by listing their pairs
 STEPS = 4  # evenly placed slopes of a round
 CLOSE = 64  # doubles that a bracket may still hold at the end, less than the rounding of slopes
@@ -293,23 +294,29 @@ def _large_groups(points: DataFrame, keys: list[str], sizes: DataFrame, block_ro
     return names.join(spark.createDataFrame(answers, "gid int, theil_sen double"), "gid").select(*keys, "theil_sen")
 
 
-def median_pair_slope(points: DataFrame, keys: tuple[str, ...], x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def median_pair_slope(points: DataFrame, keys: tuple[str, ...], x: str, y: str, block_rows: int = BLOCK_ROWS, task_rows: int | None = None) -> DataFrame:
     """(keys, theil_sen): the median slope over all pairs of rows with different x.
 
     Equal points are folded and weigh as often as they occur. Rows where x or y is null or not finite take no
-    part; groups with a single x are absent; a NULL key is a group of its own.
+    part; groups with a single x are absent; a NULL key is a group of its own. Groups beyond ``task_rows`` points are
+    cut into blocks; smaller blocks than usual are for groups that should be cut from there on.
     """
+    if task_rows is None:
+        task_rows = TASK_ROWS if block_rows >= BLOCK_ROWS else block_rows
     usable = F.col(x).isNotNull() & F.col(y).isNotNull() & (F.abs(F.col(x).cast("double")) < inf) & (F.abs(F.col(y).cast("double")) < inf)
     # adding 0.0 makes the two zeros one
     rows = points.where(usable).groupBy(*keys, (F.col(x).cast("double") + 0.0).alias("_x"), (F.col(y).cast("double") + 0.0).alias("_y")).agg(F.count("*").alias("_w"))
     rows = materialize(rows, "points")
     group = list(keys)
     sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    large = materialize(sizes.where(F.col("_n") > block_rows), "large")
+    large = materialize(sizes.where(F.col("_n") > task_rows), "large")
     schema = StructType([rows.schema[k] for k in group]).add("theil_sen", DoubleType())
+    # few rows but much work for each: the stated number of tasks is not merged down to one
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: (df.repartition(tasks, *group) if group else df).groupBy(*group)
     if large.isEmpty():
-        return rows.groupBy(*group).applyInPandas(_whole_groups(group), schema)
+        return dealt(rows).applyInPandas(_whole_groups(group), schema)
     named = large.select(*[F.col(k).alias(f"_of_{k}") for k in group])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group], F.lit(True))
-    small = rows.join(F.broadcast(named), same, "left_anti").groupBy(*group).applyInPandas(_whole_groups(group), schema)
+    small = dealt(rows.join(F.broadcast(named), same, "left_anti")).applyInPandas(_whole_groups(group), schema)
     return small.unionByName(_large_groups(rows, group, large, block_rows))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from skylattice.operators import pair_slopes
 from skylattice.operators.pair_slopes import inversions, median_pair_slope, median_slope
 
 
@@ -71,3 +72,15 @@ def test_large_group_without_keys(spark):
     df = spark.createDataFrame(pd.DataFrame({"q_ref": x, "q_ours": y}))
     got = median_pair_slope(df, (), "q_ref", "q_ours").first().theil_sen
     assert math.isclose(got, median_slope(x, y, np.ones(len(x), np.int64)), rel_tol=1e-12)
+
+
+def test_groups_that_fit_a_task_are_not_cut(spark, monkeypatch):
+    """40,000 points are solved whole, without a round over the cluster for every bracket; beyond ``task_rows`` they are cut."""
+    rng = np.random.default_rng(5)
+    x, y = noisy(rng, 40_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "q_ref": x, "q_ours": y}))
+    cut = median_pair_slope(df.limit(3_000), (), "q_ref", "q_ours", 1_000, 2_000).first().theil_sen
+    assert math.isclose(cut, by_pairs(x[:3_000], y[:3_000]), rel_tol=1e-9)
+    monkeypatch.setattr(pair_slopes, "_large_groups", None)
+    want = median_slope(x, y, np.ones(len(x), np.int64))
+    assert [median_pair_slope(df, keys, "q_ref", "q_ours").first().theil_sen for keys in (("g",), ())] == [want, want]
