@@ -5,6 +5,9 @@ A record is an ordered array of (key, value) text pairs with lower-case keys.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,11 @@ def reading(key: Column, value: Column, place: Column) -> Column:
     return F.struct(kind.alias("kind"), unit.isNull().alias("no_unit"), order.cast("int").alias("order"), unit.alias("unit"), value.alias("value"))
 
 
+def telling(key: Column) -> Column:
+    """Whether a pair with this key can say anything: most keys of a record cannot, and a reading costs far more than this."""
+    return F.array_contains(F.array(*[F.lit(name) for name, _, _ in NAMES]), key) | reduce(or_, [F.endswith(key, F.lit(ending)) for ending, _ in ENDINGS])
+
+
 def filled(record: Column) -> Column:
     """The pairs of a record that carry a value."""
     return F.filter(record, lambda e: e["value"].isNotNull() & (e["value"] != ""))
@@ -52,15 +60,15 @@ def filled(record: Column) -> Column:
 def last_per_key(rows: Column) -> Column:
     """One pair per key, the last one given (two headers may differ in case only)."""
     back = F.reverse(rows)
-    keys = F.transform(back, lambda e: e["key"])
-    return F.filter(back, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    last = F.filter(back, lambda e, i: F.array_position(back["key"], e["key"]) == i + 1)
+    return F.when(F.size(F.array_distinct(rows["key"])) == F.size(rows), back).otherwise(last)
 
 
 def lookup(rows: Column, keys: tuple[str, ...]) -> Column:
     """Value of the first alias among filled pairs, in the order of the aliases."""
 
     def first(key: str) -> Column:
-        return F.get(F.filter(rows, lambda e: e["key"] == key), F.lit(0))["value"]
+        return F.get(rows["value"], F.array_position(rows["key"], key).cast("int") - 1)
 
     return F.coalesce(*[first(k) for k in keys])
 
@@ -68,7 +76,8 @@ def lookup(rows: Column, keys: tuple[str, ...]) -> Column:
 def with_candidates(df: DataFrame, record: str = "record") -> DataFrame:
     """Adds the filled pairs of a record and its preferred reading of a rate and of an uncertainty, as ``_rate_...`` columns."""
     rows = df.withColumn("_rate_rows", filled(F.col(record)))
-    rows = rows.withColumn("_rate_read", F.transform("_rate_rows", lambda e, i: reading(e["key"], e["value"], i)))
+    told = F.filter("_rate_rows", lambda e: telling(e["key"]))
+    rows = rows.withColumn("_rate_read", F.transform(told, lambda e, i: reading(e["key"], e["value"], i)))
     best = lambda kind: F.array_min(F.filter("_rate_read", lambda r: r["kind"] == kind))
     return rows.withColumns({"_rate_best": best("rate"), "_rate_sigma": best("sigma")}).drop("_rate_read")
 
