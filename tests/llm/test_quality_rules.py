@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skylattice.llm import quality_rules as q
 
@@ -59,3 +60,65 @@ def test_odd_rows_and_no_labels(spark, make_docs, odd_rows):
     assert len(rows) == len(odd_rows) and all(r.kept == (not r.base_failed) and r.score is None for r in rows)
     assert all(r.base_failed for r in rows if r.doc_id in (4, 5, 6, 7, 11))
     assert q.quality_verdicts(make_docs([]), none).collect() == []
+
+
+def narrow(spark, n, low_if):
+    """Statistics of ``n`` invented documents and their labels; those of low quality are all capitals."""
+    low, docs = F.expr(low_if), spark.range(n).withColumn("doc_id", F.col("id"))
+    stats = docs.select(
+        "doc_id", F.lit(200).alias("n_words"), (F.lit(900) + F.col("doc_id") % 97).alias("word_chars"), (F.col("doc_id") % 3).alias("n_symbols"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"),
+        F.when(low, 880).otherwise(F.col("doc_id") % 41).alias("n_upper"), F.when(low, 0).otherwise(850).alias("n_lower"), (F.col("doc_id") % 7).alias("n_marks"), (F.col("doc_id") % 13 + 4).alias("top_word"), (F.col("doc_id") % 29 + 90).alias("n_distinct"),
+    )
+    names = [c for c in stats.columns if c != "doc_id"]
+    return stats.select("doc_id", *[F.col(c).cast("long") for c in names]), docs.select("doc_id", F.when(low, 0).otherwise(1).alias("quality"))
+
+
+def judged(judge, stats):
+    rows = stats.orderBy("doc_id").toPandas()
+    return judge.judge(lambda c: rows[c].to_numpy())
+
+
+def test_every_labelled_row_counts(spark):
+    """One low row among 12,000, the one with the highest hash: no part of the rows may stand for all."""
+    last = spark.range(12_000).orderBy(F.desc(F.pmod(F.xxhash64("id"), F.lit(1 << 30)))).first().id
+    stats, labels = narrow(spark, 12_000, f"id = {last}")
+    judge = q.fit(stats, labels)
+    _, score, kept = judged(judge, stats)
+    assert judge.forest is not None and score.argmax() == last and not kept[last] and kept.mean() > 0.999
+    again = q.fit(stats.repartition(5), labels.repartition(3))
+    assert again.cut == judge.cut and np.array_equal(again.forest.length, judge.forest.length) and np.array_equal(again.forest.value, judge.forest.value)
+
+
+def test_leaves_hold_all_rows(spark):
+    stats, labels = narrow(spark, 3_000, "id % 10 = 0")
+    judge = q.fit(stats, labels)
+    rows = stats.orderBy("doc_id").toPandas()
+    x, good = q.features(lambda c: rows[c].to_numpy()), np.arange(3_000) % 10 != 0
+    weight = np.where(good, 1.0, round(0.02 * 2_700 / 0.98) / 300)
+    weight *= q.TREE_ROWS / weight.sum()
+    for tree, at in enumerate(judge.forest.leaves(x)):
+        depth = np.zeros(judge.forest.feature.shape[1])
+        for node in np.flatnonzero(judge.forest.feature[tree] >= 0):
+            child = judge.forest.child[tree, node]
+            depth[child : child + 2] = depth[node] + 1
+        mass = np.bincount(at, weight, len(depth))
+        assert np.allclose(judge.forest.length[tree][mass > 0], (depth + q._expected(mass))[mass > 0])
+    score = judge.forest.score(x)
+    assert judge.cut == pytest.approx(best_cut(score, good))
+
+
+def best_cut(scores, good):
+    values = sorted(set(scores))
+    cuts = [(a + b) / 2 for a, b in zip(values, values[1:])] + [values[-1]]
+    balance = [int((scores[~good] > c).sum()) * int(good.sum()) - 5 * int((scores[good] > c).sum()) * int((~good).sum()) for c in cuts]
+    best = [c for c, b in zip(cuts, balance) if b == max(balance)]
+    return (best[0] + best[-1]) / 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    scores, good = rng.integers(0, 30, 400) / 32, rng.random(400) < 0.6
+    scores[~good] = np.minimum(scores[~good] + rng.integers(0, 2) / 4, 1)
+    scored = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good)], "score double, good boolean")
+    assert q.calibrate(scored, int(good.sum()), int((~good).sum())) == pytest.approx(best_cut(scores, good))
