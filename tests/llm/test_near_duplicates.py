@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
+from skylattice.llm import common
 from skylattice.llm import near_duplicates as nd
 
 
@@ -45,6 +48,26 @@ def perturbed(rng, words, share):
     return " ".join(w if rng.random() > share else f"z{rng.randrange(10**6)}" for w in words)
 
 
+@pytest.mark.parametrize("kind, most", [(pa.string(), 2_000_000), (pa.large_string(), 50)])
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_shingles_of_a_column_equal_those_of_each_text(odd_rows, monkeypatch, k, kind, most):
+    """A column is cut into words at once; no shingle may cross from one text to the next."""
+    monkeypatch.setattr(common, "PIECE_BYTES", most)
+    rng = random.Random(8)
+    texts = [r[1] for r in odd_rows] + ["".join(rng.choice("ab \n\t\x0bé\x85") for _ in range(rng.randrange(40))) for _ in range(300)]
+
+    def one_by_one(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()]
+        width = min(k, len(h))
+        out = np.full(max(1, len(h) - k + 1) if h else 0, width, np.uint64)
+        for i in range(width):
+            out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + np.array(h[i : i + len(out)], np.uint64))
+        return np.unique(out)
+
+    got = nd.shingles(pa.array(["cut off", *texts], kind)[1:], k)
+    assert len(got) == len(texts) and all(np.array_equal(a, one_by_one(t)) for a, t in zip(got, texts))
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_odd_rows(spark, make_docs, odd_rows, k):
     rows = [(r[0], r[1]) for r in odd_rows]
