@@ -131,6 +131,16 @@ def test_one_of_each_keeps_columns_and_rows_without_id(spark, make_docs, odd_row
     assert ids.count(None) == 1 and ids.count(1) == 1 and not {2, 3, 7, 8, 15} & set(ids) and {-3, 4, 5, 6, 9, 10, 11, 12, 13, 14} <= set(ids)
 
 
+@pytest.mark.parametrize("most, join", [(10, "BroadcastHashJoin"), (1, "SortMergeJoin")])
+def test_texts_of_few_candidates_are_read_without_a_shuffle(spark, make_docs, monkeypatch, most, join):
+    monkeypatch.setattr(nd, "BROADCAST_NODES", most)
+    placed = spark.createDataFrame([(2, 1), (1, 1)], "node long, family long")
+    texts = nd.candidate_texts(make_docs([(i, f"t{i}") for i in range(9)]), placed)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and ("hashpartitioning" in plan) == (join == "SortMergeJoin")
+    assert sorted(tuple(r) for r in texts.collect()) == [("t1", 1, 1), ("t2", 2, 1)]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     shared, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
