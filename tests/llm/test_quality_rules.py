@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from skylattice.llm import common
 from skylattice.llm import quality_rules as q
 
 
@@ -30,6 +32,37 @@ def test_counts_match_brute_force(odd_rows):
         assert q.statistics_of(text.encode() if text is not None else None)[:5] == brute(text), text
 
 
+@pytest.mark.parametrize("kind, most", [(pa.string(), 1_000_000), (pa.large_string(), 60)])
+def test_a_column_is_counted_text_by_text(odd_rows, monkeypatch, kind, most):
+    """Texts share their words and are counted at once; no window may cross from one to the next."""
+    monkeypatch.setattr(common, "PIECE_BYTES", most)
+    rng = random.Random(4)
+    texts = [r[1] for r in odd_rows if len(r[1] or "") < 5_000] + ["a b c", "a b c", "a b c a b", "c a b c"]
+    texts += [" ".join(rng.choice("abcd") for _ in range(rng.randrange(30))) for _ in range(300)]
+    rows = q.statistics(pa.array(["a b c", *texts], kind)[1:])
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert [tuple(r[:5]) for r in rows] == [brute(t) for t in texts]
+    assert [tuple(r[-2:]) for r in rows] == [(max(map(w.count, w), default=0), len(set(w))) for w in split]
+
+
+def test_every_row_goes_down_to_its_leaf():
+    rng = np.random.default_rng(5)
+    feature, child = np.array([[0, 1, -1, -1, 1, -1, -1], [-1] * 7]), np.array([[1, 3, 0, 0, 5, 0, 0], [0] * 7])
+    feature[0, 2] = 1
+    child[0, 2] = 5
+    forest = q.Forest(feature, rng.random((2, 7)), child, np.zeros((2, 7)), 1.0)
+    x = np.concatenate([rng.random((200, 2)), [[np.inf, np.inf], [-np.inf, np.nan]]])
+
+    def leaf(row):
+        at = 0
+        while feature[0, at] >= 0:
+            at = child[0, at] + int(row[feature[0, at]] > forest.value[0, at])
+        return at
+
+    first, second = forest.leaves(x)
+    assert first.tolist() == [leaf(row) for row in x] and len(set(first)) == 3 and not second.any()
+
+
 @pytest.fixture(scope="module")
 def corpus(make_docs, spark):
     rng = random.Random(9)
