@@ -27,8 +27,9 @@ from skylattice.session import materialize
 
 BLOCK_ROWS = 2_048  # rows of a block, about; a product holds SLICE_ROWS x this many numbers
 SLICE_ROWS = 256
+BATCH_PAIRS = 16  # pairs of blocks that go to Python together
 FINISH_ROWS = 4_096  # clusters of a shape that one task may hold; it keeps all their distances
-CLOSE = 1e-11  # products this near to the best are compared exactly
+CLOSE = 1e-11  # products this near to the best, beyond the rounding of single precision, are compared exactly
 PAIRS = 1 << 15  # exact comparisons at once
 
 
@@ -43,11 +44,13 @@ def _blocks(rows: DataFrame, shape: str, name: str, fields: list[str], vector: s
 
 
 def _facing(left: DataFrame, right: DataFrame, shape: str) -> DataFrame:
-    """Every block of ``left`` beside every block of ``right`` of its shape, spread over tasks by both."""
-    kinds = right.select(shape, F.col("_k").alias("_n")).distinct()
-    named = lambda df, side: df.select(shape, "_b", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in (shape, "_b", "_k")])
-    asked = named(left, "l").withColumnRenamed("_b", "_lb").join(kinds, shape).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return asked.drop("_n", "_lb").join(named(right, "r"), [shape, "_b"]).drop("_b")
+    """Every block of ``left`` beside every block of ``right`` of its shape.
+
+    Tasks pair files of one side with files of the other, so no block is copied into a shuffle; both sides should be written tables.
+    """
+    named = lambda df, side: df.select(shape, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in (shape, "_b", "_k")])
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PAIRS))
+    return named(left, "l").join(named(right, "r").hint("shuffle_replicate_nl"), shape)
 
 
 def _matrix(vector: pa.ListScalar, rows: int) -> np.ndarray:
@@ -68,14 +71,17 @@ def _closest_in_blocks(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Ite
             for row in range(batch.num_rows):
                 own, other, n, m = (column[c][row].values.to_numpy(zero_copy_only=False) for c in ("l_cluster", "r_cluster", "l_n", "r_n"))
                 left, right = _matrix(column["l_sum"][row], len(own)), _matrix(column["r_sum"][row], len(other))
-                mean = np.ascontiguousarray((right / m[:, None]).T)
+                mean, asked = (right / m[:, None]).astype(np.float32).T, (left / n[:, None]).astype(np.float32)
+                # twice the error of a product of vectors no longer than 1, in single precision
+                close = np.float32(2 * (left.shape[1] + 2) * np.finfo(np.float32).eps + CLOSE)
+                _, same, itself = np.intersect1d(own, other, return_indices=True)
                 for at in range(0, len(own), SLICE_ROWS):
-                    part = slice(at, at + SLICE_ROWS)
-                    product = (left[part] / n[part, None]) @ mean
-                    product[np.isnan(product) | (own[part, None] == other)] = -np.inf
-                    best = product.max(axis=1)
-                    near = product >= np.maximum(best - CLOSE, 1.0 - limit - CLOSE)[:, None]
-                    i, j = np.nonzero(near & np.isfinite(product))
+                    product = asked[at : at + SLICE_ROWS] @ mean
+                    here = (same >= at) & (same < at + len(product))
+                    product[same[here] - at, itself[here]] = -np.inf
+                    best = np.fmax.reduce(product, axis=1)
+                    least = np.maximum(best - close, np.float32(1.0 - limit) - close)
+                    i, j = np.divmod(np.flatnonzero(product >= least[:, None]), len(other))
                     i += at
                     found = []
                     for some in range(0, len(i), PAIRS):
@@ -154,17 +160,17 @@ def average_linkage(units: DataFrame, limit: float, block_rows: int = BLOCK_ROWS
     merges: list[DataFrame] = []
     known: DataFrame | None = None  # (cluster, dist, a, b): the closest one of clusters that need not look again
     while True:
-        sizes = live.groupBy("shape").agg(F.count("*").alias("_c"))
-        few = salted_join(live, sizes.where(F.col("_c") <= finish_rows).drop("_c"), ["shape"], ["cluster"])
-        merges.append(materialize(few.groupBy("shape").applyInPandas(_merge_in_task(limit), "src bigint, dst bigint"), "merged"))
-        left = sizes.where(F.col("_c") > finish_rows).drop("_c")
-        live = materialize(salted_join(live, left, ["shape"], ["cluster"]), "clusters")
-        if live.isEmpty():
+        sizes = materialize(live.groupBy("shape").agg(F.count("*").alias("_c")), "sizes")
+        n_few, n_many = sizes.agg(F.count_if(F.col("_c") <= finish_rows), F.count_if(F.col("_c") > finish_rows)).first()
+        if n_few:
+            few = salted_join(live, sizes.where(F.col("_c") <= finish_rows).drop("_c"), ["shape"], ["cluster"])
+            merges.append(materialize(few.groupBy("shape").applyInPandas(_merge_in_task(limit), "src bigint, dst bigint"), "merged"))
+            live = materialize(salted_join(live, sizes.where(F.col("_c") > finish_rows).drop("_c"), ["shape"], ["cluster"]), "clusters")
+        if not n_many:
             break
         asking = live if known is None else live.join(known.select("cluster"), "cluster", "left_anti")
-        blocks = lambda df: _blocks(df, "shape", "cluster", ["n"], "sum", block_rows)
-        pairs = _facing(blocks(asking), materialize(blocks(live), "blocks"), "shape").drop("shape")
-        found = pairs.mapInArrow(_closest_in_blocks(limit), "cluster bigint, dist double, a bigint, b bigint")
+        facing = [materialize(_blocks(df, "shape", "cluster", ["n"], "sum", block_rows), "blocks") for df in (asking, live)]
+        found = _facing(*facing, "shape").drop("shape").mapInArrow(_closest_in_blocks(limit), "cluster bigint, dist double, a bigint, b bigint")
         found = found.groupBy("cluster").agg(F.min(F.struct("dist", "a", "b")).alias("l")).select("cluster", "l.dist", "l.a", "l.b")
         if known is not None:
             found = found.unionByName(known.join(live.select("cluster"), "cluster", "left_semi"))
@@ -176,17 +182,18 @@ def average_linkage(units: DataFrame, limit: float, block_rows: int = BLOCK_ROWS
             known = None  # rounding of equal distances: all look again
             continue
         merges.append(mutual.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        first, second = (live.select("shape", F.col("cluster").alias(c), F.col("sum").alias(f"_s{c}"), F.col("n").alias(f"_n{c}")) for c in "ab")
-        grown = mutual.join(first, "a").join(second.drop("shape"), "b").select(
-            "shape", F.col("a").alias("cluster"), F.zip_with("_sa", "_sb", lambda x, y: x + y).alias("sum"), (F.col("_na") + F.col("_nb")).alias("n"))
-        taken = mutual.select(F.explode(F.array("a", "b")).alias("cluster"))
-        # finished: clusters with none within the limit
-        still = live.join(closest.select("cluster"), "cluster", "left_semi").join(taken, "cluster", "left_anti")
-        live = materialize(still.unionByName(grown.select(still.columns)), "clusters")
+        # clusters with none within the limit are finished; of the others those that merge take one name and meet by it
+        named = closest.select("cluster").join(mutual.select(F.col("b").alias("cluster"), F.col("a").alias("into")), "cluster", "left")
+        met = live.join(named, "cluster").groupBy("shape", F.coalesce("into", "cluster").alias("cluster")).agg(F.collect_list("sum").alias("_s"), F.sum("n").alias("n"))
+        both = F.zip_with(F.col("_s")[0], F.try_element_at("_s", F.lit(2)), lambda x, y: x + y)
+        live = materialize(met.select("shape", "cluster", F.when(F.size("_s") == 2, both).otherwise(F.col("_s")[0]).alias("sum"), "n"), "clusters")
         kept = closest
+        taken = mutual.select(F.explode(F.array("a", "b")).alias("cluster"))
         for end in "ab":
             kept = kept.join(taken.select(F.col("cluster").alias(end)), end, "left_anti")
         known = materialize(kept.select("cluster", "dist", "a", "b"), "closest")
+    if not merges:
+        return live.select(F.col("cluster").alias("node"), F.col("cluster").alias("component")).limit(0)
     return connected_components(reduce(DataFrame.unionByName, merges))
 
 
@@ -215,7 +222,7 @@ def best_centres(tiles: DataFrame, centres: DataFrame, block_rows: int = BLOCK_R
 
     ``tiles``: tile_id, shape, v. ``centres``: cluster, shape, u. A tile without variance has no correlation and takes the smallest name.
     """
-    left = _blocks(tiles, "shape", "tile_id", [], "v", block_rows)
+    left = materialize(_blocks(tiles, "shape", "tile_id", [], "v", block_rows), "blocks")
     right = materialize(_blocks(centres, "shape", "cluster", [], "u", block_rows), "centres")
     scored = _facing(left, right, "shape").drop("shape").mapInArrow(_best_centres, "tile_id bigint, cluster bigint, corr double")
     return scored.groupBy("tile_id").agg(F.max_by("cluster", F.struct(F.col("corr"), -F.col("cluster"))).alias("cluster"), F.max("corr").alias("corr"))

@@ -60,6 +60,29 @@ def test_many_resembling_tiles_list_no_links(spark):
     assert learning.content_clusters(tiles(spark, v, 1)).select("cluster").distinct().collect() == [(0,)]
 
 
+def test_blocks_meet_without_a_shuffle_of_their_pairs(spark):
+    """Copies of a block for each block that it meets would grow with the square of the tiles."""
+    v = np.random.default_rng(8).normal(size=(60, 8))
+    made = [linkage.materialize(linkage._blocks(linkage.unit_vectors(tiles(spark, v), "tile_id", "v"), "shape", "cluster", ["n"], "sum", rows), "blocks") for rows in (5, 9)]
+    pairs = linkage._facing(*made, "shape")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    left, right = (dict(m.groupBy("shape").count().collect()) for m in made)
+    assert pairs.count() == sum(left[shape] * right[shape] for shape in left)
+
+
+def test_sums_in_single_precision_decide_nothing(spark):
+    """Distances that differ by 1e-9 are told apart, although single precision cannot."""
+    rng = np.random.default_rng(9)
+    u = rng.normal(size=(3, 32))
+    v = np.concatenate([u, u[:1] + 1e-2 * u[1:2], u[:1] + (1e-2 + 1e-7) * u[1:2], u[:1] + (1e-2 - 1e-7) * u[1:2]])
+    blocks = linkage.materialize(linkage._blocks(linkage.unit_vectors(tiles(spark, v, 1), "tile_id", "v"), "shape", "cluster", ["n"], "sum", 100), "blocks")
+    rows = linkage._facing(blocks, blocks, "shape").drop("shape").mapInArrow(linkage._closest_in_blocks(0.4), "cluster bigint, dist double, a bigint, b bigint").collect()
+    away = 1 - np.corrcoef(v)[0]
+    assert away[3] - away[5] > 5e-10 and away[4] - away[3] > 5e-10
+    assert [(r.a, r.b) for r in rows if r.cluster == 0] == [(0, 5)]
+
+
 def test_best_centre(spark):
     rng = np.random.default_rng(7)
     v, u = rng.normal(size=(90, 10)), rng.normal(size=(14, 10))
